@@ -9,8 +9,11 @@ from fluxgauge.functions import codec, headers, ids
 from fluxgauge.sources.readers import MAIN_TOPIC, TOPIC_PARTITIONS
 
 
-def envelope(accepted: DataFrame, recorded_at: Column, event_id: Column | None = None) -> DataFrame:
-    """Accepted readings as events. The id is name-based unless another one is given."""
+def envelope(
+    accepted: DataFrame, recorded_at: Column, event_id: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Accepted readings as events. The id is name-based unless another one is given.
+    ``keep`` names columns to carry along."""
     named = ids.event_id(F.col("device_id"), F.col("date")) if event_id is None else event_id
     return accepted.select(
         named.alias("eventId"),
@@ -18,12 +21,13 @@ def envelope(accepted: DataFrame, recorded_at: Column, event_id: Column | None =
         F.col("measurement"),
         F.col("date"),
         recorded_at.alias("recordedAt"),
+        *keep,
     )
 
 
 def topic_records(
     events: DataFrame, timestamp: Column, record_headers: Column | None = None,
-    topic: str = MAIN_TOPIC, partitions: int = TOPIC_PARTITIONS,
+    topic: str = MAIN_TOPIC, partitions: int = TOPIC_PARTITIONS, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Events as keyed records: the device id as text, the event as JSON."""
     key = F.col("deviceId").cast("string")
@@ -36,6 +40,7 @@ def topic_records(
         ids.topic_partition(key, partitions).alias("partition"),
         timestamp.alias("timestamp"),
         (none if record_headers is None else record_headers).alias("headers"),
+        *keep,
     )
 
 

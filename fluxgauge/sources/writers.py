@@ -17,13 +17,13 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
 
 
 def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of all written batches, or of those before a batch id (pruned by folder)."""
-    try:
-        df = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
-    except Exception as error:  # no batch has been written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        df = spark.createDataFrame([], f"{schema}, batch_id BIGINT")
+    """Rows of all written batches, or of those before a batch id (pruned by folder).
+
+    A table belongs to one stream: its folders carry that stream's batch ids.
+    """
+    if before == 0:  # nothing precedes the first batch, and nothing may exist yet
+        return spark.createDataFrame([], f"{schema}, batch_id BIGINT")
+    df = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
     return df if before is None else df.where(F.col("batch_id") < before)
 
 
