@@ -40,7 +40,7 @@ def rule(name: str) -> Rule:
 
 
 def sustained(
-    evaluations: DataFrame, by: list[str], ts: str, active: Column, hold_seconds: int, block_seconds: int = 86_400
+    evaluations: DataFrame, by: list[str], ts: str, active: Column, hold_seconds: int, block_seconds: int = 3_600
 ) -> DataFrame:
     """Stretches of evaluations in which the condition held for at least ``hold_seconds``.
 
@@ -67,18 +67,13 @@ def transitions(
 ) -> DataFrame:
     """State changes with the time spent in the new state (null while it lasts).
 
-    The previous state is a running maximum over (order, state), the next change one over
-    the reversed order; both work block by block.
+    The next change is the preceding one in reversed order, so both looks work block by
+    block. Numeric states keep the block summaries in hash aggregations.
     """
-    seq = F.col(order)
-    before = blocks.running(
-        observed, by, [seq], blocks.block_of(seq, block_width),
-        {"_before": ("max", F.struct(seq.alias("seq"), F.col(state).alias("state")))}, inclusive=False)
-    changed = before.where(F.col("_before.state").isNotNull() & (F.col("_before.state") != F.col(state))) \
-        .withColumn("from_state", F.col("_before.state")).drop("_before")
-    back = -seq
-    after = blocks.running(
-        changed, by, [back], blocks.block_of(back, block_width),
-        {"_after": ("max", F.struct(back.alias("seq"), F.col(ts).alias("ts")))}, inclusive=False)
-    spent = (F.unix_micros("_after.ts") - F.unix_micros(ts)) / F.lit(1e6)
-    return after.select(*by, order, ts, "from_state", F.col(state).alias("to_state"), spent.alias("seconds_in_state"))
+    seq, back = F.col(order), -F.col(order)
+    before = blocks.previous(observed, by, seq, blocks.block_of(seq, block_width), [state])
+    changed = before.where(F.col(f"previous_{state}") != F.col(state)).select(
+        *by, order, ts, F.col(f"previous_{state}").alias("from_state"), F.col(state).alias("to_state"))
+    after = blocks.previous(changed, by, back, blocks.block_of(back, block_width), [ts])
+    spent = (F.unix_micros(f"previous_{ts}") - F.unix_micros(ts)) / F.lit(1e6)
+    return after.withColumn("seconds_in_state", spent).drop(f"previous_{ts}")

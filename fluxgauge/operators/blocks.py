@@ -77,6 +77,24 @@ def running(
     )
 
 
+def previous(df: DataFrame, keys: list[str], order: Column, block: Column, columns: list[str]) -> DataFrame:
+    """Add ``previous_<column>``: the values of the key's preceding row, null for its first.
+
+    Within a block this is a lag; the first row of a block takes the last row of the block
+    before, which an aggregation finds (a hash aggregation for fixed-width columns).
+    """
+    blocked = df.withColumn("_block", block)
+    ends = blocked.groupBy(*keys, "_block").agg(*[F.max_by(c, order).alias(f"_end_{c}") for c in columns])
+    by_block = Window.partitionBy(*keys).orderBy("_block")
+    carried = ends.select(*keys, "_block", *[F.lag(f"_end_{c}").over(by_block).alias(f"_carried_{c}") for c in columns])
+    within = Window.partitionBy(*keys, "_block").orderBy(order)
+    joined = blocked.join(carried, [*keys, "_block"], "left")
+    first = F.row_number().over(within) == 1
+    return joined.select(*df.columns, *[
+        F.when(first, F.col(f"_carried_{c}")).otherwise(F.lag(c).over(within)).alias(f"previous_{c}") for c in columns
+    ])
+
+
 def with_lookback(df: DataFrame, order: Column, width: int, span: int) -> DataFrame:
     """Assign rows to blocks (``_block``) and repeat each row in the later blocks whose
     rows may look back ``span`` units at it. ``_own`` marks the row's own block: evaluate

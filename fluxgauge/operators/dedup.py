@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 KEY = ["device_id", "date"]
 
 
-def first_arrivals(df: DataFrame, *carried: str) -> DataFrame:
+def first_arrivals(df: DataFrame, *carried: str, copies: str | None = None) -> DataFrame:
     """One row per (device, date): the first arrival's number, measurement and carried
-    columns. Fixed-width columns keep this a hash aggregation."""
+    columns, and on request how many copies arrived. Fixed-width columns keep this a hash
+    aggregation."""
+    count = [F.count("*").alias(copies)] if copies else []
     return df.groupBy(*KEY).agg(
         F.min("arrival_seq").alias("arrival_seq"),
         *[F.min_by(name, "arrival_seq").alias(name) for name in ("measurement", *carried)],
+        *count,
     )
 
 

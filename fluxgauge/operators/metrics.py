@@ -27,16 +27,17 @@ def received(classified: DataFrame) -> Column:
     return F.count_if(present)
 
 
-def counter(count: DataFrame, name: str) -> DataFrame:
-    """A one-row count as a metric row with its tags."""
-    tags = [F.lit(x) for pair in TAGS.get(name, {}).items() for x in pair]
-    labels = F.create_map(*tags) if tags else F.expr("map()").cast("map<string,string>")
-    return count.select(F.lit(name).alias("metric"), labels.alias("labels"), F.col("value").cast("bigint").alias("value"))
-
-
-def counters(counts: dict[str, DataFrame]) -> DataFrame:
-    """Several one-row counts (``value``) as one table of metric rows."""
-    return reduce(DataFrame.unionByName, [counter(df, name) for name, df in counts.items()])
+def counters(counted: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A one-row aggregate as metric rows; ``names`` maps metrics to its columns."""
+    def tags(name: str) -> Column:
+        pairs = [F.lit(x) for pair in TAGS.get(name, {}).items() for x in pair]
+        return (F.create_map(*pairs) if pairs else F.expr("map()")).cast("map<string,string>")
+
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("metric"), tags(name).alias("labels"), F.col(column).cast("bigint").alias("value"))
+        for name, column in names.items()
+    ])
+    return counted.select(F.explode(rows).alias("_row")).select("_row.*")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

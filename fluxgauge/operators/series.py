@@ -10,8 +10,9 @@ from fluxgauge.operators import blocks
 # How far back a lookup may reach, in seconds.
 STALENESS = 300
 
-# Seconds of one series' samples per block of a trailing window.
-BLOCK_SECONDS = 86_400
+# Trailing windows per block: a block then repeats a tenth of its rows, and a task sorts
+# what one series sends in eleven windows.
+WINDOWS_PER_BLOCK = 10
 
 
 def select(samples: DataFrame, metric: str, by: list[str], **matching: str) -> DataFrame:
@@ -54,15 +55,15 @@ def _counter_delta(in_order) -> Column:
 
 
 def counter_rate(
-    samples: DataFrame, by: list[str], seconds: int, extrapolate: bool = False, block_seconds: int = BLOCK_SECONDS
+    samples: DataFrame, by: list[str], seconds: int, extrapolate: bool = False, block_seconds: int | None = None
 ) -> DataFrame:
     """Increase and per-second rate of a counter over the window ending at each sample.
 
     The window excludes its start. Fewer than two samples in it give no rate.
     """
     span = seconds * 1_000_000
-    spread = blocks.with_lookback(
-        samples.withColumn("_us", F.unix_micros("ts")), F.col("_us"), block_seconds * 1_000_000, span)
+    width = (block_seconds or seconds * WINDOWS_PER_BLOCK) * 1_000_000
+    spread = blocks.with_lookback(samples.withColumn("_us", F.unix_micros("ts")), F.col("_us"), width, span)
     in_order = Window.partitionBy(*by, "_block").orderBy("_us")
     trailing = in_order.rangeBetween(1 - span, 0)
     with_delta = spread.withColumn("_delta", F.coalesce(_counter_delta(in_order), F.lit(0.0)))

@@ -34,18 +34,22 @@ UNION ALL SELECT 'telemetry.dlq.sent.total', NULL, count(*) FILTER (WHERE route
 UNION ALL SELECT 'telemetry.dlq.reprocessed.total', NULL, count(*) FILTER (WHERE route = 2 AND k % 25 <> 24) FROM acc_req""")
 def telemetry_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = classified(spark, sf_dir)
-    good = validate.valid(checked)
-    first = dedup.first_arrivals(good, "event_id", "ts", "k", "route")
-    per_key = good.groupBy("device_id", "date").agg(F.count("*").alias("copies"))
-    dead = views.dead_letter_records(first.where(F.col("route") == views.DEAD_LETTER))
+    first = dedup.first_arrivals(validate.valid(checked), "event_id", "ts", "k", "route", copies="copies")
     flagged = projection.with_out_of_order(first, block_width=BLOCK)
-    found = metrics.counters({
-        metrics.RECEIVED: checked.agg(metrics.received(checked).alias("value")),
-        metrics.DUPLICATES: per_key.agg(F.sum(F.col("copies") - 1).alias("value")),
-        metrics.OUT_OF_ORDER: flagged.agg(F.count_if("out_of_order").alias("value")),
-        metrics.DLQ_SENT: dead.agg(F.count("*").alias("value")),
-        metrics.DLQ_REPROCESSED: dead_letter.reprocess(dead_letter.messages(dead)).agg(F.count("*").alias("value")),
-    })
+    letter = F.col("route") == views.DEAD_LETTER
+    counted = flagged.agg(
+        F.sum(F.col("copies") - 1).alias("duplicates"),
+        F.count_if("out_of_order").alias("out_of_order"),
+        F.count_if(letter).alias("sent"),
+    )
+    dead = views.dead_letter_records(first.where(letter))
+    again = dead_letter.reprocess(dead_letter.messages(dead)).agg(F.count("*").alias("reprocessed"))
+    found = (
+        metrics.counters(checked.agg(metrics.received(checked).alias("received")), {metrics.RECEIVED: "received"})
+        .unionByName(metrics.counters(counted, {
+            metrics.DUPLICATES: "duplicates", metrics.OUT_OF_ORDER: "out_of_order", metrics.DLQ_SENT: "sent"}))
+        .unionByName(metrics.counters(again, {metrics.DLQ_REPROCESSED: "reprocessed"}))
+    )
     return found.select("metric", F.try_element_at("labels", F.lit("type")).alias("type"), "value")
 
 
@@ -90,10 +94,10 @@ c AS (SELECT * FROM s WHERE from_state <> to_state)
 SELECT *, round((epoch_us(lead(ts) OVER (PARTITION BY device_id ORDER BY seq)) - epoch_us(ts)) / 1e6, 6) AS seconds_in_state
 FROM c""")
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed = views.delivery_outcomes(spark, sf_dir).withColumn("state", outcome.breaker_state(F.col("state")))
-    return _rounded(
-        alerts.transitions(observed, ["device_id"], "seq", "ts", "state", block_width=1 << 16),
-        "seconds_in_state", digits=6)
+    observed = views.delivery_outcomes(spark, sf_dir).select("device_id", "seq", "ts", "state")
+    changes = alerts.transitions(observed, ["device_id"], "seq", "ts", "state", block_width=1 << 16)
+    named = changes.withColumns({c: outcome.breaker_state(F.col(c)) for c in ("from_state", "to_state")})
+    return _rounded(named, "seconds_in_state", digits=6)
 
 
 @query("rate_tumbling", """

@@ -6,6 +6,7 @@ that is repeated after a failure replaces its own output and nothing is kept twi
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fluxgauge import schemas
 from fluxgauge.operators import dead_letter, dedup, events, fallback, metrics, projection, validate
-from fluxgauge.streaming.delivery import Sink, with_fallback
+from fluxgauge.streaming.delivery import Sink, with_fallback, with_retries
 from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
 
 COUNTER_ROW = "metric STRING, labels MAP<STRING, STRING>, value BIGINT"
@@ -83,6 +84,7 @@ class ReadSide:
 
     root: str
     now: Callable[[], Column] = F.current_timestamp
+    wait: Callable[[float], None] = time.sleep
     projection: ProjectionTable = field(init=False)
     dead_letters: BatchTable = field(init=False)
     flags: BatchTable = field(init=False)
@@ -96,6 +98,15 @@ class ReadSide:
         self.counters = BatchTable(f"{self.root}/read-counters", COUNTER_ROW)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        """Fold a batch; when the tables keep failing, set all its records aside and go on."""
+        try:
+            with_retries(self.fold, batch, batch_id, self.wait)
+        except Exception as error:  # whatever failed is the dead letters' reason
+            _, dead = dead_letter.route(batch, F.lit(f"{type(error).__name__}: {error}"))
+            self.dead_letters.write(dead, batch_id)
+            _write_counters(self.counters, batch, {metrics.OUT_OF_ORDER: 0, metrics.DLQ_SENT: dead.count()}, batch_id)
+
+    def fold(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: topic records. Devices keep their order through their partition's offsets."""
         spark = batch.sparkSession
         good, broken = events.read_events(batch)
