@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
@@ -27,24 +27,30 @@ def _with_epoch(schema: str, fields: tuple[str, ...]) -> str:
     return schema
 
 
-def _decode_either(text: Column, schema: str, stamps: tuple[str, ...]) -> Column:
-    """Decode with ISO-8601 stamps, else with decimal epoch seconds, else null."""
-    iso = _decode(text, schema)
-    epoch = _decode(text, _with_epoch(schema, stamps))
+def _decode_column(df: DataFrame, text: str, into: str, schema: str, stamps: tuple[str, ...]) -> DataFrame:
+    """Decode with ISO-8601 stamps, else with decimal epoch seconds, else null.
+
+    Exploding an array of one keeps the decoded value a column of its own; otherwise the
+    optimizer copies the decoder into every filter and field that uses it.
+    """
+    source = F.col(text).cast("string")
+    decoded = df.withColumn("_iso", F.explode(F.array(_decode(source, schema))))
+    iso, epoch = F.col("_iso"), _decode(source, _with_epoch(schema, stamps))
     names = [part.split()[0] for part in schema.split(", ")]
     plain = F.struct(*[iso[n].alias(n) for n in names])
     seconds = F.struct(*[(epoch_seconds(epoch[n]) if n in stamps else epoch[n]).alias(n) for n in names])
-    return F.when(text.isNull(), None).when(iso[_CORRUPT].isNull(), plain).when(epoch[_CORRUPT].isNull(), seconds)
+    value = F.when(source.isNull(), None).when(iso[_CORRUPT].isNull(), plain).when(epoch[_CORRUPT].isNull(), seconds)
+    return decoded.withColumn(into, value).drop("_iso")
 
 
-def decode_request(body: Column) -> Column:
-    """Request struct, or null when the body cannot be decoded."""
-    return _decode_either(body, schemas.REQUEST, ("date",))
+def decode_requests(df: DataFrame, body: str = "body", into: str = "request") -> DataFrame:
+    """Add the request struct, null where the body cannot be decoded."""
+    return _decode_column(df, body, into, schemas.REQUEST, ("date",))
 
 
-def decode_event(value: Column) -> Column:
-    """Event struct, or null when the record value cannot be decoded."""
-    return _decode_either(value.cast("string"), schemas.EVENT, ("date", "recordedAt"))
+def decode_events(df: DataFrame, value: str = "value", into: str = "event") -> DataFrame:
+    """Add the event struct, null where the record value cannot be decoded."""
+    return _decode_column(df, value, into, schemas.EVENT, ("date", "recordedAt"))
 
 
 def encode_event(*fields: Column) -> Column:

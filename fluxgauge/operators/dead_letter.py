@@ -36,7 +36,7 @@ def route(records: DataFrame, failure: Column) -> tuple[DataFrame, DataFrame]:
 def messages(records: DataFrame) -> DataFrame:
     """Dead letters as messages: the event, why and how often it failed, and when.
     Records that cannot be decoded are left out; ``undecodable`` lists them."""
-    return records.withColumn("event", codec.decode_event(F.col("value"))).where(F.col("event").isNotNull()).select(
+    return codec.decode_events(records).where(F.col("event").isNotNull()).select(
         "event",
         headers.error_message(F.col("headers")).alias("errorMessage"),
         headers.retry_count(F.col("headers")).alias("retryCount"),
@@ -47,7 +47,7 @@ def messages(records: DataFrame) -> DataFrame:
 
 
 def undecodable(records: DataFrame) -> DataFrame:
-    return records.where(codec.decode_event(F.col("value")).isNull())
+    return codec.decode_events(records).where(F.col("event").isNull()).drop("event")
 
 
 def in_topic_order(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def topic_records(
 
 def read_events(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decode records: the events with their trace headers, and the undecodable records."""
-    decoded = records.withColumn("event", codec.decode_event(F.col("value")))
+    decoded = codec.decode_events(records)
     good = decoded.where(F.col("event").isNotNull()).select(
         "event.*", "partition", "offset", "timestamp",
         headers.last(F.col("headers"), headers.TRACE_ID).alias("trace_id"),

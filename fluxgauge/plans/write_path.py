@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.functions import ids
+from fluxgauge.functions import codec, ids
 from fluxgauge.operators import dedup, events, validate
 from fluxgauge.plans import sql
 from fluxgauge.plans.registry import query
@@ -33,7 +33,7 @@ SELECT event_id, NOT broken AS decoded,
        CASE WHEN NOT broken AND NOT dateless THEN ts END AS date
 FROM d""")
 def src_json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = readers.decode_bodies(views.request_bodies(spark, sf_dir))
+    decoded = codec.decode_requests(views.request_bodies(spark, sf_dir))
     return decoded.select(
         "event_id",
         F.col("request").isNotNull().alias("decoded"),
@@ -143,12 +143,10 @@ SELECT CAST(device_id AS VARCHAR) AS key, {sql.topic_partition()} AS partition,
        device_id AS decoded_device, CAST(measurement AS DOUBLE) AS decoded_measurement, ts AS decoded_recorded_at
 FROM acc""")
 def event_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fluxgauge.functions.codec import decode_event
-
     records = events.topic_records(
         events.envelope(accepted(spark, sf_dir), F.col("ts")), timestamp=F.col("recordedAt"))
-    event = decode_event(F.col("value"))
-    return records.select(
+    event = F.col("event")
+    return codec.decode_events(records).select(
         F.col("key").cast("string").alias("key"), "partition", F.col("value").cast("string").alias("value"),
         event["deviceId"].alias("decoded_device"), event["measurement"].alias("decoded_measurement"),
         event["recordedAt"].alias("decoded_recorded_at"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fluxgauge import schemas
 from fluxgauge.functions import codec
@@ -21,11 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def json_requests(spark: SparkSession, path: str) -> DataFrame:
     """Request bodies, one JSON document per line: ``body`` and the decoded ``request``
     (null when undecodable)."""
-    return decode_bodies(spark.read.text(path).withColumnRenamed("value", "body"))
-
-
-def decode_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
-    return bodies.withColumn("request", codec.decode_request(F.col(body)))
+    return codec.decode_requests(spark.read.text(path).withColumnRenamed("value", "body"))
 
 
 def topic_batch(spark: SparkSession, servers: str, topic: str) -> DataFrame:

@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fluxgauge import schemas
+from fluxgauge.functions import codec
 from fluxgauge.operators import dead_letter, dedup, events, fallback, metrics, projection, validate
 from fluxgauge.streaming.delivery import Sink, with_fallback, with_retries
 from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
 
 COUNTER_ROW = "metric STRING, labels MAP<STRING, STRING>, value BIGINT"
 _REQUEST_COLUMNS = "device_id BIGINT, measurement DECIMAL(38,9), date TIMESTAMP, arrival_seq BIGINT"
+_RECORD = ("key", "value", "topic", "partition", "offset", "timestamp", "headers")
+_ARRIVAL = "device_id BIGINT, date TIMESTAMP, measurement DECIMAL(10,2), arrival_seq BIGINT"
+DECODED_ROW = (
+    f"{_ARRIVAL}, broken STRUCT<key: BINARY, value: BINARY, topic: STRING, partition: INT, offset: BIGINT, "
+    "timestamp: TIMESTAMP, headers: ARRAY<STRUCT<key: STRING, value: BINARY>>>"
+)
+FLAG_ROW = f"{_ARRIVAL}, out_of_order BOOLEAN"
 REJECT_ROW = f"{_REQUEST_COLUMNS}, {schemas.REJECT}"
 
 
@@ -88,13 +96,14 @@ class ReadSide:
     projection: ProjectionTable = field(init=False)
     dead_letters: BatchTable = field(init=False)
     flags: BatchTable = field(init=False)
+    decoded: BatchTable = field(init=False)
     counters: BatchTable = field(init=False)
 
     def __post_init__(self) -> None:
         self.projection = ProjectionTable(f"{self.root}/projection")
         self.dead_letters = BatchTable(f"{self.root}/dead-letters", schemas.TOPIC_RECORD)
-        self.flags = BatchTable(
-            f"{self.root}/flags", "device_id BIGINT, date TIMESTAMP, measurement DECIMAL(10,2), arrival_seq BIGINT, out_of_order BOOLEAN")
+        self.flags = BatchTable(f"{self.root}/flags", FLAG_ROW)
+        self.decoded = BatchTable(f"{self.root}/decoded", DECODED_ROW)
         self.counters = BatchTable(f"{self.root}/read-counters", COUNTER_ROW)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -109,14 +118,23 @@ class ReadSide:
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: topic records. Devices keep their order through their partition's offsets."""
         spark = batch.sparkSession
-        good, broken = events.read_events(batch)
-        _, dead = dead_letter.route(broken, F.lit("cannot decode event"))
+        # Decode once; every later step reads the narrow decoded rows.
+        decoded = codec.decode_events(batch)
+        ok = F.col("event").isNotNull()
+        self.decoded.write(decoded.select(
+            F.col("event.deviceId").alias("device_id"), F.col("event.date").alias("date"),
+            codec.table_decimal(F.col("event.measurement")).alias("measurement"),
+            F.col("offset").alias("arrival_seq"),
+            F.when(~ok, F.struct(*[F.col(name) for name in _RECORD])).alias("broken"),
+        ), batch_id)
+        staged = self.decoded.read_batch(spark, batch_id)
+
+        unreadable = staged.where(F.col("broken").isNotNull()).select("broken.*")
+        _, dead = dead_letter.route(unreadable, F.lit("cannot decode event"))
         sent = Observation()
         self.dead_letters.write(dead.observe(sent, F.count("*").alias("n")), batch_id)
 
-        arrived = good.select(
-            F.col("deviceId").alias("device_id"), "date",
-            F.col("measurement").cast(schemas.TABLE_DECIMAL).alias("measurement"), F.col("offset").alias("arrival_seq"))
+        arrived = staged.where(F.col("broken").isNull()).drop("broken")
         late = Observation()
         flagged = projection.with_out_of_order(arrived, self.projection.read(spark, batch_id)).drop("stored_date")
         self.flags.write(flagged.observe(late, F.count_if("out_of_order").alias("n")), batch_id)

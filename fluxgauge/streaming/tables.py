@@ -87,6 +87,10 @@ class BatchTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return read_batches(spark, self.path, self.schema).drop("batch_id")
 
+    def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        every = read_batches(spark, self.path, self.schema)
+        return every.where(F.col("batch_id") == batch_id).drop("batch_id")
+
     def read_last(self, spark: SparkSession, by: list[str], value: str) -> DataFrame:
         """The value a key had in the last batch that wrote it, for streams in update mode."""
         every = read_batches(spark, self.path, self.schema)
