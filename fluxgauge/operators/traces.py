@@ -9,19 +9,27 @@ from fluxgauge.functions import ids
 
 # Fixed value: level, then [application,trace id,span id], ids empty outside a trace.
 LOG_PATTERN = r"^(\S+ \S+)\s+([A-Z]+)\s+\[([^,\]]*),([^,\]]*),([^,\]]*)\]\s*(.*)$"
+# Joins the fields of one match, so that a line is matched once.
+_SEPARATOR = "\u0001"
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Time, level, application, ids and message of each line; ids are null without a trace."""
-    part = lambda i: F.regexp_extract(line, LOG_PATTERN, i)
-    return lines.withColumns({
-        "logged_at": part(1).try_cast("timestamp"),
-        "level": part(2),
-        "application": part(3),
-        "trace_id": F.nullif(part(4), F.lit("")),
-        "span_id": F.nullif(part(5), F.lit("")),
-        "message": part(6),
-    }).drop(line)
+    """Time, level, application, ids and message of each line; ids are null without a trace.
+    All are null for a line of another form."""
+    fields = F.regexp_replace(line, LOG_PATTERN, _SEPARATOR.join(f"${i}" for i in range(1, 7)))
+    parsed = lines.withColumn("_part", F.split(fields, _SEPARATOR, 6))
+
+    def part(i: int) -> Column:
+        return F.when(F.size("_part") == 6, F.get("_part", i))
+
+    return parsed.withColumns({
+        "logged_at": part(0).try_cast("timestamp"),
+        "level": part(1),
+        "application": part(2),
+        "trace_id": F.nullif(part(3), F.lit("")),
+        "span_id": F.nullif(part(4), F.lit("")),
+        "message": part(5),
+    }).drop(line, "_part")
 
 
 def parse_ids(df: DataFrame) -> DataFrame:
