@@ -28,8 +28,11 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
 
 
 def append_audit(df: DataFrame, path: str, batch_id: int) -> None:
-    """Accepted readings, laid out by day so that duplicate checks prune."""
-    write_batch(df.withColumn("day", F.to_date("date")), path, batch_id, ("day",))
+    """Accepted readings, laid out by day so that duplicate checks prune.
+
+    Rebalancing gathers a day's rows into few files and splits a day that is too large.
+    """
+    write_batch(df.withColumn("day", F.to_date("date")).hint("rebalance", "day"), path, batch_id, ("day",))
 
 
 def publish(records: DataFrame, servers: str, topic: str = MAIN_TOPIC) -> None:
