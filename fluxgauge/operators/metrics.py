@@ -122,7 +122,42 @@ def failure_rate(
     )
 
 
+def breaker_status(
+    calls: DataFrame, by: list[str], order: str, failed: str, state: str, window: int = outcome.WINDOW_CALLS
+) -> DataFrame:
+    """Where each breaker stands: its last state, and the calls in its window. The failure
+    rate is -1 until the window is full. Spark keeps only ``window`` calls per key and task."""
+    newest = Window.partitionBy(*by).orderBy(F.desc(order))
+    last = calls.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= window)
+    counted = last.groupBy(*by).agg(
+        F.max_by(state, order).alias("state"), F.count("*").alias("buffered_calls"),
+        F.count_if(F.col(failed)).alias("failed_calls"))
+    rate = F.when(F.col("buffered_calls") < window, F.lit(-1.0)).otherwise(F.col("failed_calls") * F.lit(100.0 / window))
+    return counted.withColumn("failure_rate_pct", rate)
+
+
 def consumer_lag(offsets: DataFrame) -> DataFrame:
     """Records not yet consumed per topic: worst partition and sum."""
     lag = F.col("end_offset") - F.col("committed_offset")
     return offsets.groupBy("topic").agg(F.max(lag).alias("lag_max"), F.sum(lag).alias("lag_total"))
+
+
+def lag_over_time(
+    produced: DataFrame, consumed: DataFrame, by: list[str], ts: str, block_seconds: int = 86_400
+) -> DataFrame:
+    """Records produced and not yet consumed, at every moment either changes. Both sides are
+    counted per moment first; the running difference then works block by block."""
+    changes = produced.select(*by, ts, F.lit(1).alias("_change")).unionByName(
+        consumed.select(*by, ts, F.lit(-1).alias("_change")))
+    summed = changes.groupBy(*by, ts).agg(F.sum("_change").alias("_change"))
+    us = F.unix_micros(ts)
+    return blocks.running(
+        summed, by, [us], blocks.block_of(us, block_seconds * 1_000_000), {"lag": ("sum", F.col("_change"))}).drop("_change")
+
+
+def cumulative(added: DataFrame, by: list[str], ts: str, value: str, block_seconds: int = 86_400) -> DataFrame:
+    """What each batch added to a counter, as counter samples that only grow."""
+    us = F.unix_micros(ts)
+    per_moment = added.groupBy(*by, ts).agg(F.sum(value).alias(value))
+    grown = blocks.running(per_moment, by, [us], blocks.block_of(us, block_seconds * 1_000_000), {"_total": ("sum", F.col(value))})
+    return grown.select(*by, ts, F.col("_total").cast("double").alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge.functions import ids, outcome
-from fluxgauge.operators import alerts, dead_letter, dedup, metrics, projection, series, validate
+from fluxgauge.operators import alerts, blocks, dead_letter, dedup, metrics, projection, series, validate
 from fluxgauge.plans import sql
 from fluxgauge.plans.read_model import BLOCK
 from fluxgauge.plans.registry import query
@@ -242,6 +242,132 @@ def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(series.histogram_quantile(buckets, ["day"], QUANTILES), "value", digits=6)
 
 
+# Latency in seconds; the bounds of its histogram.
+SECOND_BOUNDS = [0.1, 0.25, 0.5, 1.0, 2.5]
+
+
+def _bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative bucket counters as a service exposes them: one series per type and bound."""
+    timed = views.delivery_outcomes(spark, sf_dir).select(
+        F.col("state").alias("type"), "seq", "ts", (F.col("elapsed_ms").cast("double") / 100).alias("seconds"))
+    limits = [*SECOND_BOUNDS, float("inf")]
+    counted = blocks.running(
+        timed, ["type"], [F.col("seq")], blocks.block_of(F.col("seq"), 1 << 16),
+        {f"b{i}": ("sum", (F.col("seconds") <= F.lit(le)).cast("int")) for i, le in enumerate(limits)})
+    pairs = F.array(*[
+        F.struct(F.lit(le).alias("le"), F.col(f"b{i}").cast("double").alias("value")) for i, le in enumerate(limits)])
+    return counted.select("type", "ts", F.explode(pairs).alias("_b")).select("type", "ts", "_b.le", "_b.value")
+
+
+def _latency_at_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = series.counter_rate_at_steps(_bucket_samples(spark, sf_dir), ["type", "le"], HOUR, HOUR)
+    buckets = rates.select("step", "le", F.col("increase").alias("count"))
+    return series.histogram_quantile(buckets, ["step"], QUANTILES)
+
+
+_LATENCY = """lat AS (SELECT event_type, value / 100 AS sec, epoch_us(ts) AS us, (epoch_us(ts) + 3599999999) // 3600000000 AS s FROM events),
+counted AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN event_type IN ('error', 'signup') THEN event_type ELSE 'other' END, s
+                                         ORDER BY us) AS rn FROM lat),
+bounds AS (SELECT unnest([0.1, 0.25, 0.5, 1.0, 2.5, 'infinity'::DOUBLE]::DOUBLE[]) AS le),
+b AS (SELECT s, le, CAST(count(*) FILTER (WHERE sec <= le) AS DOUBLE) AS n FROM counted CROSS JOIN bounds WHERE rn > 1 GROUP BY s, le),
+p AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below, max(n) OVER (PARTITION BY s) AS total
+      FROM b WINDOW w AS (PARTITION BY s ORDER BY le)),
+q AS (SELECT *, row_number() OVER (PARTITION BY s, quantile ORDER BY le) AS rn
+      FROM p CROSS JOIN (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS quantile) z WHERE n >= quantile * total AND n > below),
+latency AS (SELECT make_timestamp(s * 3600000000) AS step, quantile,
+                   CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (quantile * total - below) / (n - below) END AS value
+            FROM q WHERE rn = 1)"""
+
+
+@query("latency_quantiles_at_steps", f"""WITH {_LATENCY} SELECT step, quantile, round(value, 6) AS value FROM latency""")
+def latency_quantiles_at_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the hourly increase of bucket counters, summed over types."""
+    return _rounded(_latency_at_steps(spark, sf_dir), "value", digits=6)
+
+
+@query("rate_range_query", f"""WITH {_PAIRS},
+grid AS (SELECT unnest(generate_series((SELECT min(us) // 900000000 FROM samples), (SELECT max(us) // 900000000 + 5 FROM samples))) * 900000000 AS t),
+m AS (SELECT type, t, sum(CASE WHEN prev_us > t - 3600000000 THEN delta ELSE 0 END) AS increase, count(*) AS n, min(us) AS first_us,
+             max(us) AS last_us, arg_min(value, us) AS first_value
+      FROM deltas JOIN grid ON us > t - 3600000000 AND us <= t GROUP BY type, t HAVING count(*) >= 2),
+g AS (SELECT *, (last_us - first_us) / 1e6 AS covered, (first_us - (t - 3600000000)) / 1e6 AS head, (t - last_us) / 1e6 AS tail FROM m),
+e AS (SELECT *, covered / (n - 1) AS gap, CASE WHEN increase > 0 THEN covered * (first_value / increase) END AS zero FROM g)
+SELECT type, make_timestamp(t) AS step, round(increase * ((covered + least(CASE WHEN head >= gap * 1.1 THEN gap / 2 ELSE head END, zero)
+       + CASE WHEN tail >= gap * 1.1 THEN gap / 2 ELSE tail END) / covered) / 3600, 9) AS per_second FROM e""")
+def rate_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extrapolated hourly rate, evaluated every quarter of an hour."""
+    rates = series.counter_rate_at_steps(_received(spark, sf_dir, "type"), ["type"], 900, HOUR, extrapolate=True)
+    return _rounded(rates.select("type", "step", "per_second"), "per_second")
+
+
+@query("breaker_status", f"""WITH r AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events)
+SELECT user_id AS device_id, arg_max({_STATE}, event_id) AS state, count(*) AS buffered_calls,
+       count(*) FILTER (WHERE event_type = 'error') AS failed_calls,
+       CASE WHEN count(*) < 10 THEN -1.0::DOUBLE
+            ELSE count(*) FILTER (WHERE event_type = 'error') * 10.0::DOUBLE END AS failure_rate_pct
+FROM r WHERE back <= 10 GROUP BY user_id""")
+def breaker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = views.delivery_outcomes(spark, sf_dir)
+    found = metrics.breaker_status(calls, ["device_id"], "seq", "failed", "state")
+    return found.withColumn("state", outcome.breaker_state(F.col("state")))
+
+
+def _lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consumer that reads a record as many hours after it as its ``k`` says."""
+    partition = ids.topic_partition(F.col("device_id").cast("string"), readers.TOPIC_PARTITIONS).alias("partition")
+    rows = views.readings(spark, sf_dir).select(partition, "date", "k")
+    read_at = F.timestamp_micros(F.unix_micros("date") + F.col("k").cast("bigint") * 3_600_000_000)
+    return metrics.lag_over_time(
+        rows.select("partition", F.col("date").alias("ts")), rows.select("partition", read_at.alias("ts")), ["partition"], "ts")
+
+
+_LAG = f"""{sql.RAW},
+changes AS (SELECT {sql.topic_partition()} AS part, date AS ts, 1 AS n FROM raw
+            UNION ALL SELECT {sql.topic_partition()}, date + to_hours(k), -1 FROM raw),
+moments AS (SELECT part, ts, sum(n) AS n FROM changes GROUP BY part, ts),
+lags AS (SELECT part, ts, CAST(sum(n) OVER (PARTITION BY part ORDER BY ts) AS BIGINT) AS lag FROM moments)"""
+
+
+@query("consumer_lag_history", f"WITH {_LAG} SELECT part AS partition, ts, lag FROM lags")
+def consumer_lag_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lag(spark, sf_dir)
+
+
+@query("alerts_on_gauges", f"""WITH {_LAG}, {_MEMORY}, {_LATENCY},
+every AS (
+  SELECT 'HighConsumerLag' AS alert, CAST(part AS VARCHAR) AS series, ts, lag > 1000 AS active FROM lags
+  UNION ALL SELECT 'HighMemoryUsage', area || '/' || instance, step, value / 500.0 > 0.9 FROM newest
+  UNION ALL SELECT 'HighLatency', 'p95', step, value > 0.5 FROM latency WHERE quantile = 0.95),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY alert, series ORDER BY ts)
+                       - row_number() OVER (PARTITION BY alert, series, active ORDER BY ts) AS island FROM every)
+SELECT alert, series, min(ts) AS active_from, max(ts) AS active_until, count(*) AS evaluations,
+       min(ts) + INTERVAL 300 SECOND AS fired_at
+FROM numbered WHERE active GROUP BY alert, series, island HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 300000000""")
+def alerts_on_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = _memory(spark, sf_dir, "jvm_memory_used_bytes")
+    limit = _memory(spark, sf_dir, "jvm_memory_max_bytes")
+    memory = series.ratio(used, limit, ["area", "instance", "step"])
+    latency = _latency_at_steps(spark, sf_dir).where(F.col("quantile") == 0.95)
+    return _fired({
+        "HighConsumerLag": _lag(spark, sf_dir).select(F.col("partition").cast("string").alias("series"), "ts", F.col("lag").alias("value")),
+        "HighMemoryUsage": memory.select(
+            F.concat_ws("/", "area", "instance").alias("series"), F.col("step").alias("ts"), F.col("ratio").alias("value")),
+        "HighLatency": latency.select(F.lit("p95").alias("series"), F.col("step").alias("ts"), "value"),
+    })
+
+
+def _fired(evaluations: dict[str, DataFrame]) -> DataFrame:
+    """The stretches in which each rule's condition held long enough."""
+    found = None
+    for name, values in evaluations.items():
+        rule = alerts.rule(name)
+        fired = alerts.sustained(values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds).select(
+            F.lit(name).alias("alert"), "series", "active_from", "active_until", "evaluations", "fired_at")
+        found = fired if found is None else found.unionByName(fired)
+    return found
+
+
 def _arrivals(spark: SparkSession, sf_dir: str, by: list) -> tuple[DataFrame, DataFrame]:
     """Received and repeated readings per label set, from counts of copies."""
     copies = views.readings(spark, sf_dir).groupBy("device_id", "date").agg(F.count("*").alias("copies"))
@@ -295,16 +421,9 @@ def alerts_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = dedup.first_arrivals(views.readings(spark, sf_dir), "route")
     dead = first.groupBy(F.col("date").alias("ts")).agg(F.count_if(F.col("route") == views.DEAD_LETTER).alias("value"))
     whole = F.lit("all").alias("series")
-    evaluations = {
+    return _fired({
         "HighDuplicateRate": series.ratio(duplicates, received, ["ts"]).select(whole, "ts", F.col("ratio").alias("value")),
         "DLQMessagesDetected": dead.select(whole, "ts", "value"),
         "CircuitBreakerOpen": views.delivery_outcomes(spark, sf_dir).select(
             F.col("device_id").cast("string").alias("series"), "ts", F.col("state").alias("value")),
-    }
-    found = None
-    for name, values in evaluations.items():
-        rule = alerts.rule(name)
-        fired = alerts.sustained(values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds).select(
-            F.lit(name).alias("alert"), "series", "active_from", "active_until", "evaluations", "fired_at")
-        found = fired if found is None else found.unionByName(fired)
-    return found
+    })
