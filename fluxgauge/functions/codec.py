@@ -28,19 +28,26 @@ def _with_epoch(schema: str, fields: tuple[str, ...]) -> str:
 
 
 def _decode_column(df: DataFrame, text: str, into: str, schema: str, stamps: tuple[str, ...]) -> DataFrame:
-    """Decode with ISO-8601 stamps, else with decimal epoch seconds, else null.
+    """Decode ISO-8601 stamps or decimal epoch seconds, whichever the text holds; else null.
 
-    Exploding an array of one keeps the decoded value a column of its own; otherwise the
-    optimizer copies the decoder into every filter and field that uses it.
+    Looking at the first stamp's form saves a failed attempt. Exploding an array of one
+    keeps the decoded value a column of its own; otherwise the optimizer copies the decoder
+    into every filter and field that uses it.
     """
     source = F.col(text).cast("string")
-    decoded = df.withColumn("_iso", F.explode(F.array(_decode(source, schema))))
-    iso, epoch = F.col("_iso"), _decode(source, _with_epoch(schema, stamps))
     names = [part.split()[0] for part in schema.split(", ")]
-    plain = F.struct(*[iso[n].alias(n) for n in names])
-    seconds = F.struct(*[(epoch_seconds(epoch[n]) if n in stamps else epoch[n]).alias(n) for n in names])
-    value = F.when(source.isNull(), None).when(iso[_CORRUPT].isNull(), plain).when(epoch[_CORRUPT].isNull(), seconds)
-    return decoded.withColumn(into, value).drop("_iso")
+
+    def fields(row: Column) -> Column:
+        seconds = F.struct(*[(epoch_seconds(row[n]) if n in stamps else row[n]).alias(n) for n in names])
+        return F.when(row[_CORRUPT].isNull(), seconds)
+
+    is_epoch = source.rlike(rf'"{stamps[0]}"\s*:\s*"?-?[0-9.]+"?\s*[,}}]')
+    epoch = F.transform(F.array(_decode(source, _with_epoch(schema, stamps))), fields)[0]
+    iso = F.transform(
+        F.array(_decode(source, schema)),
+        lambda row: F.when(row[_CORRUPT].isNull(), F.struct(*[row[n].alias(n) for n in names])))[0]
+    decoded = F.when(source.isNull(), None).when(is_epoch, epoch).otherwise(iso)
+    return df.withColumn(into, F.explode(F.array(decoded)))
 
 
 def decode_requests(df: DataFrame, body: str = "body", into: str = "request") -> DataFrame:

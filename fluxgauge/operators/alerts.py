@@ -40,17 +40,18 @@ def rule(name: str) -> Rule:
 
 
 def sustained(
-    evaluations: DataFrame, by: list[str], ts: str, active: Column, hold_seconds: int, block_seconds: int = 3_600
+    evaluations: DataFrame, by: list[str], ts: str, active: Column, hold_seconds: int, block_seconds: int | None = 3_600
 ) -> DataFrame:
     """Stretches of evaluations in which the condition held for at least ``hold_seconds``.
 
     A stretch is named by the last evaluation that did not hold, a running maximum, so
-    finding stretches is one aggregation and no series is gathered in one task.
+    finding stretches is one aggregation and no series is gathered in one task. Pass no
+    ``block_seconds`` for evaluations on a grid of steps, which are few per series.
     """
     us = F.unix_micros(ts)
     marked = evaluations.withColumn("_active", F.coalesce(active, F.lit(False)))
     broken = blocks.running(
-        marked, by, [us], blocks.block_of(us, block_seconds * 1_000_000),
+        marked, by, [us], None if block_seconds is None else blocks.block_of(us, block_seconds * 1_000_000),
         {"_broken": ("max", F.when(~F.col("_active"), us))})
     stretches = broken.where(F.col("_active")).groupBy(*by, "_broken").agg(
         F.min(ts).alias("active_from"), F.max(ts).alias("active_until"), F.count("*").alias("evaluations"))

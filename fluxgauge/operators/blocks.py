@@ -36,25 +36,35 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    block: Column,
+    block: Column | None,
     aggregates: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     seed: DataFrame | None = None,
+    summary_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates per key, in ``order``.
 
-    ``block`` must never decrease along ``order``. ``aggregates`` maps a new column to
-    ("max" | "min" | "sum", value). With ``inclusive=False`` a row sees only earlier rows.
-    ``seed`` holds the keys and the new columns: values that precede every row. Rows with
-    a null key form no group; guard keys first.
+    ``block`` must never decrease along ``order``. None means that every key is known to
+    have few rows, such as one per step of a grid; a plain window then reads the input
+    once. ``aggregates`` maps a new column to ("max" | "min" | "sum", value). With
+    ``inclusive=False`` a row sees only earlier rows. ``seed`` holds the keys and the new
+    columns: values that precede every row. ``summary_rows`` are rows with the same block
+    summaries that cost less to compute than ``df``. Guard against null keys first.
     """
+    last_row = 0 if inclusive else -1
+    if block is None:
+        if seed is not None or summary_rows is not None:
+            raise ValueError("seed and summary_rows need blocks")
+        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
+        return df.withColumns({name: _AGGREGATE[kind](value).over(along) for name, (kind, value) in aggregates.items()})
+
     def totals_of(frame: DataFrame) -> DataFrame:
         return frame.groupBy(*keys, "_block").agg(
             *[_AGGREGATE[kind](value).alias(f"_total_{name}") for name, (kind, value) in aggregates.items()]
         )
 
     blocked = df.withColumn("_block", block)
-    totals = totals_of(blocked)
+    totals = totals_of(blocked if summary_rows is None else summary_rows.withColumn("_block", block))
     if seed is not None:
         first = seed.select(*keys, F.lit(-(1 << 62)).alias("_block"),
                             *[F.col(name).alias(f"_total_{name}") for name in aggregates])
@@ -67,7 +77,7 @@ def running(
     )
     within = (
         Window.partitionBy(*keys, "_block").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        .rowsBetween(Window.unboundedPreceding, last_row)
     )
     joined = blocked.join(carried, [*keys, "_block"], "left")
     return joined.select(

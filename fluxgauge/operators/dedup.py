@@ -42,8 +42,10 @@ def not_stored(first: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(stored.select(*KEY), KEY, "left_anti")
 
 
-def already_stored(first: DataFrame, stored: DataFrame) -> DataFrame:
-    return first.join(stored.select(*KEY), KEY, "left_semi")
+def mark_stored(first: DataFrame, stored: DataFrame) -> DataFrame:
+    """All first arrivals with ``already_stored``: both outcomes in one join."""
+    known = stored.select(*KEY, F.lit(True).alias("_known"))
+    return first.join(known, KEY, "left").withColumn("already_stored", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def uniqueness_violations(df: DataFrame, *key: str) -> DataFrame:

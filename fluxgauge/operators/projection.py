@@ -68,19 +68,22 @@ def against_projection(events: DataFrame, projection: DataFrame) -> DataFrame:
 
 
 def with_out_of_order(
-    events: DataFrame, projection: DataFrame | None = None, block_width: int = blocks.ARRIVALS_PER_BLOCK
+    events: DataFrame, projection: DataFrame | None = None, block_width: int = blocks.ARRIVALS_PER_BLOCK,
+    arrivals: DataFrame | None = None,
 ) -> DataFrame:
     """Flag events that arrive after a strictly later one of their device.
 
     Skipped events never raise the stored date, so the running maximum over all earlier
     arrivals equals the stored date. A stored projection simply precedes every arrival.
+    ``arrivals`` are the readings before de-duplication: repeats change no maximum, so
+    summing those up saves de-duplicating once more.
     """
     seed = None
     if projection is not None:
         seed = projection.select("device_id", F.col("latest_date").alias("stored_date"))
     seen = blocks.running(
         events, ["device_id"], [F.col("arrival_seq")], blocks.block_of(F.col("arrival_seq"), block_width),
-        {"stored_date": ("max", F.col("date"))}, inclusive=False, seed=seed,
+        {"stored_date": ("max", F.col("date"))}, inclusive=False, seed=seed, summary_rows=arrivals,
     )
     return seen.withColumn("out_of_order", F.coalesce(F.col("stored_date") > F.col("date"), F.lit(False)))
 

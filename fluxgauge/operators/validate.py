@@ -32,6 +32,7 @@ def with_domain_reason(df: DataFrame, as_of: Column) -> DataFrame:
 def classify(df: DataFrame, as_of: Column, decoded: Column | None = None) -> DataFrame:
     """Add ``failure`` and ``detail`` (null for valid rows) in the order the service checks:
     undecodable body, missing field at the edge, domain rules, value too large to store.
+    Pass ``as_of`` as a literal when valid and rejected rows are written by separate jobs.
     """
     undecodable = F.lit(False) if decoded is None else ~decoded
     missing = _first_missing(outcome.edge_message)

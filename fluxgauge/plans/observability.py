@@ -35,7 +35,7 @@ UNION ALL SELECT 'telemetry.dlq.reprocessed.total', NULL, count(*) FILTER (WHERE
 def telemetry_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = classified(spark, sf_dir)
     first = dedup.first_arrivals(validate.valid(checked), "event_id", "ts", "k", "route", copies="copies")
-    flagged = projection.with_out_of_order(first, block_width=BLOCK)
+    flagged = projection.with_out_of_order(first, block_width=BLOCK, arrivals=validate.valid(checked))
     letter = F.col("route") == views.DEAD_LETTER
     counted = flagged.agg(
         F.sum(F.col("copies") - 1).alias("duplicates"),
@@ -357,13 +357,18 @@ def alerts_on_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _fired(evaluations: dict[str, DataFrame]) -> DataFrame:
-    """The stretches in which each rule's condition held long enough."""
+def _fired(evaluations: dict[str, DataFrame], raw: tuple[str, ...] = ()) -> DataFrame:
+    """The stretches in which each rule's condition held long enough.
+
+    Most evaluations are hourly, so a series has few, however much data is behind them.
+    ``raw`` names the rules that are evaluated at every event.
+    """
     found = None
     for name, values in evaluations.items():
         rule = alerts.rule(name)
-        fired = alerts.sustained(values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds).select(
-            F.lit(name).alias("alert"), "series", "active_from", "active_until", "evaluations", "fired_at")
+        fired = alerts.sustained(
+            values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds, HOUR if name in raw else None,
+        ).select(F.lit(name).alias("alert"), "series", "active_from", "active_until", "evaluations", "fired_at")
         found = fired if found is None else found.unionByName(fired)
     return found
 
@@ -426,4 +431,4 @@ def alerts_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
         "DLQMessagesDetected": dead.select(whole, "ts", "value"),
         "CircuitBreakerOpen": views.delivery_outcomes(spark, sf_dir).select(
             F.col("device_id").cast("string").alias("series"), "ts", F.col("state").alias("value")),
-    })
+    }, raw=("CircuitBreakerOpen",))

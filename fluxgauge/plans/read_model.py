@@ -71,7 +71,9 @@ o AS (
 @query("out_of_order_flag", f"""WITH {_FLAGGED}
 SELECT event_id, device_id, date, coalesce(pm > date, false) AS out_of_order FROM o""")
 def out_of_order_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.with_out_of_order(accepted(spark, sf_dir), block_width=BLOCK).select(
+    return projection.with_out_of_order(
+        accepted(spark, sf_dir), block_width=BLOCK, arrivals=views.readings(spark, sf_dir)
+    ).select(
         "event_id", "device_id", "date", "out_of_order")
 
 
@@ -87,7 +89,7 @@ SELECT o.event_id, o.device_id, coalesce(greatest(o.pm, s.latest_date) > o.date,
 FROM o LEFT JOIN stored s ON s.device_id = o.device_id""")
 def out_of_order_vs_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.with_out_of_order(
-        accepted(spark, sf_dir), views.stored_projection(spark, sf_dir), BLOCK
+        accepted(spark, sf_dir), views.stored_projection(spark, sf_dir), BLOCK, views.readings(spark, sf_dir)
     ).select("event_id", "device_id", "out_of_order")
 
 

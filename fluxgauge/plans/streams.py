@@ -80,7 +80,7 @@ SELECT device_id, CAST(measurement AS DOUBLE) AS latest_measurement, date AS lat
 WHERE newest = 1""")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = _read_side(spark, sf_dir, "stream-latest")
-    return side.projection.read(spark, before=1)
+    return side.projection.current(spark)
 
 
 @query("stream_out_of_order", f"""WITH {_STREAM}

@@ -107,11 +107,16 @@ SELECT a.event_id, a.device_id, a.date,
        EXISTS (SELECT 1 FROM store s WHERE s.device_id = a.device_id AND s.date = a.date) AS already_stored FROM acc a""")
 def dedup_vs_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = dedup.first_arrivals(views.readings(spark, sf_dir), "event_id")
-    stored = views.stored_telemetry(spark, sf_dir)
-    columns = ["event_id", "device_id", "date"]
-    fresh = dedup.not_stored(first, stored).select(*columns, F.lit(False).alias("already_stored"))
-    known = dedup.already_stored(first, stored).select(*columns, F.lit(True).alias("already_stored"))
-    return fresh.unionByName(known)
+    marked = dedup.mark_stored(first, views.stored_telemetry(spark, sf_dir))
+    return marked.select("event_id", "device_id", "date", "already_stored")
+
+
+@query("dedup_not_stored", f"""WITH {_STORE}
+SELECT a.event_id, a.device_id, a.date FROM acc a
+WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.device_id = a.device_id AND s.date = a.date)""")
+def dedup_not_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = dedup.first_arrivals(views.readings(spark, sf_dir), "event_id")
+    return dedup.not_stored(first, views.stored_telemetry(spark, sf_dir)).select("event_id", "device_id", "date")
 
 
 @query("uniq_violations", f"""WITH {sql.RAW}

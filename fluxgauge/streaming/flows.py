@@ -32,6 +32,11 @@ FLAG_ROW = f"{_ARRIVAL}, out_of_order BOOLEAN"
 REJECT_ROW = f"{_REQUEST_COLUMNS}, {schemas.REJECT}"
 
 
+def batch_time() -> Column:
+    """The present as a literal, so that all steps of a batch judge by the same moment."""
+    return F.timestamp_micros(F.lit(time.time_ns() // 1000))
+
+
 def _write_counters(table: BatchTable, df: DataFrame, counts: dict[str, int], batch_id: int) -> None:
     """One row per counter: what the batch added."""
     spark = df.sparkSession
@@ -45,7 +50,7 @@ class WriteSide:
 
     root: str
     publish: Sink
-    now: Callable[[], Column] = F.current_timestamp
+    now: Callable[[], Column] = batch_time
     audit: AuditTable = field(init=False)
     rejects: BatchTable = field(init=False)
     fallback: BatchTable = field(init=False)
@@ -64,15 +69,15 @@ class WriteSide:
         seen = Observation()
         observed = checked.observe(
             seen, metrics.received(checked).alias("received"), F.count_if(F.col("failure").isNull()).alias("valid"),
-            F.min(F.when(F.col("failure").isNull(), F.col("date"))).alias("first"),
-            F.max(F.when(F.col("failure").isNull(), F.col("date"))).alias("last"),
+            F.min(F.when(F.col("failure").isNull(), F.unix_micros("date"))).alias("first_us"),
+            F.max(F.when(F.col("failure").isNull(), F.unix_micros("date"))).alias("last_us"),
         )
         self.rejects.write(validate.rejects(observed, now).select(*batch.columns, "status", "message", "timestamp"), batch_id)
         found = seen.get
 
         first = dedup.first_arrivals(validate.valid(checked))
         if found["valid"]:
-            first = dedup.not_stored(first, self.audit.near(spark, found["first"], found["last"], batch_id))
+            first = dedup.not_stored(first, self.audit.near(spark, found["first_us"], found["last_us"], batch_id))
         self.audit.append(dedup.audit_rows(first, now), batch_id)
 
         # Read back what was written: later steps see exactly the stored rows.
@@ -91,7 +96,7 @@ class ReadSide:
     """Decode events, set broken records aside, keep the latest reading per device."""
 
     root: str
-    now: Callable[[], Column] = F.current_timestamp
+    now: Callable[[], Column] = batch_time
     wait: Callable[[float], None] = time.sleep
     projection: ProjectionTable = field(init=False)
     dead_letters: BatchTable = field(init=False)

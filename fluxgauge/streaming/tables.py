@@ -25,11 +25,12 @@ class AuditTable:
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return read_batches(spark, self.path, _AUDIT).where(F.col("batch_id") == batch_id).drop("batch_id", "day")
 
-    def near(self, spark: SparkSession, first, last, before: int) -> DataFrame:
-        """Rows of earlier batches between two dates; other days and batches are not read."""
+    def near(self, spark: SparkSession, first_us: int, last_us: int, before: int) -> DataFrame:
+        """Rows of earlier batches between two dates, given in epoch microseconds; other days
+        and batches are not read."""
+        first, last = (F.timestamp_micros(F.lit(us)) for us in (first_us, last_us))
         kept = read_batches(spark, self.path, _AUDIT, before)
-        in_days = F.col("day").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
-        return kept.where(in_days & F.col("date").between(F.lit(first), F.lit(last)))
+        return kept.where(F.col("day").between(F.to_date(first), F.to_date(last)) & F.col("date").between(first, last))
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         append_audit(rows, self.path, batch_id)
@@ -60,6 +61,11 @@ class ProjectionTable:
             F.max_by("updated_at", age).alias("updated_at"),
         )
 
+    def current(self, spark: SparkSession) -> DataFrame:
+        """State after the last batch; finding that batch reads folder names and footers only."""
+        last = read_batches(spark, self.path, schemas.PROJECTION).agg(F.max("batch_id").alias("id")).first().id
+        return self.read(spark, 0 if last is None else last + 1)
+
     def write(self, folded: DataFrame, batch_id: int, updated_at: Column) -> None:
         """``folded`` is the batch's latest reading per device."""
         changes = folded.select("device_id", "latest_measurement", "latest_date", updated_at.alias("updated_at"))

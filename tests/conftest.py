@@ -11,5 +11,6 @@ from fluxgauge.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", cores=8)
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -80,7 +80,11 @@ def test_out_of_order_and_history_equal_fold(spark, width):
     events = frame(spark, data).select(
         F.col("seq").alias("arrival_seq"), F.col("device").alias("device_id"),
         F.timestamp_seconds(F.col("day") * 60).alias("date"), F.col("value").cast("decimal(10,2)").alias("measurement"))
-    flags = {r.arrival_seq: r.out_of_order for r in projection.with_out_of_order(events, block_width=width).collect()}
+    flagged = projection.with_out_of_order(events, block_width=width)
+    flags = {r.arrival_seq: r.out_of_order for r in flagged.collect()}
+    repeated = events.unionByName(events.withColumn("arrival_seq", F.col("arrival_seq") + 1))
+    again = projection.with_out_of_order(events, block_width=width, arrivals=repeated)
+    assert flags == {r.arrival_seq: r.out_of_order for r in again.collect()}
     states = {r.arrival_seq: (int(r.latest_measurement), int(r.latest_date.timestamp()) // 60)
               for r in projection.history(events, width).withColumn(
                   "latest_date", F.col("latest_date")).collect()}
@@ -129,7 +133,7 @@ def test_transitions_equal_fold(spark, width):
     assert got == expected
 
 
-@pytest.mark.parametrize("block_seconds", [7, 60, 86_400])
+@pytest.mark.parametrize("block_seconds", [7, 60, 86_400, None])
 def test_sustained_equals_fold(spark, block_seconds):
     rng = random.Random(6)
     data = [(t, device, 0, int(rng.random() < 0.8)) for device in range(2) for t in sorted(rng.sample(range(2000), 300))]
@@ -212,3 +216,32 @@ def test_timer_quantiles_equal_interpolation(spark, values, bucket):
     assert (row["count"], row["total"], row["max"]) == (len(values), sum(values), max(values))
     for q, name in ((50, "p50"), (95, "p95"), (99, "p99")):
         assert row[name] == pytest.approx(numpy.percentile(values, q))
+
+
+@pytest.mark.parametrize("block_seconds", [5, 86_400])
+def test_lag_over_time_equals_fold(spark, block_seconds):
+    data = history(10)
+    rows = frame(spark, data)
+    produced = rows.select("device", F.timestamp_seconds("seq").alias("ts"))
+    consumed = rows.select("device", F.timestamp_seconds(F.col("seq") + F.col("day")).alias("ts"))
+    got = {(r.device, int(r.ts.timestamp())): r.lag
+           for r in metrics.lag_over_time(produced, consumed, ["device"], "ts", block_seconds).collect()}
+    for device, group in by_device(data).items():
+        for moment in {r[0] for r in group} | {r[0] + r[2] for r in group}:
+            assert got.pop((device, moment)) == sum(r[0] <= moment for r in group) - sum(r[0] + r[2] <= moment for r in group)
+    assert not got
+
+
+def test_cumulative_counters_only_grow(spark):
+    added = frame(spark, [(t, 1, 0, n) for t, n in ((0, 3), (60, 4), (60, 1), (200_000, 2))]).select(
+        F.lit("received").alias("metric"), F.timestamp_seconds("seq").alias("ts"), "value")
+    grown = metrics.cumulative(added, ["metric"], "ts", "value").orderBy("ts").collect()
+    assert [r.value for r in grown] == [3.0, 8.0, 10.0]
+
+
+def test_breaker_status(spark):
+    calls = frame(spark, [(i, 1, 0, 0) for i in range(20)] + [(i, 2, 0, 0) for i in range(100, 104)]).select(
+        "device", "seq", ((F.col("seq") >= 14) & (F.col("seq") < 100)).alias("failed"), (F.col("seq") % 3).alias("state"))
+    got = {r.device: (r.state, r.buffered_calls, r.failed_calls, r.failure_rate_pct)
+           for r in metrics.breaker_status(calls, ["device"], "seq", "failed", "state").collect()}
+    assert got == {1: (1, 10, 6, 60.0), 2: (1, 4, 0, -1.0)}

@@ -180,7 +180,7 @@ def test_read_side_equals_batch(spark, full_every):
     run(spark, root, side.process, schemas.TOPIC_RECORD, f"{root}/in")
 
     good = df.dropna().where("arrival_seq % 10 <> 3").withColumn("measurement", F.col("measurement").cast("decimal(10,2)"))
-    assert plain(side.projection.read(spark, 5), "device_id", "latest_measurement", "latest_date") == plain(
+    assert plain(side.projection.current(spark), "device_id", "latest_measurement", "latest_date") == plain(
         projection.latest(good), "device_id", "latest_measurement", "latest_date")
     assert plain(side.flags.read(spark), "arrival_seq", "out_of_order") == plain(
         projection.with_out_of_order(good), "arrival_seq", "out_of_order")
