@@ -17,7 +17,8 @@ def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Time, level, application, ids and message of each line; ids are null without a trace.
     All are null for a line of another form."""
     fields = F.regexp_replace(line, LOG_PATTERN, _SEPARATOR.join(f"${i}" for i in range(1, 7)))
-    parsed = lines.withColumn("_part", F.split(fields, _SEPARATOR, 6))
+    # Exploding an array of one keeps the optimizer from matching again in filters and fields.
+    parsed = lines.withColumn("_part", F.explode(F.array(F.split(fields, _SEPARATOR, 6))))
 
     def part(i: int) -> Column:
         return F.when(F.size("_part") == 6, F.get("_part", i))

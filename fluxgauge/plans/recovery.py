@@ -100,9 +100,9 @@ def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dlq_route", f"""WITH {sql.ACC}
 SELECT CAST(device_id AS VARCHAR) AS key, {sql.topic_partition()} AS partition,
        CASE WHEN route = 2 THEN 'telemetry.recorded.dlq' ELSE 'telemetry.recorded' END AS topic,
-       CASE WHEN route = 2 THEN 3 ELSE 0 END AS retry_count,
+       CAST(CASE WHEN route = 2 THEN 3 ELSE 0 END AS BIGINT) AS retry_count,
        CASE WHEN route = 2 THEN 'cannot store reading' ELSE 'Unknown error' END AS error_message,
-       CASE WHEN route = 2 THEN 8 ELSE 2 END AS header_count,
+       CAST(CASE WHEN route = 2 THEN 8 ELSE 2 END AS BIGINT) AS header_count,
        lpad(hex(event_id), 32, '0') AS trace_id
 FROM acc""")
 def dlq_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def dlq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("header_last", f"""WITH {sql.DLQ}
 SELECT off AS offset, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 10 = 9 THEN 'x' ELSE CAST(k % 4 AS VARCHAR) END AS last_count,
-       retry_count, error_message, 2 * (k % 4) AS header_count FROM dlq""")
+       retry_count, error_message, CAST(2 * (k % 4) AS BIGINT) AS header_count FROM dlq""")
 def header_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     column = F.col("headers")
     return dead_records(spark, sf_dir).select(
@@ -196,7 +196,7 @@ def header_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("retry_schedule", f"""WITH {sql.DLQ}, s AS (
   SELECT off, record_ts, n AS attempt, CAST(1000 * power(2, n - 1) AS BIGINT) AS delay_ms
   FROM dlq JOIN (VALUES (1), (2), (3)) AS r(n) ON n <= retry_count)
-SELECT off AS offset, attempt, delay_ms,
+SELECT off AS offset, CAST(attempt AS BIGINT) AS attempt, delay_ms,
        CAST(sum(delay_ms) OVER w AS BIGINT) AS elapsed_ms,
        record_ts + to_milliseconds(CAST(sum(delay_ms) OVER w AS BIGINT)) AS due_at
 FROM s WINDOW w AS (PARTITION BY off ORDER BY attempt)""")
@@ -209,7 +209,7 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("no_loss_reconcile", f"""WITH {sql.ACC}
 SELECT count(*) AS accepted, count(*) FILTER (WHERE route = 0) AS published, count(*) FILTER (WHERE route = 1) AS fallback,
-       count(*) FILTER (WHERE route = 2) AS dead_letter, 0 AS lost, 0 AS kept_twice, 0 AS unknown FROM acc""")
+       count(*) FILTER (WHERE route = 2) AS dead_letter, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS kept_twice, CAST(0 AS BIGINT) AS unknown FROM acc""")
 def no_loss_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = accepted(spark, sf_dir)
     return dead_letter.reconcile(every, *[

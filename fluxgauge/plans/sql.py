@@ -42,7 +42,7 @@ cls AS (
   FROM req),
 ok AS (SELECT * FROM cls WHERE detail IS NULL AND NOT overflow),
 bad AS (
-  SELECT event_id, CASE WHEN detail IS NOT NULL THEN 400 ELSE 500 END AS status,
+  SELECT event_id, CAST(CASE WHEN detail IS NOT NULL THEN 400 ELSE 500 END AS BIGINT) AS status,
          coalesce(detail, 'Internal server error') AS message, device_id, measurement, date
   FROM cls WHERE detail IS NOT NULL OR overflow),
 acc_req AS (
@@ -70,7 +70,7 @@ DLQ = f"""{ACC},
 dlq AS (
   SELECT {event_id()} AS event_id, device_id, measurement, date, ts, k,
          CASE WHEN k % 4 = 0 THEN 'Unknown error' ELSE 'cannot store reading: ' || CAST(k % 3 AS VARCHAR) END AS error_message,
-         CASE WHEN k % 10 = 9 THEN 0 ELSE k % 4 END AS retry_count,
+         CAST(CASE WHEN k % 10 = 9 THEN 0 ELSE k % 4 END AS BIGINT) AS retry_count,
          date_trunc('millisecond', ts) AS record_ts, {topic_partition()} AS part, event_id AS off, k % 25 = 24 AS broken
   FROM acc WHERE route = 2),
 msg AS (SELECT * FROM dlq WHERE NOT broken)"""

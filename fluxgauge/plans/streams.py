@@ -93,7 +93,7 @@ def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_dlq_split", f"""WITH {sql.RAW}
 SELECT CAST(device_id AS VARCHAR) AS key, 'telemetry.recorded.dlq' AS topic, {sql.topic_partition()} AS partition,
-       arrival_seq AS offset, 6 AS header_count FROM raw WHERE route = 1""")
+       arrival_seq AS offset, CAST(6 AS BIGINT) AS header_count FROM raw WHERE route = 1""")
 def stream_dlq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     dead = _read_side(spark, sf_dir, "stream-dead").dead_letters.read(spark)
     return dead.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",

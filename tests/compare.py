@@ -10,6 +10,9 @@ import duckdb
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 
 
+TYPES = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+
+
 def connect(sf_dir=SF_DIR):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -44,6 +47,9 @@ def difference(spark, con, build, sql, sf_dir=SF_DIR):
     theirs = cursor.fetchall()
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    types = sorted((d[0], str(d[1])) for d in cursor.description)
+    if types != sorted((f.name, TYPES[f.dataType.typeName()]) for f in df.schema.fields):
+        return f"types {types} != {df.dtypes}"
     left, right = rows_of(df.columns, ours), rows_of(names, theirs)
     if left == right:
         return "" if left else "both sides are empty"
