@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +50,9 @@ def _extrapolated(increase: Column, seconds: int, covered: Column, to_start: Col
     return increase * ((covered + F.least(start_gap, to_zero) + end_gap) / covered)
 
 
-def _counter_delta(in_order) -> Column:
-    """Growth since the sample before; a smaller value means the counter restarted at zero."""
-    previous = F.lag("value").over(in_order)
-    return F.when(F.col("value") < previous, F.col("value")).otherwise(F.col("value") - previous)
+def _counter_delta(value: str, before: Column) -> Column:
+    """Growth since the value before; a smaller value means the counter restarted at zero."""
+    return F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
 
 
 def counter_rate(
@@ -66,7 +67,7 @@ def counter_rate(
     spread = blocks.with_lookback(samples.withColumn("_us", F.unix_micros("ts")), F.col("_us"), width, span)
     in_order = Window.partitionBy(*by, "_block").orderBy("_us")
     trailing = in_order.rangeBetween(1 - span, 0)
-    with_delta = spread.withColumn("_delta", F.coalesce(_counter_delta(in_order), F.lit(0.0)))
+    with_delta = spread.withColumn("_delta", F.coalesce(_counter_delta("value", F.lag("value").over(in_order)), F.lit(0.0)))
     measured = with_delta.select(
         *by, "ts", "value", "_own", "_us",
         # The first sample of the window counts only as a starting point.
@@ -88,29 +89,42 @@ def counter_rate_at_steps(
 ) -> DataFrame:
     """The same at every multiple of ``step`` seconds, over the ``seconds`` before it.
 
-    A sample goes to each step whose window holds it, so a sort handles one series'
-    samples of one window.
+    Windows that overlap share buckets. Samples are sorted once, within their bucket, and
+    become one row per series and bucket; only those rows go to every window they are in.
     """
-    step_us, span = step * 1_000_000, seconds * 1_000_000
+    width = gcd(step, seconds)
+    width_us, step_us, span = width * 1_000_000, step * 1_000_000, seconds * 1_000_000
+
+    # Buckets end at multiples of their width and exclude their start, as windows do.
     us = F.unix_micros("ts")
-    reached = F.sequence(-blocks.block_of(-us, step_us), blocks.block_of(us + span - 1, step_us))
-    spread = samples.withColumn("_us", us).withColumn("_step", F.explode(
-        F.when(-blocks.block_of(-us, step_us) <= blocks.block_of(us + span - 1, step_us), reached)))
-    in_order = Window.partitionBy(*by, "_step").orderBy("_us")
+    bucketed = samples.withColumns({"_us": us, "_bucket": -blocks.block_of(-us, width_us)})
+    in_bucket = Window.partitionBy(*by, "_bucket").orderBy("_us")
+    buckets = (
+        bucketed.withColumn("_delta", _counter_delta("value", F.lag("value").over(in_bucket)))
+        .groupBy(*by, "_bucket")
+        .agg(F.coalesce(F.sum("_delta"), F.lit(0.0)).alias("_inside"), F.count("*").alias("_samples"),
+             F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
+             F.min_by("value", "_us").alias("_first_value"), F.max_by("value", "_us").alias("_last_value"))
+    )
+    end_us = F.col("_bucket") * width_us
+    first_step, last_step = -blocks.block_of(-end_us, step_us), blocks.block_of(end_us + (span - width_us), step_us)
+    spread = buckets.withColumn("_step", F.explode(F.when(first_step <= last_step, F.sequence(first_step, last_step))))
+    in_window = Window.partitionBy(*by, "_step").orderBy("_bucket")
+    across = _counter_delta("_first_value", F.lag("_last_value").over(in_window))
     measured = (
-        spread.withColumn("_delta", _counter_delta(in_order))
+        spread.withColumn("_across", F.coalesce(across, F.lit(0.0)))
         .groupBy(*by, "_step")
-        .agg(F.sum("_delta").alias("increase"), F.count("*").alias("_samples"),
-             F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
-             F.min_by("value", "_us").alias("_first_value"))
+        .agg((F.sum("_inside") + F.sum("_across")).alias("increase"), F.sum("_samples").alias("_samples"),
+             F.min("_first_us").alias("_first_us"), F.max("_last_us").alias("_last_us"),
+             F.min_by("_first_value", "_bucket").alias("_first_value"))
         .where(F.col("_samples") >= 2)
     )
     if extrapolate:
-        end_us = F.col("_step") * step_us
+        at_us = F.col("_step") * step_us
         covered = (F.col("_last_us") - F.col("_first_us")) / F.lit(1e6)
         measured = measured.withColumn("increase", _extrapolated(
             F.col("increase"), seconds, covered,
-            (F.col("_first_us") - (end_us - span)) / F.lit(1e6), (end_us - F.col("_last_us")) / F.lit(1e6),
+            (F.col("_first_us") - (at_us - span)) / F.lit(1e6), (at_us - F.col("_last_us")) / F.lit(1e6),
             F.col("_samples"), F.col("_first_value")))
     return measured.select(
         *by, F.timestamp_micros(F.col("_step") * step_us).alias("step"), "increase",

@@ -175,7 +175,7 @@ def test_counter_rate_equals_fold(spark, block_seconds):
     assert got == expected
 
 
-@pytest.mark.parametrize("step,seconds", [(60, 60), (30, 90), (100, 40)])
+@pytest.mark.parametrize("step,seconds", [(60, 60), (30, 90), (100, 40), (15, 300), (7, 5)])
 def test_counter_rate_at_steps_equals_fold(spark, step, seconds):
     data = history(8)
     got = {(r.device, int(r.step.timestamp())): r.increase
