@@ -18,7 +18,7 @@ from fluxgauge import schemas
 from fluxgauge.functions import codec
 from fluxgauge.operators import dead_letter, dedup, events, fallback, metrics, projection, validate
 from fluxgauge.streaming.delivery import Sink, with_fallback, with_retries
-from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
+from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable, day_number
 
 COUNTER_ROW = "metric STRING, labels MAP<STRING, STRING>, value BIGINT"
 _REQUEST_COLUMNS = "device_id BIGINT, measurement DECIMAL(38,9), date TIMESTAMP, arrival_seq BIGINT"
@@ -67,17 +67,17 @@ class WriteSide:
         spark, now = batch.sparkSession, self.now()
         checked = validate.classify(batch, now)
         seen = Observation()
+        # The set of days is bounded by the calendar, not by the size of the batch.
         observed = checked.observe(
             seen, metrics.received(checked).alias("received"), F.count_if(F.col("failure").isNull()).alias("valid"),
-            F.min(F.when(F.col("failure").isNull(), F.unix_micros("date"))).alias("first_us"),
-            F.max(F.when(F.col("failure").isNull(), F.unix_micros("date"))).alias("last_us"),
+            F.collect_set(F.when(F.col("failure").isNull(), day_number(F.to_date("date")))).alias("days"),
         )
         self.rejects.write(validate.rejects(observed, now).select(*batch.columns, "status", "message", "timestamp"), batch_id)
         found = seen.get
 
         first = dedup.first_arrivals(validate.valid(checked))
         if found["valid"]:
-            first = dedup.not_stored(first, self.audit.near(spark, found["first_us"], found["last_us"], batch_id))
+            first = dedup.not_stored(first, self.audit.on_days(spark, list(found["days"]), batch_id))
         self.audit.append(dedup.audit_rows(first, now), batch_id)
 
         # Read back what was written: later steps see exactly the stored rows.

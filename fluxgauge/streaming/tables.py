@@ -12,6 +12,14 @@ from fluxgauge.sources.writers import append_audit, read_batches, write_batch
 
 _AUDIT = f"{schemas.TELEMETRY}, day DATE"
 
+# More days than this are read as one range.
+LISTED_DAYS = 1000
+
+
+def day_number(day: Column) -> Column:
+    """Days since 1970-01-01."""
+    return F.unix_date(day)
+
 
 @dataclass(frozen=True)
 class AuditTable:
@@ -25,12 +33,17 @@ class AuditTable:
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return read_batches(spark, self.path, _AUDIT).where(F.col("batch_id") == batch_id).drop("batch_id", "day")
 
-    def near(self, spark: SparkSession, first_us: int, last_us: int, before: int) -> DataFrame:
-        """Rows of earlier batches between two dates, given in epoch microseconds; other days
-        and batches are not read."""
-        first, last = (F.timestamp_micros(F.lit(us)) for us in (first_us, last_us))
+    def on_days(self, spark: SparkSession, days: list[int], before: int) -> DataFrame:
+        """Rows of earlier batches on the given days (``day_number``); no other folder is read.
+
+        A batch touches few days, and one very old reading adds one day. Should it touch too
+        many to list, the range they span is read instead.
+        """
         kept = read_batches(spark, self.path, _AUDIT, before)
-        return kept.where(F.col("day").between(F.to_date(first), F.to_date(last)) & F.col("date").between(first, last))
+        number = day_number(F.col("day"))
+        if len(days) <= LISTED_DAYS:
+            return kept.where(number.isin(days))
+        return kept.where(number.between(min(days), max(days)))
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         append_audit(rows, self.path, batch_id)
