@@ -193,7 +193,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         kinds[of[len(clustered) + s]] -= 1
     unseen = np.zeros(classes)
     unseen[of[len(clustered):-1]] = 1
-    floor = -np.log10(tokens + DELTA * (kinds + unseen))[of]
+    floor = -np.log10(np.maximum(tokens + DELTA * (kinds + unseen), DELTA))[of]
     floor[-1] = 0.0  # the end is its class's only word
     known = {w: (clustered.get(w, len(clustered) + s), c) for w, s, c in frequent}
     return Model(len(clustered), known, np.log10(follow)[np.ix_(of, of)].astype(np.float32), floor, n + n_docs, v + (n_docs > 0), n_docs), counts

@@ -131,8 +131,8 @@ def block_pairs(blocks: DataFrame, epsilon: float, leading: int = LEADING) -> Da
 
     def nodes(level: int) -> DataFrame:
         return bounds.withColumn("id", F.expr(f"interval div {FAN_OUT ** level}")).groupBy("label", "dim", "id").agg(
-            F.array(*[F.min(F.col("low")[i]) for i in range(leading)]).alias("low_"),
-            F.array(*[F.max(F.col("high")[i]) for i in range(leading)]).alias("high_")).select(
+            F.array(*[F.min(F.get("low", F.lit(i))) for i in range(leading)]).alias("low_"),
+            F.array(*[F.max(F.get("high", F.lit(i))) for i in range(leading)]).alias("high_")).select(
             "label", "dim", "id", F.expr(f"id div {FAN_OUT}").alias("parent"),
             F.filter("low_", lambda x: x.isNotNull()).alias("low"), F.filter("high_", lambda x: x.isNotNull()).alias("high"))
 
