@@ -74,6 +74,8 @@ def drop_copies(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> Data
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("sha"))
     staying = packed.join(dropped, F.col("row.doc_id").eqNullSafe(F.col("dropped_id")) & (F.col("sha") == F.col("dropped_sha")), "left_anti")
+    if repeated.isEmpty():  # else texts would move twice for nothing
+        return staying.select("row.*")
     once = staying.join(repeated, F.col("row.doc_id") == F.col("repeated_id"), "left_anti")
     again = staying.join(repeated, F.col("row.doc_id") == F.col("repeated_id"), "left_semi")
     single = again.groupBy(F.col("row.doc_id").alias("id"), "sha").agg(F.first("row").alias("row"))
