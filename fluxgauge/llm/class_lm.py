@@ -156,6 +156,25 @@ class Model:
     ends: int
 
 
+def _frequent(counts: DataFrame) -> list[tuple[bytes, int, int]]:
+    """(word, shape, n) of the most frequent words that workers may look up, LOOKED_UP at most, the first the commonest.
+
+    A histogram of counts (16 levels per doubling, a few hundred rows) tells which levels fit as a whole; so the driver
+    gets these words only, however many partitions there are.
+    """
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * 16))
+    room, lowest = LOOKED_UP, None
+    for row in short.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        room -= row["words"]
+        if room < 0:
+            break
+        lowest = row["level"]
+    if lowest is None:
+        return []
+    rows = short.where(F.col("level") >= lowest).select("word", "shape", "n").collect()
+    return sorted(((r["word"].encode("utf-8"), r["shape"], r["n"]) for r in rows), key=lambda r: (-r[2], r[0]))
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts (word, shape, n) it was made from.
 
@@ -166,8 +185,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = count_words(docs)
     n_docs = docs.where(id_remainder(HELD) != 2).count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = [(r["word"].encode("utf-8"), r["shape"], r["n"]) for r in counts.where(F.octet_length("word") <= LONGEST).orderBy(
-        F.desc("n"), "word").limit(LOOKED_UP).collect()]
+    frequent = _frequent(counts)
     clustered = {w: i for i, (w, _, _) in enumerate(frequent[:CLUSTERED])}
     shapes = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # SHAPES rows at most
     pairs = count_pairs(docs, clustered)
