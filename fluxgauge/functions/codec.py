@@ -46,7 +46,11 @@ def _decode_column(df: DataFrame, text: str, into: str, schema: str, stamps: tup
     iso = F.transform(
         F.array(_decode(source, schema)),
         lambda row: F.when(row[_CORRUPT].isNull(), F.struct(*[row[n].alias(n) for n in names])))[0]
-    decoded = F.when(source.isNull(), None).when(is_epoch, epoch).otherwise(iso)
+    # an instant has a time and a zone; a bare day or a local time is none
+    loose = F.lit(False)
+    for name in stamps:
+        loose = loose | source.rlike(rf'"{name}"\s*:\s*"(?!\s*[^"T]+T[0-9:.]+(?:Z|[+-][0-9:]+)\s*")')
+    decoded = F.when(source.isNull(), None).when(is_epoch, epoch).when(~loose, iso)
     return df.withColumn(into, F.explode(F.array(decoded)))
 
 

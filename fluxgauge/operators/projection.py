@@ -7,20 +7,30 @@ where the first arrival stays.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgauge.operators import blocks
 
 
-def _by_date(last_arrival: Column) -> Column:
-    return F.struct(F.col("date"), last_arrival)
+# Room for any 64-bit arrival number below the date in one decimal of 38 digits.
+_ARRIVALS = Decimal(10**19)
+_BEFORE_ALL = -(10**18)
+
+
+def age(date: str, arrival: Column) -> Column:
+    """Date, then arrival, as one number. Aggregates over it are hash aggregates; over a struct, each would sort its
+    whole input first. A missing date or arrival precedes all others; a date out of range raises an overflow."""
+    micros = F.coalesce(F.unix_micros(F.col(date)), F.lit(_BEFORE_ALL)).cast("decimal(19,0)")
+    return micros * F.lit(_ARRIVALS).cast("decimal(20,0)") + F.coalesce(arrival, F.lit(_BEFORE_ALL)).cast("decimal(19,0)")
 
 
 def latest(events: DataFrame) -> DataFrame:
     """Fold events into one row per device; combines on the map side, shuffles devices only."""
     return events.groupBy("device_id").agg(
-        F.max_by("measurement", _by_date(F.col("arrival_seq"))).alias("latest_measurement"),
+        F.max_by("measurement", age("date", F.col("arrival_seq"))).alias("latest_measurement"),
         F.max("date").alias("latest_date"),
     )
 
@@ -32,7 +42,7 @@ def latest_accepted(readings: DataFrame) -> DataFrame:
     (device, date) exchange that de-duplication alone would need is not needed here.
     """
     return readings.groupBy("device_id").agg(
-        F.max_by("measurement", _by_date(-F.col("arrival_seq"))).alias("latest_measurement"),
+        F.max_by("measurement", age("date", -F.col("arrival_seq"))).alias("latest_measurement"),
         F.max("date").alias("latest_date"),
     )
 
@@ -117,11 +127,11 @@ def merge(projection: DataFrame, events: DataFrame, updated_at: Column) -> DataF
         "arrival_seq",
         updated_at.alias("updated_at"),
     )
-    age = F.struct("latest_date", "arrival_seq")
+    newest = age("latest_date", F.col("arrival_seq"))
     return stored.unionByName(new).groupBy("device_id").agg(
-        F.max_by("latest_measurement", age).alias("latest_measurement"),
+        F.max_by("latest_measurement", newest).alias("latest_measurement"),
         F.max("latest_date").alias("latest_date"),
-        F.max_by("updated_at", age).alias("updated_at"),
+        F.max_by("updated_at", newest).alias("updated_at"),
     )
 
 

@@ -195,18 +195,20 @@ def bucket_counts(df: DataFrame, by: list[str], value: str, bounds: list[float])
 
 def histogram_quantile(buckets: DataFrame, by: list[str], quantiles: tuple[float, ...]) -> DataFrame:
     """Quantiles from cumulative buckets (``le``, ``count``): linear inside the bucket, the
-    lowest starting at zero; in the +Inf bucket the last finite bound. A group has one row
+    lowest starting at zero, or being its bound if that is not above zero; in the +Inf bucket the last finite bound. A
+    group with no finite bound has no quantiles. A group has one row
     per distinct bound, so its window stays small."""
     summed = buckets.groupBy(*by, "le").agg(F.sum("count").alias("count"))
     along = Window.partitionBy(*by).orderBy("le")
     whole = Window.partitionBy(*by)
     placed = summed.select(
         *by, "le", "count",
-        F.coalesce(F.lag("le").over(along), F.lit(0.0)).alias("_low"),
+        F.coalesce(F.lag("le").over(along), F.least(F.col("le"), F.lit(0.0))).alias("_low"),
         F.coalesce(F.lag("count").over(along), F.lit(0.0)).alias("_below"),
         F.max("count").over(whole).alias("_total"),
         F.max("le").over(whole).alias("_top"),
-    ).where((F.col("_top") == float("inf")) & (F.col("_total") > 0))
+        F.count("*").over(whole).alias("_bounds"),
+    ).where((F.col("_top") == float("inf")) & (F.col("_total") > 0) & (F.col("_bounds") > 1))
     asked = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
     rank = F.col("quantile") * F.col("_total")
     inside = F.col("_low") + (F.col("le") - F.col("_low")) * (rank - F.col("_below")) / (F.col("count") - F.col("_below"))

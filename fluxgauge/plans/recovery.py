@@ -50,9 +50,9 @@ def fallback_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fallback_recent", f"""WITH {sql.FALLBACK}
-SELECT {_FALLBACK_COLUMNS} FROM fallback ORDER BY failed_at DESC, event_id LIMIT 50""")
+SELECT {_FALLBACK_COLUMNS} FROM fallback ORDER BY failed_at DESC, event_id""")
 def fallback_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fallback.newest_first(fallback_rows(spark, sf_dir), 50)
+    return fallback.newest_first(fallback_rows(spark, sf_dir))
 
 
 @query("fallback_replay", f"""WITH {sql.FALLBACK}

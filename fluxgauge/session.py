@@ -46,17 +46,23 @@ def local_session(app: str = "fluxgauge", cores: int | str = "*", memory: str =
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a local session that has none may fall back to a folder of this machine, one per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="fluxgauge-")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="fluxgauge-")
+    return _LOCAL[application]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxgauge import schemas
 from fluxgauge.functions import codec, headers, ids
+from fluxgauge.operators import projection
 from fluxgauge.sources.readers import DEAD_LETTER_TOPIC, TOPIC_PARTITIONS, table
 
 # Readings later than this instant count as future ones in the derived requests.
@@ -119,7 +120,7 @@ def stored_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("date") < F.lit(PROJECTED_UNTIL).cast("timestamp"))
         .groupBy("device_id")
         .agg(
-            F.max_by("measurement", F.struct("date", -F.col("arrival_seq"))).alias("latest_measurement"),
+            F.max_by("measurement", projection.age("date", -F.col("arrival_seq"))).alias("latest_measurement"),
             F.max("date").alias("latest_date"),
         )
         .withColumn("updated_at", recorded_at())

@@ -16,15 +16,27 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of all written batches, or of those before a batch id (pruned by folder).
+def written_batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batches whose write was finished, ascending; one listing of folder names, none if there is no table."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(root):
+        return []
+    folders = [f.getPath() for f in system.listStatus(root) if f.getPath().getName().startswith("batch_id=")]
+    done = [f for f in folders if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().partition("=")[2]) for f in done)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, before: int | None = None, since: int | None = None) -> DataFrame:
+    """Rows of all finished batches, or of those from ``since`` on and before ``before``; no other folder is listed.
 
     A table belongs to one stream: its folders carry that stream's batch ids.
     """
-    if before == 0:  # nothing precedes the first batch, and nothing may exist yet
+    wanted = [b for b in written_batches(spark, path) if (before is None or b < before) and (since is None or b >= since)]
+    if not wanted:
         return spark.createDataFrame([], f"{schema}, batch_id BIGINT")
-    df = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
-    return df if before is None else df.where(F.col("batch_id") < before)
+    folders = [f"{path}/batch_id={b}" for b in wanted]
+    return spark.read.schema(f"{schema}, batch_id BIGINT").option("basePath", path).parquet(*folders)
 
 
 def append_audit(df: DataFrame, path: str, batch_id: int) -> None:

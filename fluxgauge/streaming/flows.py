@@ -26,7 +26,7 @@ _RECORD = ("key", "value", "topic", "partition", "offset", "timestamp", "headers
 _ARRIVAL = "device_id BIGINT, date TIMESTAMP, measurement DECIMAL(10,2), arrival_seq BIGINT"
 DECODED_ROW = (
     f"{_ARRIVAL}, broken STRUCT<key: BINARY, value: BINARY, topic: STRING, partition: INT, offset: BIGINT, "
-    "timestamp: TIMESTAMP, headers: ARRAY<STRUCT<key: STRING, value: BINARY>>>"
+    "timestamp: TIMESTAMP, headers: ARRAY<STRUCT<key: STRING, value: BINARY>>>, reason STRING"
 )
 FLAG_ROW = f"{_ARRIVAL}, out_of_order BOOLEAN"
 REJECT_ROW = f"{_REQUEST_COLUMNS}, {schemas.REJECT}"
@@ -112,34 +112,36 @@ class ReadSide:
         self.counters = BatchTable(f"{self.root}/read-counters", COUNTER_ROW)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Fold a batch; when the tables keep failing, set all its records aside and go on."""
-        try:
-            with_retries(self.fold, batch, batch_id, self.wait)
-        except Exception as error:  # whatever failed is the dead letters' reason
-            _, dead = dead_letter.route(batch, F.lit(f"{type(error).__name__}: {error}"))
-            self.dead_letters.write(dead, batch_id)
-            _write_counters(self.counters, batch, {metrics.OUT_OF_ORDER: 0, metrics.DLQ_SENT: dead.count()}, batch_id)
+        """Fold a batch, with retries. Faulty records are dead letters one by one; a fault of the tables says nothing
+        about records, so it is raised and the stream's checkpoint repeats the batch, which replaces its own folders."""
+        with_retries(self.fold, batch, batch_id, self.wait)
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: topic records. Devices keep their order through their partition's offsets."""
         spark = batch.sparkSession
         # Decode once; every later step reads the narrow decoded rows.
         decoded = codec.decode_events(batch)
-        ok = F.col("event").isNotNull()
+        stored = codec.table_decimal(F.col("event.measurement"))
+        reason = F.when(F.col("event").isNull(), "cannot decode event")
+        for name in ("deviceId", "date", "measurement"):
+            reason = reason.when(F.col(f"event.{name}").isNull(), f"{name} is missing")
+        reason = reason.when(stored.isNull(), "measurement does not fit")
         self.decoded.write(decoded.select(
             F.col("event.deviceId").alias("device_id"), F.col("event.date").alias("date"),
-            codec.table_decimal(F.col("event.measurement")).alias("measurement"),
+            stored.alias("measurement"),
             F.col("offset").alias("arrival_seq"),
-            F.when(~ok, F.struct(*[F.col(name) for name in _RECORD])).alias("broken"),
+            F.when(reason.isNotNull(), F.struct(*[F.col(name) for name in _RECORD])).alias("broken"),
+            reason.alias("reason"),
         ), batch_id)
         staged = self.decoded.read_batch(spark, batch_id)
 
-        unreadable = staged.where(F.col("broken").isNotNull()).select("broken.*")
-        _, dead = dead_letter.route(unreadable, F.lit("cannot decode event"))
+        faulty = staged.where(F.col("broken").isNotNull()).select("broken.*", "reason")
+        _, dead = dead_letter.route(faulty, F.col("reason"))
+        dead = dead.drop("reason")
         sent = Observation()
         self.dead_letters.write(dead.observe(sent, F.count("*").alias("n")), batch_id)
 
-        arrived = staged.where(F.col("broken").isNull()).drop("broken")
+        arrived = staged.where(F.col("broken").isNull()).drop("broken", "reason")
         late = Observation()
         flagged = projection.with_out_of_order(arrived, self.projection.read(spark, batch_id)).drop("stored_date")
         self.flags.write(flagged.observe(late, F.count_if("out_of_order").alias("n")), batch_id)

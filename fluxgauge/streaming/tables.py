@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.sources.writers import append_audit, read_batches, write_batch
+from fluxgauge.sources.writers import append_audit, read_batches, write_batch, written_batches
 
 _AUDIT = f"{schemas.TELEMETRY}, day DATE"
 
@@ -31,7 +31,7 @@ class AuditTable:
         return read_batches(spark, self.path, _AUDIT, before).drop("batch_id", "day")
 
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return read_batches(spark, self.path, _AUDIT).where(F.col("batch_id") == batch_id).drop("batch_id", "day")
+        return read_batches(spark, self.path, _AUDIT, batch_id + 1, batch_id).drop("batch_id", "day")
 
     def on_days(self, spark: SparkSession, days: list[int], before: int) -> DataFrame:
         """Rows of earlier batches on the given days (``day_number``); no other folder is read.
@@ -60,13 +60,14 @@ class ProjectionTable:
     path: str
     full_every: int = 50
 
-    def _last_full(self, before: int) -> int:
-        return max(0, (before - 1) // self.full_every * self.full_every)
+    def _last_full(self, spark: SparkSession, before: int) -> int:
+        """The last full copy that was really written; a batch that failed left none."""
+        full = [b for b in written_batches(spark, self.path) if b < before and b % self.full_every == 0]
+        return full[-1] if full else 0
 
     def read(self, spark: SparkSession, before: int) -> DataFrame:
         """State before a batch. Among equal dates the later batch stays."""
-        kept = read_batches(spark, self.path, schemas.PROJECTION, before)
-        recent = kept.where(F.col("batch_id") >= self._last_full(before))
+        recent = read_batches(spark, self.path, schemas.PROJECTION, before, self._last_full(spark, before))
         age = F.struct("latest_date", "batch_id")
         return recent.groupBy("device_id").agg(
             F.max_by("latest_measurement", age).alias("latest_measurement"),
@@ -75,9 +76,9 @@ class ProjectionTable:
         )
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """State after the last batch; finding that batch reads folder names and footers only."""
-        last = read_batches(spark, self.path, schemas.PROJECTION).agg(F.max("batch_id").alias("id")).first().id
-        return self.read(spark, 0 if last is None else last + 1)
+        """State after the last batch; finding that batch reads folder names only."""
+        written = written_batches(spark, self.path)
+        return self.read(spark, written[-1] + 1 if written else 0)
 
     def write(self, folded: DataFrame, batch_id: int, updated_at: Column) -> None:
         """``folded`` is the batch's latest reading per device."""
@@ -107,8 +108,7 @@ class BatchTable:
         return read_batches(spark, self.path, self.schema).drop("batch_id")
 
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        every = read_batches(spark, self.path, self.schema)
-        return every.where(F.col("batch_id") == batch_id).drop("batch_id")
+        return read_batches(spark, self.path, self.schema, batch_id + 1, batch_id).drop("batch_id")
 
     def read_last(self, spark: SparkSession, by: list[str], value: str) -> DataFrame:
         """The value a key had in the last batch that wrote it, for streams in update mode."""

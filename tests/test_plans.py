@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 import compare
+from fluxgauge.plans import catalog
 
-BATCH = sorted(name for name in contract.queries() if not name.startswith("stream_"))
+BATCH = sorted(name for name in catalog.QUERIES if not name.startswith("stream_"))
 
 
 def plan_of(df):
@@ -16,7 +16,7 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(contract.queries()[name](spark, compare.SF_DIR)) for name in BATCH}
+    return {name: plan_of(catalog.QUERIES[name](spark, compare.SF_DIR)) for name in BATCH}
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -43,6 +43,11 @@ def test_latest_shuffles_devices_only(plans):
     assert "partial_max_by" in plan.split("Exchange")[1]
 
 
+@pytest.mark.parametrize("name", ["devices_list", "latest_per_device", "device_lookup", "devices_recent", "latest_from_audit", "projection_merge"])
+def test_latest_does_not_sort_its_input(plans, name):
+    assert "SortAggregate" not in plans[name]
+
+
 def test_acceptance_combines_copies_before_the_shuffle(plans):
     plan = plans["dedup_accept"]
     assert plan.count("Exchange hashpartitioning") == 1
@@ -66,6 +71,6 @@ def test_histories_are_sorted_block_by_block(plans, name):
         assert "_block" in spec
 
 
-@pytest.mark.parametrize("name", ["dlq_first_n", "devices_recent", "fallback_recent", "trace_slowest_k"])
+@pytest.mark.parametrize("name", ["dlq_first_n", "devices_recent", "trace_slowest_k"])
 def test_top_k_does_not_sort_everything(plans, name):
     assert "TakeOrderedAndProject" in plans[name]

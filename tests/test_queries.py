@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 import compare
+from fluxgauge.plans import catalog
 
 ROWS_ONLY = {"processing_time_approx"}
 
@@ -13,13 +14,13 @@ def con():
     return compare.connect()
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert compare.difference(spark, con, contract.queries()[name], contract.oracle_sql()[name]) == ""
 
 
 def test_only_sketches_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == ROWS_ONLY
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 

@@ -203,28 +203,65 @@ def test_read_side_equals_batch(spark, full_every):
     assert counted["telemetry.out_of_order.total"] == projection.with_out_of_order(good).where("out_of_order").count()
 
 
-def test_batch_that_keeps_failing_is_dead_lettered_and_the_next_goes_on(spark):
-    root = scratch(spark, "poison")
+def test_batch_is_repeated_when_the_tables_fail(spark):
+    """No record is to blame, so none is a dead letter; the repeated batch gives the state of the whole stream."""
+    root = scratch(spark, "outage")
     df = arrivals(spark, 40)
-    waits = []
+    waits, attempts, down = [], [], [True]
     side = flows.ReadSide(root, now=now, wait=waits.append)
-    fold, attempts = side.fold, []
+    fold = side.fold
 
     def failing(batch, batch_id):
         attempts.append(batch_id)
-        if batch_id == 1:
+        if batch_id == 0 and down[0]:
             raise OSError("store is down")
         fold(batch, batch_id)
 
     side.fold = failing
     records = topic_of(spark, df)
+    part = lambda batch_id: records.where(F.col("offset") % 3 == batch_id)
+    with pytest.raises(OSError):
+        side.process(part(0), 0)
+    assert attempts == [0, 0, 0, 0] and waits == [1.0, 2.0, 4.0]
+    down[0] = False
     for batch_id in range(3):
-        side.process(records.where(F.col("offset") % 3 == batch_id), batch_id)
-    assert attempts == [0, 1, 1, 1, 1, 2]
-    assert waits == [1.0, 2.0, 4.0]
-    lost = side.dead_letters.read(spark).where("offset % 3 = 1")
-    assert lost.count() == records.where("offset % 3 = 1").count()
-    assert side.projection.read(spark, 3).count() > 0
+        side.process(part(batch_id), batch_id)
+    whole = flows.ReadSide(scratch(spark, "whole"), now=now, wait=waits.append)
+    whole.process(records, 0)
+    assert plain(side.projection.current(spark), "device_id", "latest_date") == plain(
+        whole.projection.current(spark), "device_id", "latest_date")
+    assert side.dead_letters.read(spark).count() == whole.dead_letters.read(spark).count()
+
+
+def test_incomplete_events_are_dead_letters(spark):
+    root = scratch(spark, "incomplete")
+    values = ['{"eventId":"a","measurement":1.5,"date":"2025-01-31T10:00:00Z"}',
+              '{"eventId":"b","deviceId":1,"measurement":1234567890123.5,"date":"2025-01-31T10:00:00Z"}',
+              '{"eventId":"c","deviceId":1,"measurement":1.5}', '{"eventId":"d","deviceId":1,"date":"2025-01-31T10:00:00Z"}',
+              '{"eventId":"e","deviceId":1,"measurement":1.5,"date":"2025-01-31"}', 'x',
+              '{"eventId":"f","deviceId":7,"measurement":2.5,"date":"2025-01-31T10:00:00Z"}']
+    records = spark.createDataFrame(list(enumerate(values)), "offset long, text string").select(
+        F.lit(None).cast("binary").alias("key"), F.col("text").cast("binary").alias("value"), F.lit("t").alias("topic"),
+        F.lit(0).alias("partition"), "offset", F.timestamp_micros(F.lit(0)).alias("timestamp"),
+        F.array().cast("array<struct<key:string,value:binary>>").alias("headers"))
+    side = flows.ReadSide(root, now=now)
+    side.process(records, 0)
+    assert [r.device_id for r in side.projection.current(spark).collect()] == [7]
+    assert side.dead_letters.read(spark).count() == 6
+
+
+@pytest.mark.parametrize("full_every", [1, 2, 3])
+def test_no_state_is_lost_whichever_batches_are_missing(spark, full_every):
+    batch = lambda b: spark.createDataFrame([(b % 3, float(b), b), (10 + b, float(b), b)], "device_id long, v double, d long").select(
+        "device_id", F.col("v").cast("decimal(10,2)").alias("latest_measurement"), F.timestamp_seconds(F.col("d")).alias("latest_date"))
+    for missing in ({0}, {2}, {0, 1, 2, 3}, {3, 4}):
+        table = ProjectionTable(f"{scratch(spark, 'gaps')}/projection", full_every)
+        assert table.current(spark).count() == 0
+        there = [b for b in range(5) if b not in missing]
+        for b in there:
+            table.write(batch(b), b, F.current_timestamp())
+        want = {b % 3: float(b) for b in there} | {10 + b: float(b) for b in there}
+        assert {r.device_id: float(r.latest_measurement) for r in table.current(spark).collect()} == want
 
 
 def memory_rows(spark, stream, name, mode):
