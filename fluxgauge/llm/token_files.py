@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,8 @@ END_ID = 2
 SHARD_BYTES = 32 << 20   # text per shard
 KEYS_PER_PART = 50_000   # keys of one index part: a part is built and read by one task
 GAMMA = 2                # bits per key and level of the index
-CACHED = 1 << 18
+CACHED = 3 << 18         # units whose ids a worker remembers, about
+MARKS = ",.;:!?"
 MAGIC = b"FGTOKENS"
 HEADER = 16              # magic, then the width of an id in bytes as a 64-bit integer
 
@@ -44,28 +46,37 @@ class Coder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.units: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of ' ' + piece. Letters with a mark behind them are two pre-tokens, so the letters are learned alone."""
+        marked = {p for p in pieces if p[-1] in MARKS and p[:-1].isalpha()}
+        stems = list({p[:-1] for p in marked}.difference(self.units) | (pieces - marked))
+        self.units.update(zip(stems, self._ids([" " + p for p in stems])))
+        mark = dict(zip(MARKS, self._ids(list(MARKS))))
+        self.units.update((p, self.units[p[:-1]] + mark[p[-1]]) for p in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, split = [], {}
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            if any(s in text for s in self.special) or any(not p or p[0].isspace() for p in pieces[1:]) or not pieces[0]:
-                whole.append(i)
-            else:
-                split[i] = pieces
         if len(self.units) > CACHED:
             self.units.clear()
-        wanted = {p for pieces in split.values() for p in pieces[1:]}.difference(self.units)
-        wanted = [p for p in wanted]
-        self.units.update(zip(wanted, self._ids([" " + p for p in wanted])))
-        firsts = self._ids([pieces[0] for pieces in split.values()])
-        for (i, pieces), first in zip(split.items(), firsts):
-            out[i] = first + b"".join(map(self.units.__getitem__, pieces[1:]))
+        split = [text.split(" ") for text in texts]
+        new = set().union(*split).difference(self.units)
+        # what starts with white space may not stand alone: it is never learned, and its texts go whole
+        self._learn({p for p in new if p and not p[0].isspace()})
+        firsts = self._ids([pieces[0] for pieces in split])
+        out, whole = [], []
+        for i, (text, pieces) in enumerate(zip(texts, split)):
+            try:
+                if not pieces[0] or any(s in text for s in self.special):
+                    raise KeyError
+                out.append(firsts[i] + b"".join(map(self.units.__getitem__, pieces[1:])))
+            except KeyError:
+                whole.append(i)
+                out.append(b"")
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         return out
