@@ -73,8 +73,8 @@ def reprocess_summary(events: DataFrame) -> DataFrame:
 
 
 def retry_schedule(failed: DataFrame, retries: Column, failed_at: Column) -> DataFrame:
-    """One row per retry of each failed record: its delay, the delay so far, when it is due."""
-    attempts = F.when(retries > 0, F.sequence(F.lit(1), F.least(retries, F.lit(outcome.MAX_RETRIES))))
+    """One row per retry of each failed record, as many as it says: its delay, the delay so far, when it is due."""
+    attempts = F.when(retries > 0, F.sequence(F.lit(1), retries))
     rows = failed.withColumn("_failed_at", failed_at).withColumn("attempt", F.explode(attempts))
     # The delays form a geometric series, so the running total needs no window.
     total = (

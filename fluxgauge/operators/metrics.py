@@ -161,3 +161,9 @@ def cumulative(added: DataFrame, by: list[str], ts: str, value: str, block_secon
     per_moment = added.groupBy(*by, ts).agg(F.sum(value).alias(value))
     grown = blocks.running(per_moment, by, [us], blocks.block_of(us, block_seconds * 1_000_000), {"_total": ("sum", F.col(value))})
     return grown.select(*by, ts, F.col("_total").cast("double").alias("value"))
+
+
+def window_counts(df: DataFrame, by: list[str], ts: str, window: str) -> DataFrame:
+    """Rows per fixed window."""
+    counted = df.groupBy(*by, F.window(ts, window).alias("_w")).agg(F.count("*").alias("n"))
+    return counted.select(*by, F.col("_w.start").alias("window_start"), "n")

@@ -357,17 +357,13 @@ def alerts_on_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _fired(evaluations: dict[str, DataFrame], raw: tuple[str, ...] = ()) -> DataFrame:
-    """The stretches in which each rule's condition held long enough.
-
-    Most evaluations are hourly, so a series has few, however much data is behind them.
-    ``raw`` names the rules that are evaluated at every event.
-    """
+def _fired(evaluations: dict[str, DataFrame]) -> DataFrame:
+    """The stretches in which each rule's condition held long enough; every series is read hour by hour."""
     found = None
     for name, values in evaluations.items():
         rule = alerts.rule(name)
         fired = alerts.sustained(
-            values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds, HOUR if name in raw else None,
+            values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds, HOUR,
         ).select(F.lit(name).alias("alert"), "series", "active_from", "active_until", "evaluations", "fired_at")
         found = fired if found is None else found.unionByName(fired)
     return found
@@ -431,4 +427,4 @@ def alerts_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
         "DLQMessagesDetected": dead.select(whole, "ts", "value"),
         "CircuitBreakerOpen": views.delivery_outcomes(spark, sf_dir).select(
             F.col("device_id").cast("string").alias("series"), "ts", F.col("state").alias("value")),
-    }, raw=("CircuitBreakerOpen",))
+    })

@@ -195,7 +195,7 @@ def header_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retry_schedule", f"""WITH {sql.DLQ}, s AS (
   SELECT off, record_ts, n AS attempt, CAST(1000 * power(2, n - 1) AS BIGINT) AS delay_ms
-  FROM dlq JOIN (VALUES (1), (2), (3)) AS r(n) ON n <= retry_count)
+  FROM (SELECT off, record_ts, unnest(range(1, retry_count + 1)) AS n FROM dlq))
 SELECT off AS offset, CAST(attempt AS BIGINT) AS attempt, delay_ms,
        CAST(sum(delay_ms) OVER w AS BIGINT) AS elapsed_ms,
        record_ts + to_milliseconds(CAST(sum(delay_ms) OVER w AS BIGINT)) AS due_at

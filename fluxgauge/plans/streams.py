@@ -1,34 +1,53 @@
-"""Streams over the ``events`` table, run to its end; each must equal its batch counterpart."""
+"""Streams over the ``events`` table, in several batches with a restart before each; each must equal its batch counterpart."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.operators import events
+from fluxgauge.operators import events, metrics
 from fluxgauge.plans import sql
 from fluxgauge.plans.registry import query
 from fluxgauge.session import scratch
 from fluxgauge.sources import readers, views
-from fluxgauge.streaming import flows, stateful
+from fluxgauge.streaming import flows
 from fluxgauge.streaming.tables import BatchTable
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.file_stream(spark, sf_dir, EVENTS, name_filter="events.parquet")
+BATCHES = 5
+
+
+def _arriving(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[None]:
+    """Put the events into a folder in order of arrival, a share at each step."""
+    every = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    order = views.arrival_seq(F.col("event_id"))
+    low, high = every.agg(F.min(order), F.max(order)).first()
+    share = F.lit(0) if low is None else F.floor((order - low) / (high - low + 1) * BATCHES)
+    for step in range(BATCHES):
+        every.where(share == step).write.mode("append").parquet(folder)
+        yield
+
 
+def _run(spark: SparkSession, sf_dir: str, root: str, shape: Callable[[DataFrame], DataFrame],
+         process: Callable[[DataFrame, int], None]) -> None:
+    """Start the stream again after each arrival; its checkpoint goes on with the next batch."""
+    for _ in _arriving(spark, sf_dir, f"{root}/input"):
+        flows.run_once(shape(readers.file_stream(spark, f"{root}/input", EVENTS)), process, f"{root}/checkpoint")
 
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _readings(arrived: DataFrame) -> DataFrame:
     wide = F.col("measurement").cast(schemas.WIRE_DECIMAL).alias("measurement")
-    return views.shape_readings(_events(spark, sf_dir)).select("device_id", wide, "date", "arrival_seq")
+    return views.shape_readings(arrived).select("device_id", wide, "date", "arrival_seq")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(arrived: DataFrame) -> DataFrame:
     """Topic records of the readings in arrival order; error events carry a broken value."""
-    rows = views.shape_readings(_events(spark, sf_dir))
+    rows = views.shape_readings(arrived)
     kept = ("arrival_seq", "route")
     records = events.topic_records(
         events.envelope(rows, F.col("ts"), keep=kept), F.col("recordedAt"), keep=kept)
@@ -42,14 +61,14 @@ def _write_side(spark: SparkSession, sf_dir: str, name: str, publish=None) -> fl
     root = scratch(spark, name)
     topic = BatchTable(f"{root}/topic", schemas.TOPIC_RECORD)
     side = flows.WriteSide(root, publish or topic.write, now=views.recorded_at)
-    flows.run_once(_readings(spark, sf_dir), side.process, f"{root}/checkpoint")
+    _run(spark, sf_dir, root, _readings, side.process)
     return side
 
 
 def _read_side(spark: SparkSession, sf_dir: str, name: str) -> flows.ReadSide:
     root = scratch(spark, name)
     side = flows.ReadSide(root, now=views.recorded_at)
-    flows.run_once(_records(spark, sf_dir), side.process, f"{root}/checkpoint")
+    _run(spark, sf_dir, root, _records, side.process)
     return side
 
 
@@ -117,15 +136,12 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, date_trunc('minute', ts) AS window_start, count(*) AS n, count(*) / 60.0::DOUBLE AS per_second
 FROM events GROUP BY 1, 2""")
 def stream_rate_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows in update mode: a later batch replaces the count of a window it adds to."""
+    """Every batch adds its counts, so no row is too late and no state is kept."""
     root = scratch(spark, "stream-rate")
-    stream = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = stateful.window_counts(stream, ["event_type"], "ts", "1 minute", "10 minutes")
     table = BatchTable(f"{root}/windows", "event_type STRING, window_start TIMESTAMP, n BIGINT")
-    query_run = (
-        counts.writeStream.outputMode("update").foreachBatch(table.write)
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    )
-    query_run.awaitTermination()
-    return table.read_last(spark, ["event_type", "window_start"], "n").withColumn(
-        "per_second", F.col("n") / F.lit(60.0))
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        table.write(metrics.window_counts(batch, ["event_type"], "ts", "1 minute"), batch_id)
+
+    _run(spark, sf_dir, root, lambda arrived: arrived.withColumn("ts", F.col("ts").cast("timestamp")), count)
+    return table.read_sum(spark, ["event_type", "window_start"], "n").withColumn("per_second", F.col("n") / F.lit(60.0))

@@ -16,6 +16,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
+def remove_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete one batch's folder, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def written_batches(spark: SparkSession, path: str) -> list[int]:
     """Ids of the batches whose write was finished, ascending; one listing of folder names, none if there is no table."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

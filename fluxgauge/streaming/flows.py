@@ -18,7 +18,7 @@ from fluxgauge import schemas
 from fluxgauge.functions import codec
 from fluxgauge.operators import dead_letter, dedup, events, fallback, metrics, projection, validate
 from fluxgauge.streaming.delivery import Sink, with_fallback, with_retries
-from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable, day_number
+from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
 
 COUNTER_ROW = "metric STRING, labels MAP<STRING, STRING>, value BIGINT"
 _REQUEST_COLUMNS = "device_id BIGINT, measurement DECIMAL(38,9), date TIMESTAMP, arrival_seq BIGINT"
@@ -55,9 +55,11 @@ class WriteSide:
     rejects: BatchTable = field(init=False)
     fallback: BatchTable = field(init=False)
     counters: BatchTable = field(init=False)
+    days: BatchTable = field(init=False)
 
     def __post_init__(self) -> None:
         self.audit = AuditTable(f"{self.root}/audit")
+        self.days = BatchTable(f"{self.root}/days", "day DATE")
         self.rejects = BatchTable(f"{self.root}/rejects", REJECT_ROW)
         self.fallback = BatchTable(f"{self.root}/fallback", schemas.FALLBACK)
         self.counters = BatchTable(f"{self.root}/write-counters", COUNTER_ROW)
@@ -67,18 +69,16 @@ class WriteSide:
         spark, now = batch.sparkSession, self.now()
         checked = validate.classify(batch, now)
         seen = Observation()
-        # The set of days is bounded by the calendar, not by the size of the batch.
         observed = checked.observe(
-            seen, metrics.received(checked).alias("received"), F.count_if(F.col("failure").isNull()).alias("valid"),
-            F.collect_set(F.when(F.col("failure").isNull(), day_number(F.to_date("date")))).alias("days"),
-        )
+            seen, metrics.received(checked).alias("received"), F.count_if(F.col("failure").isNull()).alias("valid"))
         self.rejects.write(validate.rejects(observed, now).select(*batch.columns, "status", "message", "timestamp"), batch_id)
         found = seen.get
 
-        first = dedup.first_arrivals(validate.valid(checked))
-        if found["valid"]:
-            first = dedup.not_stored(first, self.audit.on_days(spark, list(found["days"]), batch_id))
-        self.audit.append(dedup.audit_rows(first, now), batch_id)
+        valid = validate.valid(checked)
+        self.days.write(valid.select(F.to_date("date").alias("day")).distinct(), batch_id)
+        earlier = self.audit.on_days(spark, self.days.read_batch(spark, batch_id), batch_id)
+        self.audit.append(dedup.audit_rows(dedup.not_stored(dedup.first_arrivals(valid), earlier), now), batch_id)
+        self.days.remove(spark, batch_id)
 
         # Read back what was written: later steps see exactly the stored rows.
         accepted = self.audit.read_batch(spark, batch_id)
@@ -148,6 +148,7 @@ class ReadSide:
         self.projection.write(projection.latest(arrived), batch_id, self.now())
         _write_counters(self.counters, batch, {
             metrics.OUT_OF_ORDER: late.get["n"], metrics.DLQ_SENT: sent.get["n"]}, batch_id)
+        self.decoded.remove(spark, batch_id)
 
 
 def start(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str,

@@ -22,9 +22,3 @@ def latest(stream: DataFrame) -> DataFrame:
         F.max_by("measurement", F.struct("date", "arrival_seq")).alias("latest_measurement"),
         F.max("date").alias("latest_date"),
     )
-
-
-def window_counts(stream: DataFrame, by: list[str], ts: str, window: str, lateness: str) -> DataFrame:
-    """Events per fixed window; the watermark bounds the state of metric windows only."""
-    counted = stream.withWatermark(ts, lateness).groupBy(*by, F.window(ts, window).alias("_w")).agg(F.count("*").alias("n"))
-    return counted.select(*by, F.col("_w.start").alias("window_start"), "n")

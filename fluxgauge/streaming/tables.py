@@ -8,17 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.sources.writers import append_audit, read_batches, write_batch, written_batches
+from fluxgauge.sources.writers import append_audit, read_batches, remove_batch, write_batch, written_batches
 
 _AUDIT = f"{schemas.TELEMETRY}, day DATE"
 
-# More days than this are read as one range.
-LISTED_DAYS = 1000
-
-
-def day_number(day: Column) -> Column:
-    """Days since 1970-01-01."""
-    return F.unix_date(day)
+_LAST_DAY = "9999-12-31"
 
 
 @dataclass(frozen=True)
@@ -33,17 +27,15 @@ class AuditTable:
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return read_batches(spark, self.path, _AUDIT, batch_id + 1, batch_id).drop("batch_id", "day")
 
-    def on_days(self, spark: SparkSession, days: list[int], before: int) -> DataFrame:
-        """Rows of earlier batches on the given days (``day_number``); no other folder is read.
+    def on_days(self, spark: SparkSession, days: DataFrame, before: int) -> DataFrame:
+        """Rows of earlier batches on the distinct days of ``days``, a stored table with the column ``day``.
 
-        A batch touches few days, and one very old reading adds one day. Should it touch too
-        many to list, the range they span is read instead.
+        The table's size is known, so Spark broadcasts it while it is small and prunes the other days' folders when
+        the join runs. It prunes only by a side that has a comparison; this one holds for every day.
         """
         kept = read_batches(spark, self.path, _AUDIT, before)
-        number = day_number(F.col("day"))
-        if len(days) <= LISTED_DAYS:
-            return kept.where(number.isin(days))
-        return kept.where(number.between(min(days), max(days)))
+        wanted = days.where(F.col("day") <= F.lit(_LAST_DAY).cast("date"))
+        return kept.join(wanted, "day", "left_semi")
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         append_audit(rows, self.path, batch_id)
@@ -110,10 +102,13 @@ class BatchTable:
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return read_batches(spark, self.path, self.schema, batch_id + 1, batch_id).drop("batch_id")
 
-    def read_last(self, spark: SparkSession, by: list[str], value: str) -> DataFrame:
-        """The value a key had in the last batch that wrote it, for streams in update mode."""
-        every = read_batches(spark, self.path, self.schema)
-        return every.groupBy(*by).agg(F.max_by(value, "batch_id").alias(value))
+    def read_sum(self, spark: SparkSession, by: list[str], value: str) -> DataFrame:
+        """What all batches added to a key."""
+        return self.read(spark).groupBy(*by).agg(F.sum(value).alias(value))
+
+    def remove(self, spark: SparkSession, batch_id: int) -> None:
+        """Drop rows that only their own batch needed."""
+        remove_batch(spark, self.path, batch_id)
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         write_batch(rows, self.path, batch_id)

@@ -1,5 +1,6 @@
 """Streams in several batches: equal to batch results, safe to repeat, nothing lost."""
 
+import datetime
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from fluxgauge.functions import outcome
 from fluxgauge.operators import dedup, events, fallback, projection, validate
 from fluxgauge.session import scratch
 from fluxgauge.sources import readers
-from fluxgauge.streaming import delivery, flows, stateful, tables
+from fluxgauge.streaming import delivery, flows, stateful
 from fluxgauge.streaming.tables import BatchTable, ProjectionTable
 
 READING = "device_id BIGINT, measurement DECIMAL(38,9), date TIMESTAMP, arrival_seq BIGINT"
@@ -94,16 +95,16 @@ def test_repeated_batch_keeps_nothing_twice(spark):
     assert topic.read(spark).count() == len(before)
 
 
-def test_duplicate_check_reads_only_the_days_of_the_batch(spark, monkeypatch):
+def test_duplicate_check_reads_only_the_days_of_the_batch(spark):
     root = scratch(spark, "days")
     side, _ = write_side(spark, root)
     side.process(arrivals(spark, 80), 0)
-    plan = side.audit.on_days(spark, [20089, 19000], 1)._jdf.queryExecution().executedPlan().toString()
+    listed = [(datetime.date(2025, 1, 1),), (datetime.date(2022, 1, 8),)]
+    side.days.write(spark.createDataFrame(listed, "day DATE"), 7)
+    found = side.audit.on_days(spark, side.days.read_batch(spark, 7), 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1].split("]")[0]
-    assert {str(r.date)[:10] for r in side.audit.on_days(spark, [20089, 19000], 1).collect()} == {"2025-01-01"}
-    monkeypatch.setattr(tables, "LISTED_DAYS", 1)
-    days = {str(r.date)[:10] for r in side.audit.on_days(spark, [20089, 20091], 1).collect()}
-    assert days == {"2025-01-01", "2025-01-02", "2025-01-03"}
+    assert {str(r.date)[:10] for r in found.collect()} == {"2025-01-01"}
 
 
 def test_failed_batch_is_repeated_after_restart(spark):
