@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxgauge.llm.common import stored
+
 SEED = "mix-1"
 PIECE = 16    # a larger mean is the sum of independent draws with means up to this
 TERMS = 64    # the distribution function of a mean up to PIECE is 1 in double precision beyond this
@@ -58,11 +60,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> Data
     repeated run draws the same copies. Rows that share a doc_id share the count; a null doc_id is replaced by the
     text's digest. Null and empty texts take part. An empty table gives no rows. Returns the struct ``row`` (the
     document), source, rate, copies, copy (from 1) and mix_key, the place in the mixed order.
+
+    The rates, one row per source, are written first: Spark then knows their size before it plans the join, broadcasts
+    them below its threshold, and moves no document by its source.
     """
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"),
         F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("id"))
-    rated = packed.join(rates(docs, weights), F.col("source").eqNullSafe(F.col("of_source")))
+    rated = packed.join(stored(rates(docs, weights), "mix-rates"), F.col("source").eqNullSafe(F.col("of_source")))
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("pieces")), F.lit(0),
         lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= _uniform(F.col("id"), j.cast("string")))))
