@@ -72,9 +72,16 @@ def reprocess_summary(events: DataFrame) -> DataFrame:
         F.col("reprocessed_count"), outcome.REPROCESSED, outcome.NOTHING_TO_REPROCESS))
 
 
-def retry_schedule(failed: DataFrame, retries: Column, failed_at: Column) -> DataFrame:
-    """One row per retry of each failed record, as many as it says: its delay, the delay so far, when it is due."""
-    attempts = F.when(retries > 0, F.sequence(F.lit(1), retries))
+def retry_schedule(
+    failed: DataFrame, retries: Column, failed_at: Column, max_retries: int | None = outcome.MAX_RETRIES
+) -> DataFrame:
+    """One row per retry of each failed record: its delay, the delay so far, when it is due.
+
+    The delivery policy makes ``max_retries`` retries at most, and none beyond them is scheduled. With None, every retry
+    that the record's header tells of is numbered.
+    """
+    made = retries if max_retries is None else F.least(retries, F.lit(max_retries))
+    attempts = F.when(retries > 0, F.sequence(F.lit(1), made))
     rows = failed.withColumn("_failed_at", failed_at).withColumn("attempt", F.explode(attempts))
     # The delays form a geometric series, so the running total needs no window.
     total = (

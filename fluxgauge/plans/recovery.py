@@ -203,7 +203,7 @@ FROM s WINDOW w AS (PARTITION BY off ORDER BY attempt)""")
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = dead_records(spark, sf_dir)
     return dead_letter.retry_schedule(
-        records, headers.retry_count(F.col("headers")), F.col("timestamp")
+        records, headers.retry_count(F.col("headers")), F.col("timestamp"), max_retries=None
     ).select("offset", "attempt", "delay_ms", "elapsed_ms", "due_at")
 
 

@@ -222,6 +222,15 @@ def test_retry_schedule(spark):
     assert str(rows[-1].due_at) == "2025-01-01 00:00:07"
 
 
+def test_retry_schedule_numbers_what_the_header_says(spark):
+    due = dead_letter.retry_schedule(
+        spark.createDataFrame([(9, "2025-01-01 00:00:00")], "retries INT, t STRING"), F.col("retries"), F.col("t").cast("timestamp"),
+        max_retries=None)
+    rows = due.orderBy("attempt").collect()
+    assert [r.delay_ms for r in rows] == [1000 * 2**n for n in range(9)]
+    assert rows[-1].elapsed_ms == 511_000
+
+
 def test_counters(spark):
     df = readings(
         spark, (600, 20, at("10:00:00")), (600, 22.5, at("10:05:00")), (600, 21, at("10:02:00")),
