@@ -1,27 +1,33 @@
-"""Language-model scores from Brown classes: exchange clustering, class transitions, word emissions."""
+"""Language-model scores from Brown classes: exchange clustering of all words, class transitions, word emissions."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxgauge.llm.common import id_remainder, stored, text_batches
+from fluxgauge.llm.common import arrow_rows, id_remainder, stored, text_batches
 
 HELD = 7                 # documents whose crc32(doc_id) mod 7 is 2 are not learned from
-CLUSTERED = 1_000        # most frequent words, clustered by exchange
-CLASSES = 64             # classes they are put in
+CLUSTERED = 1_000        # most frequent words, exchanged one at a time before the tasks exchange all words
+CLASSES = 64             # least number of classes besides the shapes; grows with the cube root of the vocabulary
 LOOKED_UP = 1 << 17      # most frequent words whose counts every worker holds; all others are joined
 LONGEST = 64             # bytes of a word that may be looked up; longer ones are joined
 FLUSH = 250_000          # distinct words a worker counts before it hands them on
-SHAPES = 32              # classes of all other words, by their form
-SWEEPS = 8               # passes of the exchange
+SHAPES = 32              # classes where all other words start, and where unseen words stay, by their form
+SWEEPS = 8               # passes of the first exchange
+SPREAD = 3               # greatest number of passes over all words
+PAIRED = 1 << 20         # pairs a worker sorts and counts at once
+BLOCK = 1 << 14          # class contexts a worker weighs at once
+RARE = 1 << 62           # ids from here are hashes of words that workers do not hold
 PRIOR = 50.0             # weight of the unconditional class distribution in a transition
 DELTA = 0.5              # added to every word's count within its class
 SCHEMA_COUNTS = "word string, shape int, n long"
@@ -144,152 +150,411 @@ def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, sweeps: in
     return of
 
 
+def _rare_id(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 42) & (RARE - 1) | RARE
+
+
+def _rare_ids(word: str) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(RARE - 1)).bitwiseOR(F.lit(RARE))
+
+
+def _summed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Add up n of equal (first, second); now and then equal ones stay apart, so sums are made again after the shuffle."""
+    order = np.argsort(first * np.int64(-7046029254386353131) + second * np.int64(-4417276706812531889))
+    first, second, n = first[order], second[order], n[order]
+    starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(n) else order
+    return first[starts], second[starts], np.add.reduceat(n, starts) if len(n) else n
+
+
+def word_pairs(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """a, b and n: how often word b follows word a in the texts that may be learned from, for all words.
+
+    Words in ``ids`` have their number there, the end, which also stands before a text, has the next one, and all other
+    words have a hash from RARE on.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def count(batches):
+        get, end = shared.value.get, len(shared.value)
+        seen: list[int] = [end]
+
+        def flush():
+            units = np.array(seen, np.int64)
+            del seen[:-1]
+            a, b, n = _summed(units[:-1], units[1:], np.ones(len(units) - 1, np.int64))
+            return pa.RecordBatch.from_pydict({"a": a, "b": b, "n": n})
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for w in words(text or ""):
+                    unit = get(w)
+                    seen.append(unit if unit is not None else _rare_id(w))
+                seen.append(end)
+                if len(seen) > PAIRED:
+                    yield flush()
+        yield flush()
+
+    return stored(docs.where(id_remainder(HELD) != 2).select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(
+        F.sum("n").alias("n")), "word-pairs")
+
+
+def class_contexts(pairs: DataFrame, hot: np.ndarray, rare: DataFrame, total: int) -> DataFrame:
+    """word, own (its class) and the arrays code and n, one row per word: its neighbours counted by their classes.
+
+    Code j is class j behind the word, total + 1 + j class j before it, and code total the word behind itself. ``hot``
+    has the classes of the numbered words, ``rare`` (id, class) those of all others, which meet their pairs in a join.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(hot)
+
+    def side(word: str, other: str, first: int) -> DataFrame:
+        own = F.col(word).alias("word")
+        rest = [F.col(other).alias("other"), F.lit(first).cast("long").alias("first"), F.col("n")]
+        held = pairs.where(F.col(other) < RARE).select(own, *rest, F.lit(-1).cast("int").alias("class"))
+        return held.union(pairs.where(F.col(other) >= RARE).join(rare, F.col(other) == F.col("id")).select(own, *rest, "class"))
+
+    def count(batches):
+        classes, kept, rows = shared.value, [], 0
+
+        def flush():
+            word, code, n = _summed(*(np.concatenate(c) for c in zip(*kept)))
+            kept.clear()
+            return pa.RecordBatch.from_pydict({"word": word, "code": code, "n": n})
+
+        for batch in batches:
+            word, other, first, n, own = (batch.column(c).to_numpy() for c in ("word", "other", "first", "n", "class"))
+            at = np.where(other < RARE, classes[np.minimum(other, len(classes) - 1)], own)
+            code = np.where(word == other, total, first + at)
+            loop = (word == other) & (first > 0)  # a word behind itself counts once
+            kept.append((word[~loop], code[~loop].astype(np.int64), n[~loop]))
+            rows += len(batch)
+            if rows > PAIRED:
+                yield flush()
+                rows = 0
+        if kept:
+            yield flush()
+
+    found = side("a", "b", 0).union(side("b", "a", total + 1)).mapInArrow(count, "word long, code long, n long")
+    homes = rare.select(F.col("id").alias("word"), F.lit(-1).cast("long").alias("code"), F.col("class").cast("long").alias("n"))
+    dealt = found.union(homes).repartition("word").sortWithinPartitions("word", "code")
+
+    def owned(batches):
+        classes = shared.value
+
+        def rows_of(word, code, n):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            own = np.where(word[starts] < RARE, classes[np.minimum(word[starts], len(classes) - 1)], n[starts])
+            real = code >= 0
+            ends = np.r_[0, np.cumsum(np.add.reduceat(real.astype(np.int32), starts))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c)) for c in (code[real].astype(np.int32), n[real])]
+            return pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(own.astype(np.int32)), *lists], ["word", "own", "code", "n"])
+
+        kept: list = []
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("word", "code", "n")]
+            if not len(batch):
+                continue
+            kept.append(now)
+            if now[0][-1] != kept[0][0][0]:  # the last word may go on
+                now = [np.concatenate(c) for c in zip(*kept)]
+                cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
+                yield rows_of(*(c[:cut] for c in now))
+                kept = [[c[cut:] for c in now]]
+        if kept:
+            yield rows_of(*(np.concatenate(c) for c in zip(*kept)))
+
+    with arrow_rows(pairs.sparkSession, 10_000):
+        return stored(dealt.mapInArrow(owned, "word long, own int, code array<int>, n array<long>"), "class-contexts")
+
+
+def _flat(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """starts, own, code and n of a batch of contexts; own for every row of code."""
+    lists = batch.column("code")
+    sizes = np.diff(lists.offsets.to_numpy())
+    own = np.repeat(batch.column("own").to_numpy(), sizes)
+    return [np.cumsum(sizes) - sizes, own, lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy()]
+
+
+def class_table(contexts: DataFrame, total: int) -> np.ndarray:
+    """How often class b follows class a, of all words; total * total numbers."""
+    def count(batches):
+        table = np.zeros(total * total, np.int64)
+        for batch in batches:
+            own, code, n = (c.astype(np.int64) for c in _flat(batch)[1:])
+            behind = code <= total
+            at = own * total + np.where(code == total, own, code)
+            np.add.at(table, at[behind], n[behind])
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(table[at], pa.int64())})
+
+    with arrow_rows(contexts.sparkSession, 2_000):
+        summed = contexts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(total * total)
+    out[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy()
+    return out.reshape(total, total)
+
+
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1))  # of whole numbers
+
+
+def likelihood(between: np.ndarray) -> float:
+    return float(_xlogx(between).sum() - _xlogx(between.sum(axis=0)).sum() - _xlogx(between.sum(axis=1)).sum())
+
+
+def best_classes(starts: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best class of every word while all others stay, and the gain in likelihood over its own class, for every class.
+
+    Word i has the rows from starts[i] on of its class contexts. The last class is the end's; no word can move there.
+    """
+    total, size = len(between), len(starts)
+    word = np.repeat(np.arange(size), np.diff(np.r_[starts, len(code)]))
+    mine, every = own[starts], np.arange(size)
+    loops = np.zeros(size)
+    np.add.at(loops, word[code == total], n[code == total])
+    word, code, n = word[code != total], code[code != total], n[code != total].astype(float)
+    before = code > total
+    j, home = np.where(before, code - total - 1, code), mine[word]
+    sides = np.zeros((2, size, total))  # classes behind the words, and before them
+    np.add.at(sides, (before.astype(int), word, j), n)
+
+    cells = np.concatenate([between.T, between])[before * total + j]
+    plain = np.concatenate([_xlogx(between.T), _xlogx(between)])[before * total + j]
+    # the word taken out of its own class
+    rows = np.arange(len(j))
+    cells[rows, home] -= n
+    inner = np.flatnonzero(j == home)
+    cells[inner] -= sides[1 - before[inner].astype(int), word[inner]]
+    cells[inner, home[inner]] -= loops[word[inner]]
+    plain[rows, home] = _xlogx(cells[rows, home])
+    plain[inner] = _xlogx(cells[inner])
+    gain = np.zeros((size, total))
+    with_rows, first = np.unique(word, return_index=True)
+    if len(first):
+        gain[with_rows] = np.add.reduceat(_xlogx(cells + n[:, None]) - plain, first, axis=0)
+    out, into = sides
+    corner = np.repeat(between.diagonal()[None, :], size, axis=0)
+    corner[every, mine] -= out[every, mine] + into[every, mine] + loops
+    gain += _xlogx(corner + out + into + loops[:, None]) - _xlogx(corner + out) - _xlogx(corner + into) + _xlogx(corner)
+    for axis, side in ((1, out), (0, into)):
+        margin, share = np.repeat(between.sum(axis=axis)[None, :], size, axis=0), side.sum(axis=1) + loops
+        margin[every, mine] -= share
+        gain -= _xlogx(margin + share[:, None]) - _xlogx(margin)
+    gain -= gain[every, mine][:, None]
+    best = gain[:, :-1].argmax(axis=1)
+    return np.where(gain[every, best] > 1e-6, best, mine), gain
+
+
+def moved(contexts: DataFrame, between: np.ndarray, end: int, turn: int, turns: int) -> DataFrame:
+    """id and class of every word but the end: the best class for the words whose turn it is, else its own."""
+    shared = contexts.sparkSession.sparkContext.broadcast(between)
+
+    def choose(batches):
+        table = shared.value
+        for batch in batches:
+            starts, own, code, n = _flat(batch)
+            ids, mine = batch.column("word").to_numpy(), batch.column("own").to_numpy()
+            to, spans, at = mine.copy(), np.r_[starts, len(code)], 0
+            turns_now = ((ids * np.int64(-7046029254386353131)) >> np.int64(40) & np.int64(0xFFFF)) % turns == turn
+            while at < len(starts):
+                until = max(at + 1, int(np.searchsorted(spans, spans[at] + BLOCK, side="right")) - 1)
+                part = slice(spans[at], spans[until])
+                to[at:until] = best_classes(starts[at:until] - spans[at], own[part], code[part], n[part], table)[0]
+                at = until
+            to = np.where(turns_now, to, mine)[ids != end]
+            yield pa.RecordBatch.from_pydict({"id": ids[ids != end], "class": to.astype(np.int32)})
+
+    with arrow_rows(contexts.sparkSession, 2_000):
+        return stored(contexts.mapInArrow(choose, "id long, class int"), "word-moves")
+
+
 @dataclass
 class Model:
-    """log10 probabilities. ``known`` gives a frequent word's unit and count."""
+    """log10 probabilities. ``known`` gives a frequent word's class and count. Behind the ``n_clustered`` first classes
+    come those of the shapes, and the end's."""
     n_clustered: int
     known: dict[bytes, tuple[int, int]] = field(repr=False)
-    transition: np.ndarray = field(repr=False)   # unit -> unit: of the class, given the class before
-    floor: np.ndarray = field(repr=False)        # unit: minus log10 of its class's smoothed total
+    transition: np.ndarray = field(repr=False)   # class -> class: of the class, given the class before
+    floor: np.ndarray = field(repr=False)        # class: minus log10 of its smoothed total
     train_tokens: int
     vocabulary: int
     ends: int
 
 
-def _frequent(counts: DataFrame) -> list[tuple[bytes, int, int]]:
-    """(word, shape, n) of the most frequent words that workers may look up, LOOKED_UP at most, the first the commonest.
+def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int, int]], Column]:
+    """(word, shape, n) of the most frequent words that workers may look up, LOOKED_UP at most, the first the commonest,
+    and the condition by which they were picked.
 
     A histogram of counts (16 levels per doubling, a few hundred rows) tells which levels fit as a whole; so the driver
     gets these words only, however many partitions there are.
     """
-    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * 16))
+    level = F.floor(F.log2("n") * 16)
     room, lowest = LOOKED_UP, None
-    for row in short.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+    short = F.octet_length("word") <= LONGEST
+    for row in counts.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
         room -= row["words"]
         if room < 0:
             break
         lowest = row["level"]
-    if lowest is None:
-        return []
-    rows = short.where(F.col("level") >= lowest).select("word", "shape", "n").collect()
-    return sorted(((r["word"].encode("utf-8"), r["shape"], r["n"]) for r in rows), key=lambda r: (-r[2], r[0]))
+    picked = short & (level >= lowest) if lowest is not None else F.lit(False)
+    rows = counts.where(picked).select("word", "shape", "n").collect()
+    return sorted(((r["word"].encode("utf-8"), r["shape"], r["n"]) for r in rows), key=lambda r: (-r[2], r[0])), picked
+
+
+def exchange_all(pairs: DataFrame, hot: np.ndarray, rare: DataFrame, total: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Move all words, SPREAD times at most, and return the classes of the numbered words and the end, (id, class) of
+    the others, and the class table.
+
+    In a pass, tasks choose for every second word its best class while all others stay; the next pass takes the other
+    words. Only the class table and the numbered words' classes pass through the driver. A pass after which the
+    likelihood of the class bigrams is less than before it is taken back, and ends the exchange.
+    """
+    end = len(hot) - 1
+    contexts = class_contexts(pairs, hot, rare, total)
+    between = class_table(contexts, total)
+    for turn in range(SPREAD):
+        moves = moved(contexts, between, end, turn % 2, 2)
+        held = moves.where(F.col("id") < RARE).toPandas()  # at most LOOKED_UP rows
+        then = hot.copy()
+        then[held["id"].to_numpy(np.int64)] = held["class"].to_numpy()
+        others = moves.where(F.col("id") >= RARE)
+        contexts = class_contexts(pairs, then, others, total)
+        after = class_table(contexts, total)
+        if likelihood(after) < likelihood(between):
+            break
+        hot, rare, between = then, others, after
+    return hot, rare, between
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts (word, shape, n) it was made from.
+    """The model and the table of all word counts (word, shape, n) it was made from, with the class of every word that
+    the model does not hold.
 
-    Word counts cover all texts that may be learned from and stay in a table; workers get the LOOKED_UP most frequent
-    words, class statistics, and transitions between CLUSTERED + SHAPES + 1 units.
+    The CLUSTERED most frequent words are exchanged on the driver, with all others in the classes of their shapes; from
+    there tasks exchange all words, by the counts of all pairs of words. Words whose 62-bit hashes agree share a class.
     """
     text_batches(docs.sparkSession)
     counts = count_words(docs)
     n_docs = docs.where(id_remainder(HELD) != 2).count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = _frequent(counts)
-    clustered = {w: i for i, (w, _, _) in enumerate(frequent[:CLUSTERED])}
-    shapes = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # SHAPES rows at most
-    pairs = count_pairs(docs, clustered)
-    of = exchange(pairs, len(clustered))
-
-    size, classes = len(pairs), int(of.max()) + 1
-    member = np.zeros((size, classes))
-    member[np.arange(size), of] = 1
-    between = member.T @ pairs @ member
+    frequent, picked = _frequent(counts)
+    seeds = {w: i for i, (w, _, _) in enumerate(frequent[:CLUSTERED])}
+    wanted = max(CLASSES, math.ceil(v ** (1 / 3)))
+    of = exchange(count_pairs(docs, seeds), len(seeds), wanted)
+
+    classes = wanted + SHAPES + 1
+    hot = np.array([of[i] if i < len(seeds) else wanted + s for i, (_, s, _) in enumerate(frequent)] + [classes - 1], np.int64)
+    pairs = word_pairs(docs, {w: i for i, (w, _, _) in enumerate(frequent)})
+    others = counts.where(~picked).withColumn("id", _rare_ids("word"))
+    start = stored(others.groupBy("id").agg((F.min("shape") + wanted).cast("int").alias("class")), "word-starts")
+    hot, rare, between = exchange_all(pairs, hot, start, classes)
     share = (between.sum(axis=0) + 1) / (between.sum() + classes)
     follow = (between + PRIOR * share[None, :]) / (between.sum(axis=1, keepdims=True) + PRIOR)
 
-    # counts and distinct words of every class; clustered words have left their shapes, unseen words are one more of each
+    # counts and distinct words of every class; unseen words are one more of each shape
+    counted = stored(others.join(rare, "id").select("word", "shape", "n", "class").union(
+        counts.where(picked).select("word", "shape", "n", F.lit(None).cast("int").alias("class"))), "word-classes")
     tokens, kinds = np.zeros(classes), np.zeros(classes)
-    for w, i in clustered.items():
-        tokens[of[i]] += frequent[i][2]
-        kinds[of[i]] += 1
-    for row in shapes:
-        tokens[of[len(clustered) + row["shape"]]] += row["n"]
-        kinds[of[len(clustered) + row["shape"]]] += row["v"]
-    for _, s, c in frequent[:CLUSTERED]:
-        tokens[of[len(clustered) + s]] -= c
-        kinds[of[len(clustered) + s]] -= 1
-    unseen = np.zeros(classes)
-    unseen[of[len(clustered):-1]] = 1
-    floor = -np.log10(np.maximum(tokens + DELTA * (kinds + unseen), DELTA))[of]
+    for (_, _, c), k in zip(frequent, hot):
+        tokens[k] += c
+        kinds[k] += 1
+    for row in counted.where("class is not null").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[row["class"]] += row["n"]
+        kinds[row["class"]] += row["v"]
+    kinds[wanted:-1] += 1
+    floor = -np.log10(np.maximum(tokens + DELTA * kinds, DELTA))
     floor[-1] = 0.0  # the end is its class's only word
-    known = {w: (clustered.get(w, len(clustered) + s), c) for w, s, c in frequent}
-    return Model(len(clustered), known, np.log10(follow)[np.ix_(of, of)].astype(np.float32), floor, n + n_docs, v + (n_docs > 0), n_docs), counts
+    known = {w: (int(k), c) for (w, _, c), k in zip(frequent, hot)}
+    return Model(wanted, known, np.log10(follow).astype(np.float32), floor, n + n_docs, v + (n_docs > 0), n_docs), counted
 
 
 def score(docs: DataFrame, trained: tuple[Model, DataFrame] | None = None) -> DataFrame:
     """Log10 probabilities of every whole text, its end included.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams with one added) and score (class
-    bigrams: P(class | class before) * P(word | class)). A word outside the clustered ones has the class of its shape; a
-    word never seen has count 0 in it. A null text is empty and has its end alone. Repeated rows are scored each, rows
-    without doc_id too; an empty table gives no rows. Other columns are not read.
+    bigrams: P(class | class before) * P(word | class)). A word never seen has the class of its shape, and count 0 in
+    it. A null text is empty and has its end alone. Repeated rows are scored each, rows without doc_id too; an empty
+    table gives no rows. Other columns are not read.
 
-    Frequent words are looked up in the worker. The rest leave as (document, word, times) and meet their counts in a
-    join by word; sums by document bring both parts together, so nothing is lost and no text is shuffled.
+    Frequent words are looked up in the worker. The rest leave one by one, with their place and the classes beside it,
+    and meet their counts and classes in a join by word; back together by document they add their transitions. So
+    nothing is lost and no text is shuffled.
     """
     spark = docs.sparkSession
     model, counts = trained or train(docs)
     shared = spark.sparkContext.broadcast(model)
+    names = ["row", "doc_id", "held_out", "word", "place", "behind", "ahead", "shape", "n_tokens", "n_known", "base", "model"]
 
     def read(batches):
         m = shared.value
-        place = TaskContext.get().partitionId() << 33
-        end, get, clustered = len(m.transition) - 1, m.known.get, m.n_clustered
+        first = TaskContext.get().partitionId() << 33
+        end, get = len(m.transition) - 1, m.known.get
         ends_known = int(m.ends > 0)
-        row = 0
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "word", "times", "n_tokens", "n_known", "base", "model")}
-            for text in batch.column("text").to_pylist():
-                rare: Counter = Counter()
-                units, seen = [end], []
+            whole: list[tuple] = []
+            rare: list[tuple] = []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                path, seen = [end], []
                 tokens = words(text or "")
+                met: list[int] = []
                 for w in tokens:
                     found = get(w)
                     if found is None:
-                        rare[w] += 1
-                        units.append(clustered + shape(w))
+                        met.append(len(path))
+                        path.append(-1)
                     else:
-                        units.append(found[0])
+                        path.append(found[0])
                         seen.append(found[1])
-                units.append(end)
-                path = np.array(units)
-                c = np.array(seen, np.float64)
-                out["row"].append(place + row)
-                out["word"].append(f" {place + row}")  # no word holds a space, so this one meets no count
-                out["times"].append(0)
-                out["n_tokens"].append(len(tokens) + 1)
-                out["n_known"].append(len(seen) + ends_known)
-                out["base"].append(float(np.log10(c + 1).sum() + np.log10(m.ends + 1.0)))
-                out["model"].append(float(m.transition[path[:-1], path[1:]].sum(dtype=np.float64) + m.floor[path[1:]].sum()
-                                          + np.log10(c + DELTA).sum()))
-                for w, times in rare.items():
-                    out["row"].append(place + row)
-                    out["word"].append(w.decode("utf-8"))
-                    out["times"].append(times)
-                    for name, zero in (("n_tokens", 0), ("n_known", 0), ("base", 0.0), ("model", 0.0)):
-                        out[name].append(zero)
-                row += 1
-            ids = dict(zip(range(place + row - len(batch), place + row), batch.column("doc_id").to_pylist()))
-            held = dict(zip(ids, batch.column("held_out").to_pylist()))
-            first = [t == 0 for t in out["times"]]
+                path.append(end)
+                rare.extend((first + at, tokens[i - 1].decode("utf-8"), i, path[i - 1], path[i + 1], shape(tokens[i - 1])) for i in met)
+                way, c = np.array(path), np.array(seen, np.float64)
+                steps = (way[:-1] >= 0) & (way[1:] >= 0)
+                whole.append((first + at, len(tokens) + 1, len(seen) + ends_known, float(np.log10(c + 1).sum() + np.log10(m.ends + 1.0)),
+                              float(m.transition[way[:-1][steps], way[1:][steps]].sum(dtype=np.float64) + m.floor[way[1:][way[1:] >= 0]].sum()
+                                    + np.log10(c + DELTA).sum())))
+            first += len(batch)
+            blank = len(rare)
+            by_doc, by_word = list(zip(*whole)) or [()] * 5, list(zip(*rare)) or [()] * 6
+            rows = len(whole)
+
+            def column(of_doc, of_word, kind):
+                return pa.array([*of_doc, *of_word], kind)
             yield pa.RecordBatch.from_arrays([
-                pa.array(out["row"], pa.int64()), pa.array([ids[r] if f else None for r, f in zip(out["row"], first)], batch.schema.field("doc_id").type),
-                pa.array([held[r] if f else None for r, f in zip(out["row"], first)], pa.bool_()), pa.array(out["word"], pa.string()),
-                pa.array(out["times"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()),
-                pa.array(out["base"], pa.float64()), pa.array(out["model"], pa.float64())],
-                ["row", "doc_id", "held_out", "word", "times", "n_tokens", "n_known", "base", "model"])
+                column(by_doc[0], by_word[0], pa.int64()), column(batch.column("doc_id").to_pylist(), [None] * blank, batch.schema.field("doc_id").type),
+                column(batch.column("held_out").to_pylist(), [None] * blank, pa.bool_()),
+                column([f" {r}" for r in by_doc[0]], by_word[1], pa.string()),  # no word holds a space, so these meet no count
+                column([0] * rows, by_word[2], pa.int64()), column([-1] * rows, by_word[3], pa.int32()),
+                column([-1] * rows, by_word[4], pa.int32()), column([0] * rows, by_word[5], pa.int32()),
+                column(by_doc[1], [0] * blank, pa.int64()), column(by_doc[2], [0] * blank, pa.int64()),
+                column(by_doc[3], [0.0] * blank, pa.float64()), column(by_doc[4], [0.0] * blank, pa.float64())], names)
 
     schema = T.StructType().add("row", "long").add(docs.schema["doc_id"]).add("held_out", "boolean").add("word", "string").add(
-        "times", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("model", "double")
+        "place", "long").add("behind", "integer").add("ahead", "integer").add("shape", "integer").add("n_tokens", "long").add("n_known", "long").add(
+        "base", "double").add("model", "double")
     parts = docs.select("doc_id", (id_remainder(HELD) == 2).alias("held_out"), "text").mapInArrow(read, schema)
-    c = F.coalesce(F.col("n"), F.lit(0))
-    met = parts.join(counts.select(F.col("word").alias("of_word"), "n"), F.col("word") == F.col("of_word"), "left").select(
-        "row", "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("times") * F.log10(c + 1)).alias("base"), (F.col("model") + F.col("times") * F.log10(c + DELTA)).alias("model"))
+    c, found = F.coalesce(F.col("n"), F.lit(0)), F.col("place") > 0
+    met = parts.join(counts.where("class is not null").select(F.col("word").alias("of_word"), "n", "class"), F.col("word") == F.col("of_word"), "left").select(
+        "row", "doc_id", "held_out", "n_tokens", "place", "behind", "ahead",
+        F.coalesce("class", F.col("shape") + model.n_clustered).alias("class"),
+        (F.col("n_known") + F.col("n").isNotNull().cast("long")).alias("n_known"),
+        (F.col("base") + F.when(found, F.log10(c + 1)).otherwise(0.0)).alias("base"),
+        (F.col("model") + F.when(found, F.log10(c + DELTA)).otherwise(0.0)).alias("model"))
+
+    def walk(batches):
+        m, last = shared.value, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            place, behind, ahead, own = (batch.column(c).to_numpy() for c in ("place", "behind", "ahead", "class"))
+            before = np.r_[last, own[:-1]]  # a word not looked up behind another one is the next row
+            behind = np.where(behind >= 0, behind, before)
+            last = own[-1]
+            here = place > 0
+            step = np.where(here, m.transition[behind, own] + m.floor[own], 0.0) + np.where(here & (ahead >= 0), m.transition[own, ahead], 0.0)
+            yield batch.set_column(batch.schema.get_field_index("model"), "model", pa.array(batch.column("model").to_numpy() + step))
+
+    walked = met.repartition("row").sortWithinPartitions("row", "place").mapInArrow(walk, met.schema)
     n_all = float(model.train_tokens + model.vocabulary + 1)
-    return met.groupBy("row").agg(
+    return walked.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("model").alias("score")).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),

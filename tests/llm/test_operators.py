@@ -259,6 +259,56 @@ def test_exchange_raises_the_likelihood():
     assert likelihood(of) >= 0.99 * likelihood(np.append(group[shuffled[:40]], 4)) or likelihood(of) > likelihood(np.append(np.arange(40) % 4, 4))
 
 
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    pairs = rng.poisson(0.7, (12, 12)).astype(float)
+    of = np.append(rng.integers(0, 4, 11), 4)
+    table = lambda of: np.eye(5)[of].T @ pairs @ np.eye(5)[of]
+    rows = []
+    for w in range(11):
+        found = collections.Counter({5: pairs[w, w]})
+        for x in range(12):
+            if x != w:
+                found[of[x]] += pairs[w, x]
+                found[6 + of[x]] += pairs[x, w]
+        rows.append(sorted((c, n) for c, n in found.items() if n))
+    flat = [x for r in rows for x in r]
+    _, gain = class_lm.best_classes(
+        np.cumsum([0] + [len(r) for r in rows[:-1]]), np.repeat(of[:11], [len(r) for r in rows]), np.array([c for c, _ in flat]),
+        np.array([n for _, n in flat]), table(of))
+    now = class_lm.likelihood(table(of))
+    for w in range(11):
+        for c in range(4):
+            assert abs(class_lm.likelihood(table(np.r_[of[:w], c, of[w + 1:]])) - now - gain[w, c]) < 1e-6
+
+
+def test_every_word_may_leave_its_shape(spark, monkeypatch):
+    """Words of one length and alphabet in two kinds of context, most of them beyond those that workers look up."""
+    monkeypatch.setattr(class_lm, "CLUSTERED", 8)
+    monkeypatch.setattr(class_lm, "LOOKED_UP", 20)
+    rng = np.random.default_rng(2)
+    kinds = {k: [f"{k}{i:02d}" for i in range(40)] for k in "ab"}
+    near = {"a": ["the", "an", "one"], "b": ["we", "they", "you"]}
+    line = lambda k: f"{rng.choice(near[k])} {rng.choice(kinds[k])} {rng.choice(near[k])}"
+    frame = spark.createDataFrame([(i, " ".join(line("ab"[int(rng.integers(2))]) for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    model, counts = class_lm.train(frame)
+    classes = {r["word"]: r["class"] for r in counts.collect()} | {w.decode(): c for w, (c, _) in model.known.items()}
+    assert len(model.known) <= 20 and all(classes[w] < model.n_clustered for k in "ab" for w in kinds[k] if w in classes)
+    main = {k: collections.Counter(classes[w] for w in kinds[k] if w in classes).most_common(1)[0] for k in "ab"}
+    assert main["a"][0] != main["b"][0] and min(n for _, n in main.values()) >= 20
+    held = {r["doc_id"]: r for r in class_lm.score(frame, (model, counts)).collect()}
+    table = {r["word"]: r["n"] for r in counts.collect()}
+    for r in frame.collect():
+        path = [len(model.transition) - 1]
+        want = 0.0
+        for w in r["text"].split():
+            path.append(classes.get(w, model.n_clustered + class_lm.shape(w.encode())))
+            want += math.log10(table.get(w, 0) + class_lm.DELTA)
+        path.append(path[0])
+        want += sum(model.transition[a, b] + model.floor[b] for a, b in zip(path, path[1:]))
+        assert abs(held[r["doc_id"]]["score"] - want) < 1e-3
+
+
 # ---------------------------------------------------------------- 7 simhash
 
 def plain_simhash(text, words):
