@@ -367,6 +367,30 @@ def test_near_groups_on_dense_fingerprints(spark):
     assert len(set(zip(want, ours))) == len(set(want)) == len(set(ours))
 
 
+def test_keep_first_links_similar_texts_only(spark):
+    """Against all pairs: copies with words changed, to similarities on both sides of 0.8, and a large group."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(25):
+        text = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append(text)
+        for changes in (1, 2, 4, 6, 9):
+            other = list(text)
+            for at in rng.choice(200, changes, replace=False):
+                other[at] = "new"
+            rows.append(other)
+    rows += [[*(f"h{x}" for x in range(150)), f"end{i}"] for i in range(60)] + [["one", "two"], ["one", "two"], []]
+    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    sets = [{tuple(r[i:i + 5]) for i in range(max(1, len(r) - 4))} for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == sorted(set(root))
+
+
 # ---------------------------------------------------------------- 8 BPE
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
