@@ -102,8 +102,12 @@ n AS (SELECT d.doc_id, d.source, any_value(c.rate) AS rate, count(*) FILTER (WHE
 SELECT doc_id, source, rate, copies, copy, md5('mix-1|' || doc_id || '|copy|' || copy) AS mix_key
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n WHERE copies > 0)""")
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return found.select(F.col("row.doc_id").alias("doc_id"), "source", "rate", "copies", "copy", "mix_key")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    found = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source", crc.alias("text_crc32")))
+    # read after the sort, so that whole texts are exploded and shuffled
+    arrived = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")) == F.col("row.text_crc32")
+    doc_id = F.when(arrived, F.col("row.doc_id")).otherwise(F.raise_error(F.lit("a mixed text differs from its document's")))
+    return found.select(doc_id.alias("doc_id"), "source", "rate", "copies", "copy", "mix_key")
 
 
 @query("pipeline")

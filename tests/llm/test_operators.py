@@ -500,6 +500,13 @@ def test_mix_follows_rates(spark):
     assert abs(n["rare"] - 20_000) < 800 and abs(n["hot"] - 20_000) < 800
 
 
+def test_mix_query_reads_the_mixed_texts(spark, monkeypatch):
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda docs: mix(docs).withColumn("row", F.col("row").withField("text", F.lit("lost"))))
+    with pytest.raises(Exception, match="a mixed text differs"):
+        queries.QUERIES["op10_poisson_mix"](spark, SF).collect()
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_by_plain_python(spark):
