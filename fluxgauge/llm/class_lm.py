@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -41,9 +42,9 @@ def words(text: str) -> list[bytes]:
 def shape(word: bytes) -> int:
     """Class of a word outside the clustered ones, by its form alone: length, digits, a mark at the end, non-ASCII letters."""
     length = min(3, (len(word) - 1) // 4)
-    digits = any(48 <= b <= 57 for b in word[:LONGEST])
+    digits = re.search(rb"[0-9]", word) is not None
     mark = not (word[-1] >= 128 or 97 <= word[-1] <= 122 or 48 <= word[-1] <= 57)
-    foreign = not word[:LONGEST].isascii()
+    foreign = not word.isascii()
     return length + 4 * digits + 8 * mark + 16 * foreign
 
 

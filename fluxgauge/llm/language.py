@@ -220,13 +220,16 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs))
-    columns = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches):
         m = shared.value
         for batch in batches:
+            row = batch.column("row")
             keep = [bool(letters and m and m.predict(t)[1] >= min_score)
-                    for t, letters in zip(batch.column("text").to_pylist(), batch.column("__letters").to_pylist())]
-            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+                    for t, letters in zip(row.field(at).to_pylist(), batch.column("letters").to_pylist())]
+            yield pa.RecordBatch.from_arrays(row.flatten(), schema=pa.schema(list(row.type))).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("__letters", has_letter()).mapInArrow(run, docs.schema)
+    # the whole row in a struct: a column of any name stays clear of ours
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), has_letter().alias("letters"))
+    return packed.mapInArrow(run, docs.schema)

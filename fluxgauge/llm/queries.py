@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, sharding, simhash, token_files
+from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, sharding, simhash, token_files, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -110,6 +110,14 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "source", "rate", "copies", "copy", "mix_key")
 
 
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    models = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, models)
+    return whitening.whiten(vectors, models).withColumn("identity_error", F.lit(error))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -21,9 +21,6 @@ DISTANCE = 4
 BLOCKS = 8
 LOW_BITS = 0x5555555555555555
 CHUNK = 1 << 15  # shingles counted together
-RUN = 5          # words of a shingle in similar_texts
-BANDS = 16
-ROWS = 4
 
 
 def _signed(x: int) -> int:
@@ -43,16 +40,23 @@ def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _mark() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the text's SimHash as a signed 64-bit integer; a null text counts as empty."""
+    """doc_id, a mark of the text, and the text's SimHash as a signed 64-bit integer; a null text counts as empty."""
     text_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             marks = [_signed(simhash(t or "", words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(marks, pa.int64())})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "fp": pa.array(marks, pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"]]).add("fp", "long"))
+    schema = T.StructType([docs.schema["doc_id"]]).add("mark", "long").add("fp", "long")
+    return docs.select("doc_id", _mark().alias("mark"), "text").mapInArrow(run, schema)
 
 
 def embedded(fp: Column) -> Column:
@@ -79,7 +83,9 @@ def _cells(prints: DataFrame, distance: int) -> DataFrame:
     block = [((1 << width) - 1) << (width * b) for b in range(BLOCKS)]
     masks = [_signed(reduce(int.__or__, c)) for c in combinations(block, BLOCKS - distance)]
     code = embedded(F.col("fp"))
-    return prints.select("fp", code.alias("code")).select("fp", F.explode(F.transform(
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prints.repartition(tasks, "fp")  # a number of its own: merged into few tasks, the cells would all come from these
+    return dealt.select("fp", code.alias("code")).select("fp", F.explode(F.transform(
         F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.xxhash64(F.col("code").bitwiseAND(m), m))).alias("cell"))
 
 
@@ -117,115 +123,38 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         F.col("n.node").alias("node"), F.coalesce("final", "n.root").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id reachable by links of at most ``distance`` differing bits.
-
-    A null or empty text, or one of white space only, has fingerprint 0 and links like any other. Repeated rows have the
-    same fingerprint. A null doc_id takes part but is never a component_id unless its group has no other. An empty table
-    gives no rows. Other columns are not read.
-    """
+def _grouped(docs: DataFrame, words: int, distance: int) -> DataFrame:
+    """doc_id, mark, fp and component_id of every row."""
     marks = stored(fingerprints(docs, words), "simhash-prints")
     prints = marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     groups = near_groups(prints.select("fp"), distance)
     rooted = prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     answer = rooted.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return marks.join(answer, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
-
-
-def _grams(text: str) -> np.ndarray:
-    """The text's distinct runs of five words, as sorted hashes; a shorter text is one run."""
-    tokens = text.encode("utf-8").lower().split()
-    runs = range(max(1, len(tokens) - RUN + 1)) if tokens else ()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i:i + RUN]), SEED) for i in runs], np.uint64))
-
-
-def _node(grams: np.ndarray) -> int:
-    return _signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
-
+    return marks.join(answer, F.col("fp") == F.col("of_fp")).select("doc_id", "mark", "fp", "component_id")
 
-def _bands(grams: np.ndarray) -> list[int]:
-    """Hashes of ROWS least values each, under BANDS * ROWS orders; texts of similarity s share one with probability
-    1 - (1 - s ** ROWS) ** BANDS, over 0.9997 from 0.8 on."""
-    rng = np.random.default_rng(SEED)
-    times, mask = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), CHUNK >> 3):
-        least = np.minimum(least, ((grams[at:at + (CHUNK >> 3), None] ^ mask) * (2 * times + 1)).min(axis=0))
-    return [_signed(xxhash.xxh64_intdigest(least[b * ROWS:(b + 1) * ROWS].tobytes(), b)) for b in range(BANDS)]
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fp and component_id, the least doc_id reachable by links of at most ``distance`` differing bits.
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` whose nodes a and b have five-word sets of similarity 0.8 or more."""
-    of_a, of_b = (sets.select(F.col("node").alias(f"of_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("grams_a", "grams_b"))
-    return pairs.join(of_a, F.col("a") == F.col("of_a")).join(of_b, F.col("b") == F.col("of_b")).where(
-        9 * both >= 4 * (F.size("grams_a") + F.size("grams_b"))).select(*pairs.columns)
-
-
-def similar_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id, the least doc_id reachable by steps between texts whose distinct runs of five words have
-    a Jaccard similarity of 0.8 or more.
-
-    Candidates share a band of least hashes. In every cell all are compared with the least, and linked groups are formed;
-    then members outside the cell's largest group are compared with the rest, as in ``near_groups``. Every link is
-    checked on the whole sets, so none is below 0.8. Texts without words have the empty set and link with each other.
+    A null or empty text, or one of white space only, has fingerprint 0 and links like any other. Repeated rows have the
+    same fingerprint. A null doc_id takes part but is never a component_id unless its group has no other. An empty table
+    gives no rows. Other columns are not read.
     """
-    text_batches(docs.sparkSession)
-    source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    return _grouped(docs, words, distance).select("doc_id", "fp", "component_id")
 
-    def sketch(batches):
-        for batch in batches:
-            grams = [_grams(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "node": pa.array([_node(g) for g in grams], pa.int64()),
-                "bands": pa.array([_bands(g) if len(g) else [] for g in grams], pa.list_(pa.int64()))})
 
-    def whole(batches):
-        for batch in batches:
-            grams = [_grams(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([_node(g) for g in grams], pa.int64()),
-                                              "grams": pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))})
-
-    marks = stored(source.mapInArrow(sketch, T.StructType([docs.schema["doc_id"]]).add("mark", "long").add("node", "long").add(
-        "bands", T.ArrayType(T.LongType()))), "similar-marks")
-    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("mark", "bands"), "mark").alias("of"))
-    cells = nodes.select("node", "of.mark", F.explode("of.bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    members = stored(cells.join(shared, "cell"), "similar-cells")
-    texts = source.join(members.select(F.col("mark").alias("wanted")).distinct(), F.col("mark") == F.col("wanted"), "left_semi")
-    sets = stored(texts.select("text").mapInArrow(whole, "node long, grams array<long>").dropDuplicates(["node"]), "similar-sets")
-    to_least = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    first = stored(components(_similar(to_least, sets), "similar-first"), "similar-groups")
-
-    grouped = members.where("n > 2").select("cell", F.col("node").alias("of")).join(first, F.col("of") == F.col("node"), "left").select(
-        "cell", "of", F.coalesce("root", "of").alias("root"))
-    by_root = grouped.groupBy("cell", "root").agg(F.count("*").alias("size"))
-    mixed = by_root.groupBy("cell").agg(F.max_by("root", "size").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    open_cells = grouped.join(mixed.select("cell", "main"), "cell")
-    few = open_cells.where("root != main").select("cell", F.col("of").alias("a"), F.col("root").alias("root_a"))
-    rest = open_cells.select(F.col("cell").alias("cell_b"), F.col("of").alias("b"), F.col("root").alias("root_b"))
-    crossing = few.join(rest, (F.col("cell") == F.col("cell_b")) & (F.col("root_a") != F.col("root_b"))).select(
-        "a", "b", "root_a", "root_b").distinct()
-    second = components(_similar(crossing, sets).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "similar-second")
-    known = first.select(F.col("node").alias("of"), F.col("root").alias("old"))
-    roots = nodes.select("node", "least_id").join(known, F.col("node") == F.col("of"), "left").select(
-        "node", "least_id", F.coalesce("old", "node").alias("old"))
-    final = stored(roots.join(second.select(F.col("node").alias("of"), "root"), F.col("old") == F.col("of"), "left").select(
-        "node", "least_id", F.coalesce("root", "old").alias("root")), "similar-roots")
-    least = final.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = final.join(least, "root").select(F.col("node").alias("of"), "component_id")
-    return marks.join(answer, F.col("node") == F.col("of")).select("doc_id", "mark", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of every group of ``similar_texts``, with all columns; documents linked with
+def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """The document with the least doc_id of every group of ``near_duplicates``, with all columns; documents linked with
     none all stay.
 
-    Rows that share the least doc_id of their group stay together, as they can't be told apart by id, and so do rows
-    without doc_id.
+    A row goes only if its own text has a fingerprint in a group with a smaller doc_id, so of two rows that share a
+    doc_id an unlinked text stays. Rows that share the least doc_id of their group stay together, as they can't be told
+    apart by id, and so do rows without doc_id. An empty table gives none; other columns may have any name.
     """
-    found = similar_texts(docs)
-    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.join(dropped, F.col("row.doc_id") == F.col("dropped_id"), "left_anti").select("row.*")
+    found = _grouped(docs, words, distance)
+    dropped = found.where("doc_id != component_id").select(
+        F.col("doc_id").alias("dropped_id"), F.col("mark").alias("dropped_mark")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _mark().alias("mark"))
+    return packed.join(dropped, (F.col("row.doc_id") == F.col("dropped_id")) & (F.col("mark") == F.col("dropped_mark")),
+                       "left_anti").select("row.*")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, sharding, simhash, token_files
+from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, sharding, simhash, token_files, whitening
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,7 +35,7 @@ def odd(spark):
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     return frame.withColumns({c: F.lit("?") for c in (
-        "n_chars", "shard", "row", "fp", "n", "word", "part", "size", "digest", "cell", "copy", "start", "ids", "rate", "kept", "draw", "digits")})
+        "n_chars", "shard", "row", "fp", "n", "word", "part", "size", "digest", "cell", "copy", "start", "ids", "rate", "kept", "draw", "digits", "__letters", "letters", "mark", "doc", "words", "dropped_id")})
 
 
 @pytest.fixture(scope="module")
@@ -367,28 +367,41 @@ def test_near_groups_on_dense_fingerprints(spark):
     assert len(set(zip(want, ours))) == len(set(want)) == len(set(ours))
 
 
-def test_keep_first_links_similar_texts_only(spark):
-    """Against all pairs: copies with words changed, to similarities on both sides of 0.8, and a large group."""
-    rng = np.random.default_rng(4)
-    rows = []
-    for _ in range(25):
-        text = [f"w{x}" for x in rng.integers(0, 5000, 200)]
-        rows.append(text)
-        for changes in (1, 2, 4, 6, 9):
-            other = list(text)
-            for at in rng.choice(200, changes, replace=False):
-                other[at] = "new"
-            rows.append(other)
-    rows += [[*(f"h{x}" for x in range(150)), f"end{i}"] for i in range(60)] + [["one", "two"], ["one", "two"], []]
-    frame = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    sets = [{tuple(r[i:i + 5]) for i in range(max(1, len(r) - 4))} for r in rows]
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if r == old else r for r in root]
-    assert sorted(r["doc_id"] for r in simhash.keep_first(frame).collect()) == sorted(set(root))
+def test_keep_first(spark, odd, none):
+    """One document of each group of four bits; an unlinked text stays, also beside a linked one of the same doc_id."""
+    rows = texts(odd)
+    least = {}
+    for (i, _), g in zip(rows, plain_groups([plain_simhash(t, 4) for _, t in rows], 4)):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    want = collections.Counter(
+        i for (i, _), g in zip(rows, plain_groups([plain_simhash(t, 4) for _, t in rows], 4)) if i is None or i == least[g])
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == want
+    assert simhash.keep_first(none).count() == 0
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text.upper()), (2, "quite another text that is linked with nothing"), (3, text)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[0], rows[2]]
+
+
+def test_keep_identified_keeps_columns_of_any_name(odd, none):
+    kept = language.keep_identified(odd)
+    assert kept.columns == odd.columns
+    want = collections.Counter(r["doc_id"] for r in language.identify(odd).collect() if r["score"] >= language.MIN_SCORE)
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == want
+    assert language.keep_identified(none).count() == 0
+
+
+def test_personal_data_survives_long_runs(spark):
+    """Two megabytes of one unit each: no pattern needs a stack as deep as its match is long, or time by its square."""
+    units = [".a", "a.", "@a", "a@a.", "1.", "1 ", "4111 ", "+1 ", "+1(", "(at) a", " dot", "[dot] a", "mail a (at) b (dot) c ", "555-", "0049 "]
+    rows = [(i, "x (at) a", u, 2_000_000 // len(u)) for i, u in enumerate(units)] + [(99, "a.b@c.org", "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, unit string, n int").repartition(8).select(
+        "doc_id", F.concat("text", F.expr("repeat(unit, n)")).alias("text"))
+    got = {r["doc_id"]: r["n"] for r in personal_data.find(frame).select("doc_id", F.size("base").alias("n")).collect()}
+    assert set(got) == {r[0] for r in rows} and got[99] == 1 and got[4] == 250_000
 
 
 # ---------------------------------------------------------------- 8 BPE
@@ -507,6 +520,73 @@ def test_mix_query_reads_the_mixed_texts(spark, monkeypatch):
         queries.QUERIES["op10_poisson_mix"](spark, SF).collect()
 
 
+# ---------------------------------------------------------------- 13 whitening
+
+def plain_whitening(rows, components=32):
+    """vec_id -> (deviation, whitened up to sign, explained), by exact integers and a library's eigenvectors."""
+    good = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for _, v in good]
+    n, sums = len(x), [sum(c) for c in zip(*x)]
+    exact = [[n * c - s for c, s in zip(v, sums)] for v in x]
+    d = np.array([[c / n for c in v] for v in exact])
+    cov = d.T @ d / n
+    values, axes = np.linalg.eigh(cov)
+    order = np.argsort(-values)[:components]
+    out = {}
+    for (i, _), e, row in zip(good, exact, d):
+        out[i] = (sum(c * c for c in e), np.abs(row @ axes[:, order] / np.sqrt(values[order])), values[order] / np.trace(cov))
+    return n, out
+
+
+def test_whitening_by_a_library(spark):
+    frame = spark.read.parquet(f"{SF}/embeddings.parquet")
+    n, want = plain_whitening([(r["vec_id"], r["embedding"]) for r in frame.collect()])
+    got = collections.defaultdict(dict)
+    for r in queries.QUERIES["op13_whitening"](spark, SF).collect():
+        assert r["n"] == n and r["deviation"] == want[r["vec_id"]][0] and r["identity_error"] < 1e-9
+        got[r["vec_id"]][r["component"]] = (r["whitened"], r["explained"])
+    assert set(got) == set(want) and all(set(c) == set(range(1, 33)) for c in got.values())
+    for i, (_, whitened, explained) in want.items():
+        assert np.allclose([abs(got[i][c][0]) for c in range(1, 33)], whitened, atol=1e-7)
+        assert np.allclose([got[i][c][1] for c in range(1, 33)], explained, rtol=1e-10)
+
+
+def test_factor_and_rotations():
+    rng = np.random.default_rng(2)
+    for d, rank in ((1, 1), (7, 7), (12, 5), (33, 33)):
+        half = rng.normal(size=(d, rank)) * 10.0 ** rng.integers(-1, 3, rank)
+        scatter = half @ half.T
+        factor, order = whitening.pivoted_cholesky(scatter)
+        assert factor.shape == (d, rank)
+        assert np.allclose(factor @ factor.T, scatter[order][:, order], rtol=1e-9, atol=1e-9 * abs(scatter).max())
+        assert np.allclose(factor, np.tril(factor)) and (np.diff(np.diag(factor)) <= 1e-9 * factor[0, 0]).all()
+        turned = whitening.one_sided_jacobi(factor)
+        gram = turned.T @ turned
+        assert np.abs(gram - np.diag(np.diag(gram))).max() <= 1e-12 * gram.max()
+        assert np.allclose(np.diag(gram), np.linalg.eigvalsh(scatter)[::-1][:rank], rtol=1e-6)
+    assert whitening.principal(np.zeros((3, 3)), 5)[1].size == 0
+
+
+def test_whitening_awkward(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.normal(size=3)]) for i in range(40)]
+    rows += [(40, None), (41, [float("nan"), 1.0, 2.0]), (42, [None, 1.0, 2.0]), (43, [1.0, float("inf"), 0.0]), (44, []), (45, [1e300, 0.0, 0.0]),
+             (46, [1.0] * 5), (47, [1.0] * 5), (0, rows[0][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("?") for c in ("dim", "vector", "n", "component", "label")})
+    models = whitening.fit(frame.repartition(5))
+    assert whitening.identity_error(frame, models) < 1e-12
+    got = whitening.whiten(frame, models).collect()
+    n, want = plain_whitening([(j, v) for j, (i, v) in enumerate(rows) if v and len(v) == 3 and i != 45])
+    assert collections.Counter(r["vec_id"] for r in got) == {i: 6 if i == 0 else 3 for i in range(40)}  # equal vectors of length 5 have no variance
+    for r in got:
+        assert r["n"] == n == 41 and r["deviation"] == want[r["vec_id"]][0]
+        assert abs(abs(r["whitened"]) - want[r["vec_id"]][1][r["component"] - 1]) < 1e-9
+    large = spark.createDataFrame([(1, [1e12]), (2, [-1e12])], "vec_id long, embedding array<double>")
+    assert [r["deviation"] for r in whitening.whiten(large, whitening.fit(large)).collect()] == [None, None]
+    none = frame.where("false")
+    assert whitening.fit(none) == {} and whitening.whiten(none, {}).count() == 0 and whitening.identity_error(none, {}) == 0.0
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_by_plain_python(spark):
