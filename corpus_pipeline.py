@@ -21,7 +21,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by a five-word similarity of 0.8 or more, the document with the least doc_id stays."""
+    """Of every group of SimHash near copies (four words, four bits), the document with the least doc_id stays."""
     return simhash.keep_first(docs)
 
 
