@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, sharding, simhash, token_files, whitening
+from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, search, sharding, simhash, token_files, whitening
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -520,6 +520,66 @@ def test_mix_query_reads_the_mixed_texts(spark, monkeypatch):
         queries.QUERIES["op10_poisson_mix"](spark, SF).collect()
 
 
+# ---------------------------------------------------------------- 12 search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_search(rows, items, top=10):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bags = [(i, collections.Counter(TERM.findall((t or "").translate(lower)))) for i, t in rows]
+    bags = [(i, bag) for i, bag in bags if bag]
+    n, words = len(bags), sum(sum(bag.values()) for _, bag in bags)
+    df = collections.Counter(t for _, bag in bags for t in bag)
+    want = []
+    for item_id, text in items:
+        scored = []
+        for i, bag in bags:
+            m = 10 + (90 * sum(bag.values()) * n) // words
+            scored.append((-sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * bag[t]) // (1000 * bag[t] + 8 * m))
+                                for t in set(TERM.findall((text or "").translate(lower))) if bag[t]), i is None, i or 0, i))
+        want += [(item_id, rank, s[3], -s[0]) for rank, s in enumerate(sorted(s for s in scored if s[0] < 0)[:top], 1)]
+    return collections.Counter(want)
+
+
+def test_search_awkward(spark, odd, none, docs, monkeypatch):
+    """Small blocks, several groups of queries, repeated and null items, ties, and documents of every size."""
+    monkeypatch.setattr(search, "BLOCK_DOCS", 24)
+    monkeypatch.setattr(search, "AT_ONCE", 2)
+    monkeypatch.setattr(search, "ITEMS", 4)
+    monkeypatch.setattr(search, "SMALL", 5)
+    every = odd.select("doc_id", "text").union(docs.select("doc_id", "text")).withColumns({c: F.lit("?") for c in ("mark", "item", "rank", "bound")})
+    items = [(1, "the AND of"), (1, "the AND of"), (None, "x<|endoftext|>y 𝄞É"), (2, None), (3, ""), (4, "neverseen !"), (5, "a b c d"),
+             *[(10 + i, t[:200]) for i, (_, t) in enumerate(texts(docs)[:6])]]
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit("?"))
+    got = collections.Counter(tuple(r) for r in search.search(every, asked).collect())
+    assert got == plain_search([(r["doc_id"], r["text"]) for r in every.select("doc_id", "text").collect()], items)
+    assert search.search(none, asked).count() == 0 and search.search(docs, asked.where("false")).count() == 0
+
+
+def test_signatures_bound_every_score(docs):
+    """Upper bounds are never below the exact scores."""
+    asked = search._queries(docs.select(F.col("doc_id").alias("item_id"), "text").limit(20).collect())
+    rows = search.signatures(docs, asked).collect()
+    n, words = sum(r["docs"] or 0 for r in rows), sum(r["words"] or 0 for r in rows)
+    w = search.Weights(n, words, np.arange(1, len(asked.terms) + 1))
+    hashes = np.array([xxhash.xxh64_intdigest(t) for t in asked.terms], np.uint64)
+    bags = {i: collections.Counter(search.terms(t)) for i, t in texts(docs)}
+    ratio = []
+    for r in rows:
+        if r["slices"] is not None:
+            lengths = np.array(r["lengths"])
+            slices = np.frombuffer(r["slices"], np.uint8).reshape(-1, -(-len(lengths) // 8))
+            for first, bounds in search._bounds(slices, lengths, hashes, asked, w):
+                for k, bound in enumerate(bounds):
+                    for doc_id, length, most in zip(r["doc_ids"], lengths, bound):
+                        score = sum(int(w.weight[t]) * search._saturated(bags[doc_id][asked.terms[t]], search._length_factor(length, w))
+                                    for t in asked.of[first + k].tolist())
+                        assert most >= score
+                        ratio.append(score / max(1, most))
+    assert np.mean(ratio) > 0.5  # and not far above them
+
+
 # ---------------------------------------------------------------- 13 whitening
 
 def plain_whitening(rows, components=32):
@@ -622,5 +682,5 @@ def test_pipeline_by_plain_python(spark):
 def test_queries_with_sql_agree(spark):
     import compare
     con = compare.connect(SF)
-    for name in ("op3_exact_dedup", "op10_poisson_mix"):
+    for name in ("op3_exact_dedup", "op10_poisson_mix", "op12_bloom_search"):
         assert compare.difference(spark, con, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
