@@ -10,7 +10,7 @@ import duckdb
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 
 
-TYPES = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+TYPES = {"long": "BIGINT", "integer": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
 
 
 def connect(sf_dir=SF_DIR):
