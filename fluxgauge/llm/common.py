@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class TermHashes(dict):
+    """Term to its XXH64; a bounded number of short terms is kept."""
+
+    LONGEST, MOST = 32, 1 << 18
+
+    def __missing__(self, term: bytes) -> int:
+        found = xxhash.xxh64_intdigest(term)
+        if len(term) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[term] = found
+        return found
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Give Python workers batches of at most so many rows."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, search, sharding, simhash, token_files, whitening
+from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, repeats, search, sharding, simhash, token_files, whitening
 
 QUERIES = {}
 ORACLES = {}
@@ -110,6 +110,23 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "source", "rate", "copies", "copy", "mix_key")
 
 
+@query("op11_repeats", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+s AS (SELECT w.r, w.i FROM w JOIN (SELECT win, min(doc_id) AS least FROM w GROUP BY win) m ON w.win = m.win WHERE w.doc_id > m.least),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS at FROM s),
+p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS at, unnest(ws) AS word FROM d),
+k AS (SELECT p.r, string_agg(p.word, ' ' ORDER BY p.at) AS kept, count(*)::BIGINT AS n FROM p ANTI JOIN c ON p.r = c.r AND p.at = c.at GROUP BY p.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r""")
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    kept = F.when(F.col("kept").isNull(), F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
+
+
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxgauge.llm.common import TEXT_ROWS, arrow_rows, stored
+from fluxgauge.llm.common import TEXT_ROWS, TermHashes, arrow_rows, stored
 
 TOP = 10
 ITEMS = 2048           # queries that are answered together
@@ -23,7 +23,6 @@ BLOCK_DOCS = 1024      # greatest number of documents in a block
 BLOCK_ENTRIES = 1 << 19
 BLOCK_ROWS = 4         # blocks in one Arrow batch
 SMALL = 1 << 15        # documents to rescore that may be sent to every executor (about 2 MB)
-KNOWN = 1 << 18        # short terms whose hashes a worker keeps
 
 # Letters and digits stay, A-Z becomes a-z, every byte beyond ASCII stays, and the rest separates terms.
 _FORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -50,18 +49,6 @@ def _slices(entries: np.ndarray, rows: int) -> np.ndarray:
     return (at % np.uint64(rows)).astype(np.int64)
 
 
-class _Hashes(dict):
-    """Term to hash; long terms are not kept."""
-
-    def __missing__(self, term: bytes) -> int:
-        found = xxhash.xxh64_intdigest(term)
-        if len(term) <= 32:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[term] = found
-        return found
-
-
 @dataclass(frozen=True)
 class Queries:
     """A bounded set of items: each with its distinct terms as numbers into ``terms``."""
@@ -112,7 +99,7 @@ def signatures(docs: DataFrame, queries: Queries) -> DataFrame:
               "term array<int>, df array<long>, docs long, words long")
 
     def sign(batches):
-        known, df = _Hashes(), np.zeros(len(wanted), np.int64)
+        known, df = TermHashes(), np.zeros(len(wanted), np.int64)
         pending: dict[int, list] = {}
         totals = [0, 0]
         arrow = {}

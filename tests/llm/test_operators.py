@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, search, sharding, simhash, token_files, whitening
+from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, repeats, search, sharding, simhash, token_files, whitening
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -520,6 +520,82 @@ def test_mix_query_reads_the_mixed_texts(spark, monkeypatch):
         queries.QUERIES["op10_poisson_mix"](spark, SF).collect()
 
 
+# ---------------------------------------------------------------- 11 substring dedup
+
+def plain_repeats(rows, window):
+    """(doc_id, n_words, spans) of every row."""
+    tokens = [SPACE.findall(t or "") for _, t in rows]
+    least = {}
+    for (i, _), ws in zip(rows, tokens):
+        if i is not None:
+            for p in range(len(ws) - window + 1):
+                key = tuple(ws[p:p + window])
+                least[key] = min(i, least.get(key, i))
+    out = []
+    for (i, _), ws in zip(rows, tokens):
+        gone = set()
+        if i is not None:
+            for p in range(len(ws) - window + 1):
+                if least[tuple(ws[p:p + window])] < i:
+                    gone.update(range(p, p + window))
+        spans = [(a, next(b for b in range(a, len(ws) + 1) if b not in gone)) for a in sorted(gone) if a - 1 not in gone]
+        out.append((i, len(ws), tuple(spans), " ".join(w for p, w in enumerate(ws) if p not in gone)))
+    return collections.Counter(out)
+
+
+def found_repeats(frame, rows, window, prefix):
+    got = collections.Counter()
+    for r in repeats.repeats(frame, window, prefix).collect():
+        spans = tuple((s["start"], s["end"]) for s in r["spans"])
+        kept = r["kept"]
+        if kept is None:
+            kept = next(j for j in (" ".join(SPACE.findall(t or "")) for i, t in rows if i == r["doc_id"])
+                        if hashlib.sha256(j.encode()).hexdigest() == r["words_sha256"])
+        got[r["doc_id"], r["n_words"], spans, kept] += 1
+    return got
+
+
+@pytest.mark.parametrize("leaves", [4096, 3])
+def test_repeats_awkward(spark, odd, none, monkeypatch, leaves):
+    """Few words, so that repeats of every length and place occur; copies, periodic texts, shared passages; subtrees of
+    any size and split ones."""
+    monkeypatch.setattr(repeats, "LEAVES", leaves)
+    rng = np.random.default_rng(11)
+    rows = []
+    passage = [f"p{i}" for i in range(30)]
+    for i in range(150):
+        text = [f"w{x}" for x in rng.integers(0, 3 if i % 3 else 400, rng.integers(0, 60))]
+        if i % 4 == 0:
+            at = int(rng.integers(0, len(text) + 1))
+            text[at:at] = passage[int(rng.integers(0, 8)):int(rng.integers(20, 31))]
+        rows.append((int(rng.integers(0, 90)), " ".join(text)))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 60, 3)] + [(300, "a " * 100), (301, "a b " * 60), (299, "b a " * 40), (None, rows[0][1]), rows[1]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("?") for c in ("key", "lead", "live", "spans", "prefix", "n", "leaf")})
+    assert found_repeats(frame.repartition(5), rows, 10, 4) == plain_repeats(rows, 10)
+    if leaves == 3:
+        every = texts(odd)
+        assert found_repeats(odd, every, 50, 16) == plain_repeats(every, 50)
+        left = repeats.strip(frame, 10, 4)
+        assert left.columns == frame.columns
+        want = collections.Counter((i, kept) for (i, _, _, kept), k in plain_repeats(rows, 10).items() for _ in range(k))
+        assert collections.Counter((r["doc_id"], r["text"].strip()) for r in left.collect()) == want
+        assert repeats.repeats(none).count() == 0 and repeats.strip(none).count() == 0
+
+
+def test_anchors_are_set_by_the_window_alone():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 62, 80).astype(np.uint64)
+    powers, places = repeats._Powers(), []
+    for before in (0, 7, 300):
+        text = np.concatenate([rng.integers(0, 1 << 62, before).astype(np.uint64), passage, rng.integers(0, 1 << 62, 40).astype(np.uint64)])
+        at, runs, first, last = repeats.anchors(text, powers, 50, 16)
+        assert first[0] == 0 and (first[1:] == last[:-1] + 1).all() and last[-1] == len(text) - 50
+        assert ((first <= at) & (at <= first + 34) & (last <= at)).all()
+        of_window = np.repeat(np.arange(len(at)), last - first + 1)
+        places.append([(int(at[k]) - p, int(runs[k])) for p, k in enumerate(of_window)][before:before + 31])
+    assert places[0] == places[1] == places[2]
+
+
 # ---------------------------------------------------------------- 12 search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -682,5 +758,5 @@ def test_pipeline_by_plain_python(spark):
 def test_queries_with_sql_agree(spark):
     import compare
     con = compare.connect(SF)
-    for name in ("op3_exact_dedup", "op10_poisson_mix", "op12_bloom_search"):
+    for name in ("op3_exact_dedup", "op10_poisson_mix", "op11_repeats", "op12_bloom_search"):
         assert compare.difference(spark, con, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
