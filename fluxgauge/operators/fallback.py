@@ -29,10 +29,11 @@ def newest_first(fallback: DataFrame, k: int | None = None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-def replay(fallback: DataFrame, sink_healthy: bool) -> DataFrame:
+def replay(fallback: DataFrame, sink_healthy: bool, *carried: str) -> DataFrame:
     """Events to publish again; none while the sink is unhealthy. The time of failure
-    stands in for the recording time."""
+    stands in for the recording time. ``carried`` columns stay in front."""
     return fallback.where(F.lit(sink_healthy)).select(
+        *carried,
         F.col("event_id").alias("eventId"),
         F.col("device_id").alias("deviceId"),
         "measurement",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.sources.writers import append_audit, read_batches, remove_batch, write_batch, written_batches
+from fluxgauge.sources.writers import append_audit, finished, folder_names, read_batches, remove_batch, write_batch
 
 _AUDIT = f"{schemas.TELEMETRY}, day DATE"
 
@@ -54,8 +54,8 @@ class ProjectionTable:
 
     def _last_full(self, spark: SparkSession, before: int) -> int:
         """The last full copy that was really written; a batch that failed left none."""
-        full = [b for b in written_batches(spark, self.path) if b < before and b % self.full_every == 0]
-        return full[-1] if full else 0
+        full = [b for b in folder_names(spark, self.path, "batch_id") if b < before and b % self.full_every == 0]
+        return next((b for b in reversed(full) if finished(spark, f"{self.path}/batch_id={b}")), 0)
 
     def read(self, spark: SparkSession, before: int) -> DataFrame:
         """State before a batch. Among equal dates the later batch stays."""
@@ -69,7 +69,7 @@ class ProjectionTable:
 
     def current(self, spark: SparkSession) -> DataFrame:
         """State after the last batch; finding that batch reads folder names only."""
-        written = written_batches(spark, self.path)
+        written = folder_names(spark, self.path, "batch_id")
         return self.read(spark, written[-1] + 1 if written else 0)
 
     def write(self, folded: DataFrame, batch_id: int, updated_at: Column) -> None:
@@ -96,8 +96,10 @@ class BatchTable:
     path: str
     schema: str
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return read_batches(spark, self.path, self.schema).drop("batch_id")
+    def read(self, spark: SparkSession, numbered: str | None = None) -> DataFrame:
+        """All rows; ``numbered`` names the column that receives the batch id, if it is wanted."""
+        rows = read_batches(spark, self.path, self.schema)
+        return rows.withColumnRenamed("batch_id", numbered) if numbered else rows.drop("batch_id")
 
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return read_batches(spark, self.path, self.schema, batch_id + 1, batch_id).drop("batch_id")
