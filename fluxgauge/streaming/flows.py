@@ -55,11 +55,11 @@ class WriteSide:
     rejects: BatchTable = field(init=False)
     fallback: BatchTable = field(init=False)
     counters: BatchTable = field(init=False)
-    days: BatchTable = field(init=False)
+    firsts: BatchTable = field(init=False)
 
     def __post_init__(self) -> None:
         self.audit = AuditTable(f"{self.root}/audit")
-        self.days = BatchTable(f"{self.root}/days", "day DATE")
+        self.firsts = BatchTable(f"{self.root}/firsts", f"{_ARRIVAL}, day DATE")
         self.rejects = BatchTable(f"{self.root}/rejects", REJECT_ROW)
         self.fallback = BatchTable(f"{self.root}/fallback", schemas.FALLBACK)
         self.counters = BatchTable(f"{self.root}/write-counters", COUNTER_ROW)
@@ -75,10 +75,15 @@ class WriteSide:
         found = seen.get
 
         valid = validate.valid(checked)
-        self.days.write(valid.select(F.to_date("date").alias("day")).distinct(), batch_id)
-        earlier = self.audit.on_days(spark, self.days.read_batch(spark, batch_id), batch_id)
-        self.audit.append(dedup.audit_rows(dedup.not_stored(dedup.first_arrivals(valid), earlier), now), batch_id)
-        self.days.remove(spark, batch_id)
+        # one row per pair, stored before it is looked up, so the input is read once more and not for every step
+        first = dedup.first_arrivals(valid).withColumns({
+            "day": F.to_date("date"), "measurement": F.col("measurement").cast(schemas.TABLE_DECIMAL)})
+        self.firsts.write(first.select("device_id", "date", "measurement", "arrival_seq", "day"), batch_id)
+        self.audit.merge(spark, batch_id)
+        firsts = self.firsts.read_batch(spark, batch_id)
+        earlier = self.audit.possible(spark, firsts, batch_id)
+        self.audit.append(dedup.audit_rows(dedup.not_stored(firsts, earlier), now), batch_id)
+        self.firsts.remove(spark, batch_id)
 
         # Read back what was written: later steps see exactly the stored rows.
         accepted = self.audit.read_batch(spark, batch_id)

@@ -8,37 +8,110 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.sources.writers import append_audit, finished, folder_names, read_batches, remove_batch, write_batch
+from fluxgauge.sources.writers import append_audit, finished, folder_names, read_batches, remove_batch, remove_folder, write_batch, write_folder
+from fluxgauge.streaming import bloom
 
 _AUDIT = f"{schemas.TELEMETRY}, day DATE"
 
-_LAST_DAY = "9999-12-31"
-
+Segment = tuple[int, int]  # level and last batch
 
 @dataclass(frozen=True)
 class AuditTable:
-    """Every accepted reading, by batch and day."""
+    """Every accepted reading, in segments by day: one per batch, merged ``fan`` at a time into larger and larger ones.
+
+    A segment counts once its entry in the manifest is complete. The entry has the segment's days and, for a merged
+    segment, Bloom filters of each day's (device, date) pairs (the few that single batches wrote are not worth theirs), so
+    the duplicate check opens only the day folders that may hold one of a batch's pairs. A merged segment's entry replaces those it covers; if a merge ends half-way, the old ones still count. With n
+    batches there are at most ``fan`` segments on each of log(n) levels, and every row is rewritten once a level.
+    """
 
     path: str
+    fan: int = 10
+
+    @property
+    def _manifest(self) -> str:
+        return f"{self.path}-manifest"
+
+    def _folder(self, level: int, upto: int) -> str:
+        return f"{self.path}-merged/level={level}/upto={upto}" if level else f"{self.path}/batch_id={upto}"
+
+    def _entries(self, spark: SparkSession, before: int | None = None) -> tuple[list[Segment], list[Segment]]:
+        """Segments of batches before ``before``: those that count, and those that a merged one has replaced."""
+        found = [(level, upto) for level in folder_names(spark, self._manifest, "level")
+                 for upto in folder_names(spark, f"{self._manifest}/level={level}", "upto")
+                 if (before is None or upto < before) and finished(spark, f"{self._manifest}/level={level}/upto={upto}")]
+        covered = [(level, upto) for level, upto in found
+                   if any(high > level and last - self.fan**high < upto <= last for high, last in found)]
+        return [s for s in found if s not in covered], covered
+
+    def segments(self, spark: SparkSession, before: int | None = None) -> list[Segment]:
+        return self._entries(spark, before)[0]
+
+    def _read(self, spark: SparkSession, folders: dict[Segment, list[str]]) -> DataFrame:
+        """Rows of the given folders inside each segment ("" for all), with ``day``."""
+        out = spark.createDataFrame([], _AUDIT)
+        for root in (self.path, f"{self.path}-merged"):
+            paths = [self._folder(*s) + f for s, inside in folders.items() for f in inside if bool(s[0]) == (root != self.path)]
+            if paths:
+                ids = "batch_id BIGINT" if root == self.path else "level INT, upto BIGINT"
+                part = spark.read.schema(f"{_AUDIT}, {ids}").option("basePath", root).parquet(*paths)
+                out = out.unionByName(part.drop("batch_id", "level", "upto"))
+        return out
 
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        return read_batches(spark, self.path, _AUDIT, before).drop("batch_id", "day")
+        return self._read(spark, {s: [""] for s in self.segments(spark, before)}).drop("day")
 
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return read_batches(spark, self.path, _AUDIT, batch_id + 1, batch_id).drop("batch_id", "day")
-
-    def on_days(self, spark: SparkSession, days: DataFrame, before: int) -> DataFrame:
-        """Rows of earlier batches on the distinct days of ``days``, a stored table with the column ``day``.
-
-        The table's size is known, so Spark broadcasts it while it is small and prunes the other days' folders when
-        the join runs. It prunes only by a side that has a comparison; this one holds for every day.
-        """
-        kept = read_batches(spark, self.path, _AUDIT, before)
-        wanted = days.where(F.col("day") <= F.lit(_LAST_DAY).cast("date"))
-        return kept.join(wanted, "day", "left_semi")
+        """What a batch added; only until later batches merge it."""
+        return read_batches(spark, self.path, _AUDIT, only=[batch_id]).drop("batch_id", "day")
+
+    def may_hold(self, spark: SparkSession, pairs: DataFrame, before: int) -> dict[Segment, list[str]]:
+        """Day folders of earlier segments that may hold one of the pairs (device_id, date, day)."""
+        segments = self.segments(spark, before)
+        if not segments:
+            return {}
+        entries = spark.read.schema(f"{bloom.ENTRY}, level INT, upto BIGINT").option("basePath", self._manifest).parquet(
+            *[f"{self._manifest}/level={level}/upto={upto}" for level, upto in segments])
+        hits = bloom.hits(pairs.select("day", bloom.pair_hash("device_id", "date").alias("hash")), entries, ["level", "upto"])
+        days = hits.groupBy("level", "upto").agg(F.collect_set(F.col("day").cast("string")).alias("days"))
+        return {(r["level"], r["upto"]): [f"/day={d}" for d in sorted(r["days"])] for r in days.collect()}  # no more than segments times days
+
+    def possible(self, spark: SparkSession, pairs: DataFrame, before: int) -> DataFrame:
+        """Rows of earlier batches among which all earlier copies of the given pairs are."""
+        return self._read(spark, self.may_hold(spark, pairs, before)).drop("day")
+
+    def _describe(self, spark: SparkSession, segment: Segment) -> None:
+        rows = self._read(spark, {segment: [""]}).select("day", bloom.pair_hash("device_id", "date").alias("hash"))
+        entry = bloom.filters(rows) if segment[0] else bloom.days(rows)
+        write_folder(entry, f"{self._manifest}/level={segment[0]}/upto={segment[1]}")
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
         append_audit(rows, self.path, batch_id)
+        self._describe(rows.sparkSession, (0, batch_id))
+
+    def merge(self, spark: SparkSession, before: int) -> None:
+        """Merge every complete group of ``fan`` segments of batches before ``before``, then remove what is replaced.
+
+        Called before a batch writes, so that a repeated batch never finds its own rows in a merged segment.
+        """
+        level, segments = 0, self.segments(spark, before)
+        while any(found >= level for found, _ in segments):
+            width = self.fan ** (level + 1)
+            groups: dict[int, list[Segment]] = {}
+            for segment in segments:
+                if segment[0] == level and (segment[1] // width + 1) * width <= before:
+                    groups.setdefault(segment[1] // width, []).append(segment)
+            for group, members in groups.items():
+                merged = (level + 1, (group + 1) * width - 1)
+                rows = self._read(spark, {s: [""] for s in members})
+                write_folder(rows.hint("rebalance", "day"), self._folder(*merged), ("day",))
+                self._describe(spark, merged)
+            if groups:
+                segments = self.segments(spark, before)
+            level += 1
+        for level, upto in self._entries(spark, before)[1]:
+            remove_folder(spark, f"{self._manifest}/level={level}/upto={upto}")
+            remove_folder(spark, self._folder(level, upto))
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,5 @@
 """Streams in several batches: equal to batch results, safe to repeat, nothing lost."""
 
-import datetime
 import random
 
 import pytest
@@ -10,9 +9,9 @@ from fluxgauge import schemas
 from fluxgauge.functions import outcome
 from fluxgauge.operators import dedup, events, fallback, projection, validate
 from fluxgauge.session import scratch
-from fluxgauge.sources import readers
-from fluxgauge.streaming import delivery, flows, stateful
-from fluxgauge.streaming.tables import BatchTable, ProjectionTable
+from fluxgauge.sources import readers, writers
+from fluxgauge.streaming import bloom, delivery, flows, stateful
+from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
 
 READING = "device_id BIGINT, measurement DECIMAL(38,9), date TIMESTAMP, arrival_seq BIGINT"
 
@@ -95,16 +94,69 @@ def test_repeated_batch_keeps_nothing_twice(spark):
     assert topic.read(spark).count() == len(before)
 
 
-def test_duplicate_check_reads_only_the_days_of_the_batch(spark):
+def test_duplicate_check_opens_only_days_that_may_hold_a_pair(spark):
     root = scratch(spark, "days")
     side, _ = write_side(spark, root)
-    side.process(arrivals(spark, 80), 0)
-    listed = [(datetime.date(2025, 1, 1),), (datetime.date(2022, 1, 8),)]
-    side.days.write(spark.createDataFrame(listed, "day DATE"), 7)
-    found = side.audit.on_days(spark, side.days.read_batch(spark, 7), 1)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1].split("]")[0]
-    assert {str(r.date)[:10] for r in found.collect()} == {"2025-01-01"}
+    first = arrivals(spark, 80)
+    side.process(first, 0)
+    stored = side.audit.read(spark)
+    known = stored.where("date < '2025-01-03'").select("device_id", "date", F.to_date("date").alias("day"))
+    days = {str(r.day) for r in known.collect()}
+    assert days and side.audit.may_hold(spark, known, 1) == {(0, 0): [f"/day={d}" for d in sorted(days)]}
+    assert {str(r.date)[:10] for r in side.audit.possible(spark, known, 1).collect()} == days
+    unknown = spark.createDataFrame([(7, "1970-01-01 05:00:00")], "device_id BIGINT, date STRING").select(
+        "device_id", F.col("date").cast("timestamp").alias("date"), F.lit("1970-01-01").cast("date").alias("day"))
+    assert side.audit.may_hold(spark, unknown, 1) == {}
+
+
+def test_bloom_filters_miss_nothing_and_find_little_in_vain(spark):
+    keys = spark.range(30_000).select(
+        F.date_add(F.lit("2025-01-01").cast("date"), F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") % 20).cast("int"))).alias("day"),
+        F.xxhash64("id").alias("hash"), "id")
+    even = keys.where("id % 2 = 0")
+    entries = bloom.filters(even).withColumn("of", F.lit(1))
+    assert entries.groupBy("day").count().agg(F.max("count")).first()[0] > 1 and entries.agg(F.max(F.size("bits"))).first()[0] <= 2 * bloom.KEYS // bloom.PER_WORD
+    assert sorted(r.day for r in bloom.hits(even, entries, ["of"]).collect()) == sorted(r.day for r in even.select("day").distinct().collect())
+    single = keys.where("id % 2 = 1").select("day", "hash", "id")
+    alone = sum(bloom.hits(single.where(F.col("id") == i).select("day", "hash"), entries, ["of"]).count() for i in range(1, 16, 2))
+    assert alone <= 1  # eight keys that are not there
+
+
+def test_merged_segments_keep_all_rows_and_bound_what_is_opened(spark):
+    root = scratch(spark, "merge")
+    table = AuditTable(f"{root}/audit", fan=3)
+    counts = []
+    for batch in range(20):
+        table.merge(spark, batch)
+        rows = spark.range(4).select(
+            "id", (F.lit(batch * 4) + F.col("id")).alias("arrival_seq"), F.lit(1).cast("decimal(10,2)").alias("measurement"),
+            F.timestamp_seconds(F.lit(batch * 4) + F.col("id") + F.lit(1_700_000_000)).alias("date"), now().alias("recorded_at")).withColumnRenamed("id", "device_id")
+        table.append(rows.select("device_id", "measurement", "date", "recorded_at", "arrival_seq"), batch)
+        counts.append(len(table.segments(spark)))
+    assert max(counts) <= 3 * 3 and counts[18:] == [3, 4]
+    assert sorted(r.arrival_seq for r in table.read(spark).collect()) == list(range(80))
+    old = table.read(spark).where("arrival_seq = 2").select("device_id", "date", F.to_date("date").alias("day"))
+    assert len(table.may_hold(spark, old, 20)) == 1 and table.possible(spark, old, 20).where("arrival_seq = 2").count() == 1
+    assert len(writers.folder_names(spark, f"{root}/audit", "batch_id")) <= 3  # merged folders are gone
+
+
+def test_merge_that_ends_half_way_changes_nothing(spark, monkeypatch):
+    root = scratch(spark, "half")
+    table = AuditTable(f"{root}/audit", fan=2)
+    side, _ = write_side(spark, root)
+    side.audit = table
+    df = arrivals(spark, 60)
+    side.process(df.where("arrival_seq < 30"), 0)
+    side.process(df.where("arrival_seq >= 30"), 1)
+    before = plain(table.read(spark), "arrival_seq")
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(AuditTable, "_describe", lambda *a: (_ for _ in ()).throw(RuntimeError("ended")))
+        table.merge(spark, 2)
+    assert plain(table.read(spark), "arrival_seq") == before and table.segments(spark) == [(0, 0), (0, 1)]
+    side.process(df, 2)  # all repeats
+    assert plain(table.read(spark), "arrival_seq") == before and (1, 1) in table.segments(spark)
+    side.process(df, 2)  # the batch is repeated
+    assert plain(table.read(spark), "arrival_seq") == before
 
 
 def test_failed_batch_is_repeated_after_restart(spark):
