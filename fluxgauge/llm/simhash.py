@@ -84,7 +84,8 @@ def _cells(prints: DataFrame, distance: int) -> DataFrame:
     masks = [_signed(reduce(int.__or__, c)) for c in combinations(block, BLOCKS - distance)]
     code = embedded(F.col("fp"))
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prints.repartition(tasks, "fp")  # a number of its own: merged into few tasks, the cells would all come from these
+    # a number of its own, by another key than the grouping's: else few tasks would make all the cells
+    dealt = prints.repartition(tasks, F.xxhash64("fp"))
     return dealt.select("fp", code.alias("code")).select("fp", F.explode(F.transform(
         F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.xxhash64(F.col("code").bitwiseAND(m), m))).alias("cell"))
 
