@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgauge.operators import blocks
@@ -24,10 +24,13 @@ class Rule:
         return value > self.threshold if self.above else value == self.threshold
 
 
-# The documented alert rules.
+# Fixed value: seconds between two evaluations of a rule.
+INTERVAL = 30
+
+# The documented alert rules; there 1 is the open state of the breaker.
 RULES = (
     Rule("HighDuplicateRate", 0.1, True, 300, "warning"),
-    Rule("CircuitBreakerOpen", 2.0, False, 60, "critical"),
+    Rule("CircuitBreakerOpen", 1.0, False, 60, "critical"),
     Rule("HighConsumerLag", 1000.0, True, 300, "warning"),
     Rule("DLQMessagesDetected", 0.0, True, 120, "warning"),
     Rule("HighMemoryUsage", 0.9, True, 300, "warning"),
@@ -40,26 +43,44 @@ def rule(name: str) -> Rule:
 
 
 def sustained(
-    evaluations: DataFrame, by: list[str], ts: str, active: Column, hold_seconds: int, block_seconds: int | None = 3_600
+    evaluations: DataFrame, by: list[str], ts: str, active: Column, hold_seconds: int | Column,
+    step_seconds: int = INTERVAL, block_steps: int = 1 << 14,
 ) -> DataFrame:
     """Stretches of evaluations in which the condition held for at least ``hold_seconds``.
 
-    A stretch is named by the last evaluation that did not hold, a running maximum, so
-    finding stretches is one aggregation and no series is gathered in one task. Pass no
-    ``block_seconds`` for evaluations on a grid of steps, which are few per series.
+    Evaluations lie on a grid of steps, one per series and step. A step at which a series has
+    no evaluation ends its stretch as one that does not hold does: silence is not an alert. So
+    a stretch is a run of consecutive active steps and the other evaluations are not needed.
+    Runs are found in blocks of steps. One that touches neither end of its block is complete;
+    the others, two per block at most, are put together by a window over these few rows.
     """
-    us = F.unix_micros(ts)
-    marked = evaluations.withColumn("_active", F.coalesce(active, F.lit(False)))
-    broken = blocks.running(
-        marked, by, [us], None if block_seconds is None else blocks.block_of(us, block_seconds * 1_000_000),
-        {"_broken": ("max", F.when(~F.col("_active"), us))})
-    stretches = broken.where(F.col("_active")).groupBy(*by, "_broken").agg(
-        F.min(ts).alias("active_from"), F.max(ts).alias("active_until"), F.count("*").alias("evaluations"))
+    step = blocks.block_of(F.unix_micros(ts), step_seconds * 1_000_000)
+    within = Window.partitionBy(*by, "_block").orderBy("_step")
+    hold_us = (hold_seconds if isinstance(hold_seconds, Column) else F.lit(hold_seconds)).cast("bigint") * 1_000_000
+    runs = (
+        evaluations.where(active).withColumns({"_step": step, "_hold": hold_us})
+        .withColumn("_block", blocks.block_of(F.col("_step"), block_steps))
+        .withColumn("_run", F.col("_step") - F.dense_rank().over(within))
+        .groupBy(*by, "_block", "_run")
+        .agg(F.min("_step").alias("_from"), F.max("_step").alias("_until"), F.min(ts).alias("active_from"),
+             F.max(ts).alias("active_until"), F.count("*").alias("evaluations"), F.max("_hold").alias("_hold"))
+    )
+    inside = (F.col("_from") > F.col("_block") * block_steps) & (F.col("_until") < (F.col("_block") + 1) * block_steps - 1)
+    along = Window.partitionBy(*by).orderBy("_from")
+    starts = F.coalesce(F.col("_from") - F.lag("_until").over(along) > 1, F.lit(True)).cast("int")
+    joined = (
+        runs.where(~inside).withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(along))
+        .groupBy(*by, "_run")
+        .agg(F.min("active_from").alias("active_from"), F.max("active_until").alias("active_until"),
+             F.sum("evaluations").alias("evaluations"), F.max("_hold").alias("_hold"))
+    )
+    columns = [*by, "active_from", "active_until", "evaluations", "_hold"]
     held = F.unix_micros("active_until") - F.unix_micros("active_from")
     return (
-        stretches.where(held >= hold_seconds * 1_000_000)
-        .withColumn("fired_at", F.timestamp_micros(F.unix_micros("active_from") + hold_seconds * 1_000_000))
-        .drop("_broken")
+        runs.where(inside).select(columns).unionByName(joined.select(columns))
+        .where(held >= F.col("_hold"))
+        .withColumn("fired_at", F.timestamp_micros(F.unix_micros("active_from") + F.col("_hold")))
+        .drop("_hold")
     )
 
 

@@ -114,3 +114,23 @@ def with_lookback(df: DataFrame, order: Column, width: int, span: int) -> DataFr
     reach = block_of(order + F.lit(span), width)
     return df.withColumn("_own_block", own).withColumn("_block", F.explode(F.sequence(own, reach))) \
         .withColumn("_own", F.col("_block") == F.col("_own_block")).drop("_own_block")
+
+
+def cuts(df: DataFrame, keys: list[str], order: str, rows: int, cell: int = 1_000_000) -> DataFrame:
+    """Blocks of about ``rows`` rows each, however the rows lie along ``order``.
+
+    Rows are counted per cell (``cell`` units of the integer ``order``), and consecutive
+    cells share a block until it is full: one row per key and cell with its ``_cut``. A
+    block holds at most ``rows`` and one cell more; with distinct microseconds and cells of
+    a second that is a million. The counts combine before the shuffle, and the running
+    count over them is cut into blocks itself. Guard against null keys first.
+    """
+    counted = df.groupBy(*keys, block_of(F.col(order), cell).alias("_cell")).agg(F.count("*").alias("_rows"))
+    before = running(counted, keys, [F.col("_cell")], block_of(F.col("_cell"), 1 << 16),
+                     {"_before": ("sum", F.col("_rows"))}, inclusive=False)
+    return before.select(*keys, "_cell", block_of(F.coalesce("_before", F.lit(0)), rows).alias("_cut"))
+
+
+def in_cuts(df: DataFrame, keys: list[str], order: str, cut: DataFrame, cell: int = 1_000_000) -> DataFrame:
+    """Rows with the ``_cut`` they are in; the join is on key and cell, so no key overloads it."""
+    return df.withColumn("_cell", block_of(F.col(order), cell)).join(cut, [*keys, "_cell"]).drop("_cell")

@@ -12,9 +12,12 @@ from fluxgauge.operators import blocks
 # How far back a lookup may reach, in seconds.
 STALENESS = 300
 
-# Trailing windows per block: a block then repeats a tenth of its rows, and a task sorts
-# what one series sends in eleven windows.
-WINDOWS_PER_BLOCK = 10
+# Samples per block of a trailing rate: what one task sorts at a time, whatever a series sends.
+ROWS_PER_BLOCK = 1 << 20
+
+# Seconds per cell of a stepped rate. Timestamps have microseconds, so a cell of one series
+# holds at most a million samples with distinct times.
+CELL_SECONDS = 1
 
 
 def select(samples: DataFrame, metric: str, by: list[str], **matching: str) -> DataFrame:
@@ -55,27 +58,69 @@ def _counter_delta(value: str, before: Column) -> Column:
     return F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
 
 
+def _counter_totals(points: DataFrame, cut: DataFrame) -> DataFrame:
+    """Number each series' samples and add what its counter would show had it never restarted.
+
+    Blocks of samples are summed up as (first, last, lost at restarts, count), and a scan over
+    these few rows tells each block what precedes it.
+    """
+    within = Window.partitionBy("_series", "_cut").orderBy("_us")
+    before = F.lag("value").over(within)
+    placed = blocks.in_cuts(points, ["_series"], "_us", cut).withColumns({
+        "_lost": F.when(F.col("value") < before, before).otherwise(F.lit(0.0)), "_no": F.row_number().over(within)})
+    local = placed.withColumn("_lost", F.sum("_lost").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("_series", "_cut").agg(
+        F.count("*").alias("_rows"), F.max_by("_lost", "_no").alias("_inside"),
+        F.min_by("value", "_no").alias("_first"), F.max_by("value", "_no").alias("_last"))
+    along = Window.partitionBy("_series").orderBy("_cut")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("_last").over(along)
+    scanned = ends.withColumn("_across", F.when(F.col("_first") < last, last).otherwise(F.lit(0.0))).select(
+        "_series", "_cut", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+        (F.coalesce(F.sum("_inside").over(earlier), F.lit(0.0))
+         + F.sum("_across").over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("_lost_before"))
+    return local.join(scanned, ["_series", "_cut"]).select(
+        "_series", "ts", "value", "_us", (F.col("_no") + F.col("_rows_before")).alias("_no"),
+        (F.col("value") + F.col("_lost") + F.col("_lost_before")).alias("_total"))
+
+
 def counter_rate(
-    samples: DataFrame, by: list[str], seconds: int, extrapolate: bool = False, block_seconds: int | None = None
+    samples: DataFrame, by: list[str], seconds: int, extrapolate: bool = False, block_rows: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Increase and per-second rate of a counter over the window ending at each sample.
 
-    The window excludes its start. Fewer than two samples in it give no rate.
+    The window excludes its start. Fewer than two samples in it give no rate. Samples of a
+    series have distinct times; missing labels (null) are a label value like any other.
+
+    An increase is the difference of two running totals, that of the sample and that of the
+    first sample in its window. Each sample asks for the latter at its window's start; samples
+    and questions are put in order in blocks cut by their number, and a question that its
+    block leaves open takes the next block's first sample. So no task sorts more than a
+    block, however many samples one series or one window has.
     """
     span = seconds * 1_000_000
-    width = (block_seconds or seconds * WINDOWS_PER_BLOCK) * 1_000_000
-    spread = blocks.with_lookback(samples.withColumn("_us", F.unix_micros("ts")), F.col("_us"), width, span)
-    in_order = Window.partitionBy(*by, "_block").orderBy("_us")
-    trailing = in_order.rangeBetween(1 - span, 0)
-    with_delta = spread.withColumn("_delta", F.coalesce(_counter_delta("value", F.lag("value").over(in_order)), F.lit(0.0)))
-    measured = with_delta.select(
-        *by, "ts", "value", "_own", "_us",
-        # The first sample of the window counts only as a starting point.
-        (F.sum("_delta").over(trailing) - F.first("_delta").over(trailing)).alias("increase"),
-        F.count("*").over(trailing).alias("_samples"),
-        F.first("_us").over(trailing).alias("_first_us"),
-        F.first("value").over(trailing).alias("_first_value"),
-    ).where(F.col("_own") & (F.col("_samples") >= 2))
+    points = samples.where(F.col("ts").isNotNull() & F.col("value").isNotNull()).select(
+        F.struct(F.lit(0).alias("_all"), *by).alias("_series"), "ts", "value", F.unix_micros("ts").alias("_us"))
+    start = F.col("_us") - F.lit(span - 1)
+    moments = points.select("_series", F.explode(F.array("_us", start)).alias("_at"))
+    cut = blocks.cuts(moments, ["_series"], "_at", block_rows)
+    kinds = F.explode(F.array(F.struct(F.col("_us").alias("_at"), F.lit(1).alias("_is_sample")),
+                              F.struct(start.alias("_at"), F.lit(0).alias("_is_sample"))))
+    asked = _counter_totals(points, cut).withColumn("_kind", kinds).select("*", "_kind.*").drop("_kind")
+    placed = blocks.in_cuts(asked, ["_series"], "_at", cut)
+    sample = F.when(F.col("_is_sample") == 1, F.struct("_us", "value", "_no", "_total"))
+    backwards = Window.partitionBy("_series", "_cut").orderBy(F.desc("_at"), F.desc("_is_sample")) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    heads = placed.groupBy("_series", "_cut").agg(F.min_by(sample, F.when(F.col("_is_sample") == 1, F.col("_at"))).alias("_head"))
+    later = Window.partitionBy("_series").orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("_series", "_cut", F.last("_head", ignorenulls=True).over(later).alias("_next"))
+    found = placed.withColumn("_here", F.last(sample, ignorenulls=True).over(backwards)).where("_is_sample = 0")
+    measured = found.join(heads, ["_series", "_cut"]).withColumn("_first", F.coalesce("_here", "_next")).select(
+        *[F.col("_series")[name].alias(name) for name in by], "ts", "value", "_us",
+        (F.col("_total") - F.col("_first._total")).alias("increase"),
+        (F.col("_no") - F.col("_first._no") + 1).alias("_samples"),
+        F.col("_first._us").alias("_first_us"), F.col("_first.value").alias("_first_value"),
+    ).where(F.col("_samples") >= 2)
     if extrapolate:
         covered = (F.col("_us") - F.col("_first_us")) / F.lit(1e6)
         measured = measured.withColumn("increase", _extrapolated(
@@ -84,41 +129,47 @@ def counter_rate(
     return measured.select(*by, "ts", "value", "increase", (F.col("increase") / F.lit(float(seconds))).alias("per_second"))
 
 
+def _merged(parts: DataFrame, group: list[str], along: str) -> DataFrame:
+    """Successive pieces of a counter as one piece: what grew inside them and between them."""
+    in_order = Window.partitionBy(*group).orderBy(along)
+    across = F.coalesce(_counter_delta("_first_value", F.lag("_last_value").over(in_order)), F.lit(0.0))
+    return parts.withColumn("_across", across).groupBy(*group).agg(
+        (F.sum("_inside") + F.sum("_across")).alias("_inside"), F.sum("_samples").alias("_samples"),
+        F.min("_first_us").alias("_first_us"), F.max("_last_us").alias("_last_us"),
+        F.min_by("_first_value", along).alias("_first_value"), F.max_by("_last_value", along).alias("_last_value"))
+
+
 def counter_rate_at_steps(
     samples: DataFrame, by: list[str], step: int, seconds: int, extrapolate: bool = False
 ) -> DataFrame:
     """The same at every multiple of ``step`` seconds, over the ``seconds`` before it.
 
-    Windows that overlap share buckets. Samples are sorted once, within their bucket, and
-    become one row per series and bucket; only those rows go to every window they are in.
+    Samples are sorted once, within their cell of a second, and become one row per series and
+    cell. Cells become buckets, which windows that overlap share, and buckets windows; each is
+    a row of first, last, count and increase. A bucket has at most ``width`` cells and a window
+    at most ``seconds / width`` buckets, however many samples a series has.
     """
     width = gcd(step, seconds)
     width_us, step_us, span = width * 1_000_000, step * 1_000_000, seconds * 1_000_000
 
-    # Buckets end at multiples of their width and exclude their start, as windows do.
+    # Cells and buckets end at multiples of their width and exclude their start, as windows do.
     us = F.unix_micros("ts")
-    bucketed = samples.withColumns({"_us": us, "_bucket": -blocks.block_of(-us, width_us)})
-    in_bucket = Window.partitionBy(*by, "_bucket").orderBy("_us")
-    buckets = (
-        bucketed.withColumn("_delta", _counter_delta("value", F.lag("value").over(in_bucket)))
-        .groupBy(*by, "_bucket")
+    cell = -blocks.block_of(-us, CELL_SECONDS * 1_000_000)
+    in_cell = Window.partitionBy(*by, "_cell").orderBy("_us")
+    cells = (
+        samples.withColumns({"_us": us, "_cell": cell})
+        .withColumn("_delta", _counter_delta("value", F.lag("value").over(in_cell)))
+        .groupBy(*by, "_cell")
         .agg(F.coalesce(F.sum("_delta"), F.lit(0.0)).alias("_inside"), F.count("*").alias("_samples"),
              F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
              F.min_by("value", "_us").alias("_first_value"), F.max_by("value", "_us").alias("_last_value"))
     )
+    bucket = -blocks.block_of(-F.col("_cell"), width // CELL_SECONDS)
+    buckets = _merged(cells.withColumn("_bucket", bucket), [*by, "_bucket"], "_cell")
     end_us = F.col("_bucket") * width_us
     first_step, last_step = -blocks.block_of(-end_us, step_us), blocks.block_of(end_us + (span - width_us), step_us)
     spread = buckets.withColumn("_step", F.explode(F.when(first_step <= last_step, F.sequence(first_step, last_step))))
-    in_window = Window.partitionBy(*by, "_step").orderBy("_bucket")
-    across = _counter_delta("_first_value", F.lag("_last_value").over(in_window))
-    measured = (
-        spread.withColumn("_across", F.coalesce(across, F.lit(0.0)))
-        .groupBy(*by, "_step")
-        .agg((F.sum("_inside") + F.sum("_across")).alias("increase"), F.sum("_samples").alias("_samples"),
-             F.min("_first_us").alias("_first_us"), F.max("_last_us").alias("_last_us"),
-             F.min_by("_first_value", "_bucket").alias("_first_value"))
-        .where(F.col("_samples") >= 2)
-    )
+    measured = _merged(spread, [*by, "_step"], "_bucket").withColumnRenamed("_inside", "increase").where(F.col("_samples") >= 2)
     if extrapolate:
         at_us = F.col("_step") * step_us
         covered = (F.col("_last_us") - F.col("_first_us")) / F.lit(1e6)
@@ -184,6 +235,36 @@ def ratio(left: DataFrame, right: DataFrame, on: list[str], percent: bool = Fals
     return paired.select(*on, (quotient * 100 if percent else quotient).alias("ratio"))
 
 
+def rate_vector(samples: DataFrame, metric: str, step: int, seconds: int, extrapolate: bool = False, **matching: str) -> DataFrame:
+    """The rate of every series of a counter at every step: ``labels``, ``step``, ``value``.
+    Labels are an array of (key, value) in order, so that series can be grouped and joined."""
+    chosen = samples.where(F.col("metric") == metric)
+    for name, value in matching.items():
+        chosen = chosen.where(F.col("labels")[name] == value)
+    named = chosen.select(F.array_sort(F.map_entries("labels")).alias("labels"), "ts", "value")
+    rates = counter_rate_at_steps(named, ["labels"], step, seconds, extrapolate)
+    return rates.select("labels", "step", F.col("per_second").alias("value"))
+
+
+def matched_ratio(left: DataFrame, right: DataFrame, on: list[str] | None = None, ignoring: tuple[str, ...] = ()) -> DataFrame:
+    """Divide two vectors one to one, at equal steps and equal labels.
+
+    Labels count only if named in ``on``, or without it if not in ``ignoring``; these are the
+    labels of the result. A series without a partner at a step has no row there, and zero by
+    zero has null. Two series of one side that can't be told apart by the labels that count
+    are an error, as it is not defined which one to take.
+    """
+    def keyed(vector: DataFrame, name: str) -> DataFrame:
+        counts = (lambda e: e["key"].isin(on)) if on is not None else (lambda e: ~e["key"].isin(*ignoring))
+        key = F.col("labels") if on is None and not ignoring else F.filter("labels", counts)
+        grouped = vector.groupBy(key.alias("labels"), "step").agg(F.count("*").alias("_n"), F.max("value").alias("_v"))
+        several = F.raise_error(F.concat(F.lit("several series match at one step: "), F.to_json("labels"))).cast("double")
+        return grouped.select("labels", "step", F.when(F.col("_n") > 1, several).otherwise(F.col("_v")).alias(name))
+
+    paired = keyed(left, "_left").join(keyed(right, "_right"), ["labels", "step"])
+    return paired.select("labels", "step", (F.col("_left") / F.nullif(F.col("_right"), F.lit(0.0))).alias("ratio"))
+
+
 def bucket_counts(df: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:
     """Cumulative histogram counts: observations at or below each bound (``le``) and +Inf.
     All bounds are counted in one pass, then turned into rows."""

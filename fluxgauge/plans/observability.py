@@ -334,39 +334,47 @@ def consumer_lag_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lag(spark, sf_dir)
 
 
+def _stretches(step: int) -> str:
+    """Runs of active steps in ``every`` (alert, series, s, active, hold); s counts steps of so many seconds."""
+    at = f"make_timestamp({{}} * {step * 1_000_000})"
+    return f"""held AS (SELECT *, s - row_number() OVER (PARTITION BY alert, series ORDER BY s) AS run FROM every WHERE active)
+SELECT alert, series, {at.format("min(s)")} AS active_from, {at.format("max(s)")} AS active_until, count(*) AS evaluations,
+       {at.format("min(s)")} + to_seconds(hold) AS fired_at
+FROM held GROUP BY alert, series, hold, run HAVING (max(s) - min(s)) * {step} >= hold"""
+
+
 @query("alerts_on_gauges", f"""WITH {_LAG}, {_MEMORY}, {_LATENCY},
+lag_at AS (SELECT part, step, lag FROM (
+  SELECT part, step, lag, row_number() OVER (PARTITION BY part, step ORDER BY ts DESC) AS newest
+  FROM grid JOIN lags ON ts <= step AND ts > step - INTERVAL 2 HOUR) t WHERE newest = 1),
 every AS (
-  SELECT 'HighConsumerLag' AS alert, CAST(part AS VARCHAR) AS series, ts, lag > 1000 AS active FROM lags
-  UNION ALL SELECT 'HighMemoryUsage', area || '/' || instance, step, value / 500.0 > 0.9 FROM newest
-  UNION ALL SELECT 'HighLatency', 'p95', step, value > 0.5 FROM latency WHERE quantile = 0.95),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY alert, series ORDER BY ts)
-                       - row_number() OVER (PARTITION BY alert, series, active ORDER BY ts) AS island FROM every)
-SELECT alert, series, min(ts) AS active_from, max(ts) AS active_until, count(*) AS evaluations,
-       min(ts) + INTERVAL 300 SECOND AS fired_at
-FROM numbered WHERE active GROUP BY alert, series, island HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 300000000""")
+  SELECT 'HighConsumerLag' AS alert, CAST(part AS VARCHAR) AS series, epoch_us(step) // 3600000000 AS s, lag > 1000 AS active,
+         300 AS hold FROM lag_at
+  UNION ALL SELECT 'HighMemoryUsage', area || '/' || instance, epoch_us(step) // 3600000000, value / 500.0 > 0.9, 300 FROM newest
+  UNION ALL SELECT 'HighLatency', 'p95', epoch_us(step) // 3600000000, value > 0.5, 300 FROM latency WHERE quantile = 0.95),
+{_stretches(HOUR)}""")
 def alerts_on_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = _memory(spark, sf_dir, "jvm_memory_used_bytes")
     limit = _memory(spark, sf_dir, "jvm_memory_max_bytes")
     memory = series.ratio(used, limit, ["area", "instance", "step"])
     latency = _latency_at_steps(spark, sf_dir).where(F.col("quantile") == 0.95)
+    lag = series.at_steps(_lag(spark, sf_dir).withColumnRenamed("lag", "value"), ["partition"], *_month(), step=HOUR, staleness=2 * HOUR)
     return _fired({
-        "HighConsumerLag": _lag(spark, sf_dir).select(F.col("partition").cast("string").alias("series"), "ts", F.col("lag").alias("value")),
-        "HighMemoryUsage": memory.select(
-            F.concat_ws("/", "area", "instance").alias("series"), F.col("step").alias("ts"), F.col("ratio").alias("value")),
-        "HighLatency": latency.select(F.lit("p95").alias("series"), F.col("step").alias("ts"), "value"),
-    })
+        "HighConsumerLag": lag.select(F.col("partition").cast("string").alias("series"), "step", "value"),
+        "HighMemoryUsage": memory.select(F.concat_ws("/", "area", "instance").alias("series"), "step", F.col("ratio").alias("value")),
+        "HighLatency": latency.select(F.lit("p95").alias("series"), "step", "value"),
+    }, HOUR)
 
 
-def _fired(evaluations: dict[str, DataFrame]) -> DataFrame:
-    """The stretches in which each rule's condition held long enough; every series is read hour by hour."""
-    found = None
+def _fired(evaluations: dict[str, DataFrame], step: int) -> DataFrame:
+    """The stretches in which each rule's condition held long enough: all rules in one pass."""
+    every = None
     for name, values in evaluations.items():
         rule = alerts.rule(name)
-        fired = alerts.sustained(
-            values, ["series"], "ts", rule.condition(F.col("value")), rule.hold_seconds, HOUR,
-        ).select(F.lit(name).alias("alert"), "series", "active_from", "active_until", "evaluations", "fired_at")
-        found = fired if found is None else found.unionByName(fired)
-    return found
+        one = values.select(F.lit(name).alias("alert"), "series", "step", rule.condition(F.col("value")).alias("active"),
+                            F.lit(rule.hold_seconds).alias("hold"))
+        every = one if every is None else every.unionByName(one)
+    return alerts.sustained(every, ["alert", "series"], "step", F.col("active"), F.col("hold"), step)
 
 
 def _arrivals(spark: SparkSession, sf_dir: str, by: list) -> tuple[DataFrame, DataFrame]:
@@ -402,29 +410,71 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.consumer_lag(offsets)
 
 
-_ISLANDS = f"""{sql.ACC},
-dup AS (SELECT 'HighDuplicateRate' AS alert, 'all' AS series, date AS ts,
-               count(*) FILTER (WHERE rn > 1) / CAST(count(*) AS DOUBLE) > 0.1 AS active FROM ranked GROUP BY date),
-dead AS (SELECT 'DLQMessagesDetected' AS alert, 'all' AS series, date AS ts, count(*) FILTER (WHERE route = 2) > 0 AS active
-         FROM acc GROUP BY date),
-open AS (SELECT 'CircuitBreakerOpen' AS alert, CAST(user_id AS VARCHAR) AS series, ts, event_type = 'error' AS active FROM events),
-every AS (SELECT *, 300 AS hold FROM dup UNION ALL SELECT *, 120 FROM dead UNION ALL SELECT *, 60 FROM open),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY alert, series ORDER BY ts)
-                       - row_number() OVER (PARTITION BY alert, series, active ORDER BY ts) AS island FROM every)"""
-
-
-@query("alerts_sustained", f"""WITH {_ISLANDS}
-SELECT alert, series, min(ts) AS active_from, max(ts) AS active_until, count(*) AS evaluations,
-       min(ts) + to_seconds(hold) AS fired_at
-FROM numbered WHERE active GROUP BY alert, series, hold, island HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= hold * 1000000""")
+def _write_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the write side as it shows them at every arrival: received, repeated and failed readings."""
+    readings = views.readings(spark, sf_dir)
+    first = dedup.first_arrivals(readings, "ts", "route")
+    names = {metrics.RECEIVED: "received", metrics.DUPLICATES: "duplicates", metrics.DLQ_SENT: "sent"}
+    added = readings.select("ts", F.lit(1).alias("received"), F.lit(1).alias("duplicates"), F.lit(0).alias("sent")).unionByName(
+        first.select("ts", F.lit(0).alias("received"), F.lit(-1).alias("duplicates"),
+                     (F.col("route") == views.DEAD_LETTER).cast("int").alias("sent")))
+    moments = added.groupBy(F.lit("telemetry-service").alias("job"), "ts").agg(*[F.sum(c).alias(f"added_{c}") for c in names.values()])
+    us = F.unix_micros("ts")
+    grown = blocks.running(moments, ["job"], [us], blocks.block_of(us, HOUR * 1_000_000),
+                           {c: ("sum", F.col(f"added_{c}")) for c in names.values()})
+    kind = F.when(F.col("_s.metric") == metrics.RECEIVED, F.create_map(F.lit("type"), F.lit("temperature")))
+    samples = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in names.items()])
+    return grown.select("job", "ts", F.explode(samples).alias("_s")).select(
+        "_s.metric", F.map_concat(F.create_map(F.lit("job"), "job"), F.coalesce(kind, F.create_map().cast("map<string,string>")))
+        .alias("labels"), "ts", "_s.value")
+
+
+def _duplicate_rates(samples: DataFrame) -> DataFrame:
+    """rate(duplicates[5m]) / rate(received[5m]), every 30 seconds; only the latter has a type."""
+    return series.matched_ratio(
+        series.rate_vector(samples, metrics.DUPLICATES, alerts.INTERVAL, 300),
+        series.rate_vector(samples, metrics.RECEIVED, alerts.INTERVAL, 300, type="temperature"), ignoring=("type",))
+
+
+# A sample is seen by the ten steps of 30 seconds within five minutes after it.
+_SEEN = "unnest(generate_series((us + 29999999) // 30000000, (us + 29999999) // 30000000 + 9)) AS s"
+
+_RATES = f"""{sql.ACC},
+moments AS (SELECT epoch_us(ts) AS us, count(*) AS received, count(*) FILTER (WHERE rn > 1) AS duplicates,
+                   count(*) FILTER (WHERE rn = 1 AND route = 2) AS sent FROM ranked GROUP BY 1),
+grown AS (SELECT us, sum(received) OVER w AS received, sum(duplicates) OVER w AS duplicates, sum(sent) OVER w AS sent
+          FROM moments WINDOW w AS (ORDER BY us)),
+rates AS (SELECT s, CAST(max(received) - min(received) AS DOUBLE) / 300.0::DOUBLE AS received,
+                 CAST(max(duplicates) - min(duplicates) AS DOUBLE) / 300.0::DOUBLE AS duplicates,
+                 CAST(max(sent) - min(sent) AS DOUBLE) / 300.0::DOUBLE AS sent
+          FROM (SELECT *, {_SEEN} FROM grown) t GROUP BY s HAVING count(*) >= 2)"""
+
+
+@query("duplicate_rate_ratio", f"""WITH {_RATES}
+SELECT 'telemetry-service' AS job, make_timestamp(s * 30000000) AS step, round(duplicates / received, 9) AS ratio FROM rates""")
+def duplicate_rate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = _duplicate_rates(_write_counters(spark, sf_dir))
+    job = F.element_at(F.map_from_entries("labels"), F.lit("job")).alias("job")
+    return _rounded(ratios.select(job, "step", "ratio"), "ratio")
+
+
+@query("alerts_sustained", f"""WITH {_RATES},
+states AS (SELECT series, s, arg_max(open, us) AS open FROM (
+  SELECT *, {_SEEN} FROM (SELECT CAST(user_id AS VARCHAR) AS series, event_type = 'error' AS open, epoch_us(ts) AS us FROM events) e) t
+  GROUP BY series, s),
+every AS (SELECT 'HighDuplicateRate' AS alert, 'telemetry-service' AS series, s, duplicates / received > 0.1 AS active, 300 AS hold FROM rates
+          UNION ALL SELECT 'DLQMessagesDetected', 'telemetry-service', s, sent > 0, 120 FROM rates
+          UNION ALL SELECT 'CircuitBreakerOpen', series, s, open, 60 FROM states),
+{_stretches(30)}""")
 def alerts_sustained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    received, duplicates = _arrivals(spark, sf_dir, [F.col("date").alias("ts")])
-    first = dedup.first_arrivals(views.readings(spark, sf_dir), "route")
-    dead = first.groupBy(F.col("date").alias("ts")).agg(F.count_if(F.col("route") == views.DEAD_LETTER).alias("value"))
-    whole = F.lit("all").alias("series")
+    """Rules over rates and over the breaker's state, evaluated every 30 seconds; a state is known for five minutes."""
+    samples = _write_counters(spark, sf_dir)
+    job = F.element_at(F.map_from_entries("labels"), F.lit("job")).alias("series")
+    # The rule's gauge: 1 is open, 2 half open.
+    states = views.delivery_outcomes(spark, sf_dir).select(
+        F.col("device_id").cast("string").alias("series"), "ts", ((3 - F.col("state")) % 3).alias("value"))
     return _fired({
-        "HighDuplicateRate": series.ratio(duplicates, received, ["ts"]).select(whole, "ts", F.col("ratio").alias("value")),
-        "DLQMessagesDetected": dead.select(whole, "ts", "value"),
-        "CircuitBreakerOpen": views.delivery_outcomes(spark, sf_dir).select(
-            F.col("device_id").cast("string").alias("series"), "ts", F.col("state").alias("value")),
-    })
+        "HighDuplicateRate": _duplicate_rates(samples).select(job, "step", F.col("ratio").alias("value")),
+        "DLQMessagesDetected": series.rate_vector(samples, metrics.DLQ_SENT, alerts.INTERVAL, 300).select(job, "step", "value"),
+        "CircuitBreakerOpen": series.at_steps(states, ["series"], *_month(), step=alerts.INTERVAL).select("series", "step", "value"),
+    }, alerts.INTERVAL)

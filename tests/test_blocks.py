@@ -133,24 +133,45 @@ def test_transitions_equal_fold(spark, width):
     assert got == expected
 
 
-@pytest.mark.parametrize("block_seconds", [7, 60, 86_400, None])
-def test_sustained_equals_fold(spark, block_seconds):
+@pytest.mark.parametrize("step,block_steps", [(1, 7), (1, 1), (5, 16), (5, 1 << 14)])
+def test_sustained_equals_fold(spark, step, block_steps):
+    """Runs of steps that are all there and all active, by a plain loop."""
     rng = random.Random(6)
-    data = [(t, device, 0, int(rng.random() < 0.8)) for device in range(2) for t in sorted(rng.sample(range(2000), 300))]
+    data = [(t * step, device, 0, int(rng.random() < 0.93)) for device in range(2) for t in range(-200, 300) if rng.random() < 0.97]
     checks = frame(spark, data).select("device", F.timestamp_seconds("seq").alias("ts"), "value")
-    got = {(r.device, int(r.active_from.timestamp()), int(r.active_until.timestamp()), r.evaluations)
-           for r in alerts.sustained(checks, ["device"], "ts", F.col("value") == 1, 30, block_seconds).collect()}
+    got = {(r.device, int(r.active_from.timestamp()), int(r.active_until.timestamp()), r.evaluations,
+            int(r.fired_at.timestamp()))
+           for r in alerts.sustained(checks, ["device"], "ts", F.col("value") == 1, 20, step, block_steps).collect()}
     expected = set()
     for device, rows in by_device(data).items():
-        run = []
-        for row in [*rows, (None, None, None, 0)]:
-            if row[3] == 1:
-                run.append(row[0])
-            else:
-                if run and run[-1] - run[0] >= 30:
-                    expected.add((device, run[0], run[-1], len(run)))
-                run = []
-    assert got == expected
+        active = {row[0] for row in rows if row[3] == 1}
+        for start in active:
+            if start - step not in active:
+                end = start
+                while end + step in active:
+                    end += step
+                if end - start >= 20:
+                    expected.add((device, start, end, (end - start) // step + 1, start + 20))
+    assert got == expected and got
+
+
+def test_silence_ends_a_stretch(spark):
+    """Two active samples two days apart, carried five minutes each, don't hold for ten minutes; ten in a row do."""
+    def fired(times):
+        samples = frame(spark, [(t, 1, 0, 1) for t in times]).select(
+            "device", F.timestamp_seconds("seq").alias("ts"), F.col("value").cast("double").alias("value"))
+        steps = series.at_steps(samples, ["device"], F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(400_000)), 30)
+        return alerts.sustained(steps, ["device"], "step", F.col("value") == 1, 600).collect()
+
+    assert fired([60, 60 + 2 * 86_400]) == []
+    one, = fired(range(0, 600, 60))
+    assert (int(one.active_from.timestamp()), int(one.active_until.timestamp()), one.evaluations) == (0, 810, 28)
+
+
+def test_hold_of_each_rule(spark):
+    checks = frame(spark, [(30 * i, rule, 0, 1) for i in range(5) for rule in (60, 120, 180)])
+    got = alerts.sustained(checks.withColumn("ts", F.timestamp_seconds("seq")), ["device"], "ts", F.lit(True), F.col("device"))
+    assert {(r.device, int(r.fired_at.timestamp())) for r in got.collect()} == {(60, 60), (120, 120)}
 
 
 def samples_of(spark, data):
@@ -161,11 +182,21 @@ def increase(window):
     return sum(b if b < a else b - a for a, b in zip(window, window[1:]))
 
 
-@pytest.mark.parametrize("block_seconds", [10, 60, 600, 86_400])
-def test_counter_rate_equals_fold(spark, block_seconds):
+@pytest.mark.parametrize("rows", [1, 3, 50, 1 << 20])
+def test_cuts_hold_no_more_than_their_rows(spark, rows):
+    data = history(11)
+    placed = blocks.in_cuts(frame(spark, data), ["device"], "seq", blocks.cuts(frame(spark, data), ["device"], "seq", rows, 1), 1)
+    sizes = placed.groupBy("device", "_cut").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")) \
+        .orderBy("device", "a").collect()
+    assert sum(r.n for r in sizes) == len(data) and max(r.n for r in sizes) <= rows
+    assert all(x.b < y.a for x, y in zip(sizes, sizes[1:]) if x.device == y.device)
+
+
+@pytest.mark.parametrize("rows", [1, 10, 60, 1 << 20])
+def test_counter_rate_equals_fold(spark, rows):
     data = history(7)
     got = {(r.device, int(r.ts.timestamp())): r.increase
-           for r in series.counter_rate(samples_of(spark, data), ["device"], 60, block_seconds=block_seconds).collect()}
+           for r in series.counter_rate(samples_of(spark, data), ["device"], 60, block_rows=rows).collect()}
     expected = {}
     for device, rows in by_device(data).items():
         for row in rows:
@@ -190,6 +221,45 @@ def test_counter_rate_at_steps_equals_fold(spark, step, seconds):
     assert got == expected
 
 
+def test_rates_of_series_without_labels(spark):
+    samples = spark.createDataFrame([(None, 0, 1.0), (None, 10, 4.0), ("a", 0, 2.0), ("a", 10, 1.0)], "l STRING, t BIGINT, value DOUBLE") \
+        .select("l", F.timestamp_seconds("t").alias("ts"), "value")
+    assert {(r.l, r.increase) for r in series.counter_rate(samples, ["l"], 60).collect()} == {(None, 3.0), ("a", 1.0)}
+    assert series.counter_rate(samples.where("l = 'a'").drop("l"), [], 60).first().increase == 1.0
+    assert series.counter_rate(samples.limit(0), ["l"], 60).count() == 0
+
+
+def vector(spark, rows):
+    return spark.createDataFrame(rows, "labels MAP<STRING, STRING>, s BIGINT, value DOUBLE").select(
+        F.array_sort(F.map_entries("labels")).alias("labels"), F.timestamp_seconds("s").alias("step"), "value")
+
+
+def test_vectors_match_by_labels(spark):
+    left = vector(spark, [({"job": "a", "kind": "dup"}, 0, 1.0), ({"kind": "dup", "job": "b"}, 0, 3.0), ({"job": "a"}, 30, 5.0)])
+    right = vector(spark, [({"job": "a"}, 0, 4.0), ({"job": "b"}, 0, 0.0), ({"job": "a"}, 30, 10.0), ({"job": "c"}, 0, 1.0)])
+
+    def found(**how):
+        rows = series.matched_ratio(left, right, **how).collect()
+        return {(tuple((e.key, e.value) for e in r.labels), int(r.step.timestamp()), r.ratio) for r in rows}
+
+    assert found() == {((("job", "a"),), 30, 0.5)}
+    both = {((("job", "a"),), 0, 0.25), ((("job", "b"),), 0, None), ((("job", "a"),), 30, 0.5)}
+    assert found(on=["job"]) == both
+    assert found(ignoring=("kind",)) == both
+    with pytest.raises(Exception, match="several series match"):
+        series.matched_ratio(left, right, on=["kind"]).collect()
+
+
+def test_rate_vector_keeps_labels(spark):
+    samples = spark.createDataFrame(
+        [("up", {"job": job, "n": "1"}, t, float(t * k)) for job, k in (("a", 1), ("b", 2)) for t in range(0, 61, 10)]
+        + [("down", {"job": "a"}, 10, 5.0)], "metric STRING, labels MAP<STRING, STRING>, t BIGINT, value DOUBLE",
+    ).withColumn("ts", F.timestamp_seconds("t"))
+    rows = series.rate_vector(samples, "up", 30, 60, job="b").collect()
+    assert {(int(r.step.timestamp()), r.value) for r in rows} == {(30, 1.0), (60, 100 / 60), (90, 40 / 60)}
+    assert all([(e.key, e.value) for e in r.labels] == [("job", "b"), ("n", "1")] for r in rows)
+
+
 @pytest.mark.parametrize("step,staleness", [(60, 60), (15, 300), (100, 30)])
 def test_step_lookup_equals_fold(spark, step, staleness):
     data = history(9)
