@@ -58,11 +58,12 @@ def _counter_delta(value: str, before: Column) -> Column:
     return F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
 
 
-def _counter_totals(points: DataFrame, cut: DataFrame) -> DataFrame:
-    """Number each series' samples and add what its counter would show had it never restarted.
+def _counter_totals(points: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each sample with its number in its series and what its counter would show had it never
+    restarted; and for each block the first sample behind it (``_next``).
 
-    Blocks of samples are summed up as (first, last, lost at restarts, count), and a scan over
-    these few rows tells each block what precedes it.
+    Blocks are summed up as (first, last, lost at restarts, count), and a scan over these few
+    rows tells each block what precedes and what follows it.
     """
     within = Window.partitionBy("_series", "_cut").orderBy("_us")
     before = F.lag("value").over(within)
@@ -70,18 +71,28 @@ def _counter_totals(points: DataFrame, cut: DataFrame) -> DataFrame:
         "_lost": F.when(F.col("value") < before, before).otherwise(F.lit(0.0)), "_no": F.row_number().over(within)})
     local = placed.withColumn("_lost", F.sum("_lost").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     ends = local.groupBy("_series", "_cut").agg(
-        F.count("*").alias("_rows"), F.max_by("_lost", "_no").alias("_inside"),
+        F.count("*").alias("_rows"), F.max_by("_lost", "_no").alias("_inside"), F.min("_us").alias("_us"),
         F.min_by("value", "_no").alias("_first"), F.max_by("value", "_no").alias("_last"))
+    # Blocks without samples have questions only.
+    ends = cut.select("_series", "_cut").distinct().join(ends, ["_series", "_cut"], "left")
     along = Window.partitionBy("_series").orderBy("_cut")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.lag("_last").over(along)
-    scanned = ends.withColumn("_across", F.when(F.col("_first") < last, last).otherwise(F.lit(0.0))).select(
-        "_series", "_cut", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        (F.coalesce(F.sum("_inside").over(earlier), F.lit(0.0))
-         + F.sum("_across").over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("_lost_before"))
-    return local.join(scanned, ["_series", "_cut"]).select(
+    earlier, so_far = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    later = along.rowsBetween(1, Window.unboundedFollowing)
+    last = F.last("_last", ignorenulls=True).over(earlier)
+    scanned = ends.withColumns({
+        "_across": F.when(F.col("_first") < last, last).otherwise(F.lit(0.0)),
+        "_rows_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+        "_inside_before": F.coalesce(F.sum("_inside").over(earlier), F.lit(0.0)),
+    }).withColumn("_lost_before", F.col("_inside_before") + F.sum("_across").over(so_far))
+    head = F.when(F.col("_us").isNotNull(), F.struct(
+        "_us", F.col("_first").alias("value"), (F.col("_rows_before") + 1).alias("_no"),
+        (F.col("_first") + F.col("_lost_before")).alias("_total")))
+    scanned = scanned.withColumn("_head", head).select(
+        "_series", "_cut", "_rows_before", "_lost_before", F.first("_head", ignorenulls=True).over(later).alias("_next"))
+    totals = local.join(scanned.drop("_next"), ["_series", "_cut"]).select(
         "_series", "ts", "value", "_us", (F.col("_no") + F.col("_rows_before")).alias("_no"),
         (F.col("value") + F.col("_lost") + F.col("_lost_before")).alias("_total"))
+    return totals, scanned.select("_series", "_cut", "_next")
 
 
 def counter_rate(
@@ -106,14 +117,12 @@ def counter_rate(
     cut = blocks.cuts(moments, ["_series"], "_at", block_rows)
     kinds = F.explode(F.array(F.struct(F.col("_us").alias("_at"), F.lit(1).alias("_is_sample")),
                               F.struct(start.alias("_at"), F.lit(0).alias("_is_sample"))))
-    asked = _counter_totals(points, cut).withColumn("_kind", kinds).select("*", "_kind.*").drop("_kind")
+    totals, heads = _counter_totals(points, cut)
+    asked = totals.withColumn("_kind", kinds).select("*", "_kind.*").drop("_kind")
     placed = blocks.in_cuts(asked, ["_series"], "_at", cut)
     sample = F.when(F.col("_is_sample") == 1, F.struct("_us", "value", "_no", "_total"))
     backwards = Window.partitionBy("_series", "_cut").orderBy(F.desc("_at"), F.desc("_is_sample")) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    heads = placed.groupBy("_series", "_cut").agg(F.min_by(sample, F.when(F.col("_is_sample") == 1, F.col("_at"))).alias("_head"))
-    later = Window.partitionBy("_series").orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("_series", "_cut", F.last("_head", ignorenulls=True).over(later).alias("_next"))
     found = placed.withColumn("_here", F.last(sample, ignorenulls=True).over(backwards)).where("_is_sample = 0")
     measured = found.join(heads, ["_series", "_cut"]).withColumn("_first", F.coalesce("_here", "_next")).select(
         *[F.col("_series")[name].alias(name) for name in by], "ts", "value", "_us",
