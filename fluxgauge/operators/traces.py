@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgauge.functions import ids
+from fluxgauge.session import scratch
 
 # Fixed value: level, then [application,trace id,span id], ids empty outside a trace.
 LOG_PATTERN = r"^(\S+ \S+)\s+([A-Z]+)\s+\[([^,\]]*),([^,\]]*),([^,\]]*)\]\s*(.*)$"
@@ -119,6 +120,59 @@ def self_time(spans: DataFrame) -> DataFrame:
     )
 
 
+def tree(spans: DataFrame) -> DataFrame:
+    """Where each span hangs in its trace: ``depth`` below its root, ``root_id``, and
+    ``path_ms``, the time of the span and all spans above it.
+
+    A span without parent, or whose parent is missing, is a root. Each span points at its
+    parent first; every round moves the pointer to where the span pointed at points, so depth
+    d is reached in log2(d) rounds, and spans that have reached their root rest. Spans in or
+    below a cycle never do: once a round brings no span to its root they have null. Span ids
+    are unique within a trace; spans without trace or span id are left out.
+
+    Each round is written to the shared folder, as the next one reads it twice. Only pointers
+    are joined, and of the side that is looked up each span is there once, so a root with many
+    spans below it is split like any skewed join.
+    """
+    spark, keys = spans.sparkSession, ["trace_id", "span_id"]
+    named = spans.where(F.col("trace_id").isNotNull() & F.col("span_id").isNotNull())
+    known = named.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
+    below = F.col("_known").isNotNull()
+    state = named.select(*keys, "parent_id", F.col("duration_ms").alias("path_ms")).join(known, ["trace_id", "parent_id"], "left").select(
+        *keys, F.when(below, F.col("parent_id")).otherwise(F.col("span_id")).alias("root_id"),
+        F.when(below, 1).otherwise(0).cast("bigint").alias("depth"), "path_ms", below.alias("open"))
+    base, schema = scratch(spark, "span-tree"), state.schema
+    settled, waiting, rounds = None, None, 0
+    while True:
+        folder = f"{base}/{rounds}"
+        state.write.partitionBy("open").parquet(folder)
+        written = spark.read.schema(schema).parquet(folder)
+        done, still = written.where(~F.col("open")), written.where("open")
+        settled = done if settled is None else settled.unionByName(done)
+        left = still.count()
+        if left == 0 or left == waiting:
+            break
+        waiting, rounds = left, rounds + 1
+        above = settled.unionByName(still).select(
+            "trace_id", F.col("span_id").alias("root_id"), F.col("root_id").alias("_up"), F.col("depth").alias("_hops"),
+            F.col("path_ms").alias("_ms"), F.col("open").alias("_open"))
+        state = still.join(above, ["trace_id", "root_id"]).select(
+            *keys, F.col("_up").alias("root_id"), (F.col("depth") + F.col("_hops")).alias("depth"),
+            (F.col("path_ms") + F.col("_ms")).alias("path_ms"), F.col("_open").alias("open"))
+    unplaced = still.select(*keys, *[F.lit(None).cast(schema[c].dataType).alias(c) for c in ("root_id", "depth", "path_ms")])
+    return settled.drop("open").unionByName(unplaced)
+
+
+def critical_paths(placed: DataFrame) -> DataFrame:
+    """Per trace the path from a root that takes longest: its last span (of equals the one
+    with the least id), its root, its time and its number of spans. Takes what ``tree`` returns."""
+    longest = placed.where(F.col("depth").isNotNull()).groupBy("trace_id").agg(
+        F.min(F.struct((-F.col("path_ms")).alias("ms"), "span_id", "root_id", "depth")).alias("_p"))
+    return longest.select(
+        "trace_id", F.col("_p.span_id").alias("leaf_id"), F.col("_p.root_id").alias("root_id"),
+        (-F.col("_p.ms")).alias("critical_ms"), (F.col("_p.depth") + 1).alias("spans"))
+
+
 def service_edges(spans: DataFrame) -> DataFrame:
     """Calls between services: from a span's parent to the span.
 

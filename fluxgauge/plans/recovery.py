@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge.functions import headers
-from fluxgauge.operators import dead_letter, events, fallback, metrics, projection
+from fluxgauge.operators import dead_letter, dedup, events, fallback, metrics, projection
 from fluxgauge.plans import sql
 from fluxgauge.plans.registry import query
 from fluxgauge.plans.write_path import accepted
@@ -207,13 +207,45 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("offset", "attempt", "delay_ms", "elapsed_ms", "due_at")
 
 
-@query("no_loss_reconcile", f"""WITH {sql.ACC}
-SELECT count(*) AS accepted, count(*) FILTER (WHERE route = 0) AS published, count(*) FILTER (WHERE route = 1) AS fallback,
-       count(*) FILTER (WHERE route = 2) AS dead_letter, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS kept_twice, CAST(0 AS BIGINT) AS unknown FROM acc""")
-def no_loss_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+# What the three places hold after some faults: readings lost, kept twice, and kept though never accepted.
+_KEPT = f"""{sql.ACC},
+kept AS (
+  SELECT event_id, route AS place FROM acc WHERE event_id % 53 <> 7
+  UNION ALL SELECT event_id, CASE WHEN route = 1 THEN 2 ELSE 1 END FROM acc WHERE event_id % 59 = 11
+  UNION ALL SELECT event_id, 0 FROM ranked WHERE rn > 1 AND event_id % 3 = 0),
+judged AS (
+  SELECT event_id, count(k.place) AS places, CASE WHEN max(a.event_id) IS NULL THEN 'unknown' WHEN count(k.place) = 0 THEN 'lost'
+         WHEN count(k.place) > 1 THEN 'kept_twice' END AS fault
+  FROM acc a FULL JOIN kept k USING (event_id) GROUP BY event_id)"""
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The accepted readings, and what is found of them in the three places."""
     every = accepted(spark, sf_dir)
-    return dead_letter.reconcile(every, *[
-        every.where(F.col("route") == route) for route in (views.PUBLISHED, views.FALLBACK, views.DEAD_LETTER)])
+    event, route = F.col("event_id"), F.col("route")
+    second = F.when(route == views.FALLBACK, views.DEAD_LETTER).otherwise(views.FALLBACK)
+    strangers = dedup.repeats(views.readings(spark, sf_dir)).where(event % 3 == 0).select(
+        "event_id", F.lit(views.PUBLISHED).alias("place"))
+    kept = (
+        every.where(event % 53 != 7).select("event_id", route.alias("place"))
+        .unionByName(every.where(event % 59 == 11).select("event_id", second.alias("place")))
+        .unionByName(strangers)
+    )
+    return [every, *[kept.where(F.col("place") == place) for place in (views.PUBLISHED, views.FALLBACK, views.DEAD_LETTER)]]
+
+
+@query("no_loss_reconcile", f"""WITH {_KEPT}
+SELECT (SELECT count(*) FROM acc) AS accepted, (SELECT count(*) FROM kept WHERE place = 0) AS published,
+       (SELECT count(*) FROM kept WHERE place = 1) AS fallback, (SELECT count(*) FROM kept WHERE place = 2) AS dead_letter,
+       count(*) FILTER (WHERE fault = 'lost') AS lost, count(*) FILTER (WHERE fault = 'kept_twice') AS kept_twice,
+       count(*) FILTER (WHERE fault = 'unknown') AS unknown FROM judged""")
+def no_loss_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dead_letter.reconcile(*_kept(spark, sf_dir))
+
+
+@query("no_loss_faults", f"WITH {_KEPT} SELECT event_id, fault, places FROM judged WHERE fault IS NOT NULL")
+def no_loss_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dead_letter.faults(*_kept(spark, sf_dir))
 
 
 @query("table_counts", f"""WITH {sql.FALLBACK},

@@ -49,6 +49,27 @@ def span_parent_self_time(spark: SparkSession, sf_dir: str) -> DataFrame:
         "trace_id", "span_id", "parent_id", "parent_name", "children", "self_ms", "orphan")
 
 
+_TREE = f"""RECURSIVE {sql.SPANS},
+placed AS (
+  SELECT trace_id, span_id, span_id AS root_id, CAST(0 AS BIGINT) AS depth, duration_ms AS path_ms FROM spans s
+  WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_id)
+  UNION ALL
+  SELECT s.trace_id, s.span_id, p.root_id, p.depth + 1, p.path_ms + s.duration_ms
+  FROM placed p JOIN spans s ON s.trace_id = p.trace_id AND s.parent_id = p.span_id)"""
+
+
+@query("span_tree", f"WITH {_TREE} SELECT * FROM placed")
+def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.tree(views.spans(spark, sf_dir))
+
+
+@query("trace_critical_path", f"""WITH {_TREE}
+SELECT trace_id, span_id AS leaf_id, root_id, path_ms AS critical_ms, depth + 1 AS spans FROM (
+  SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY path_ms DESC, span_id) AS rank FROM placed) t WHERE rank = 1""")
+def trace_critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.critical_paths(traces.tree(views.spans(spark, sf_dir)))
+
+
 @query("trace_summary", f"WITH {sql.TRACES} SELECT * FROM traces")
 def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.summary(views.spans(spark, sf_dir))
