@@ -13,6 +13,7 @@ EXCEPTION_MESSAGE = "exception-message"
 TRACE_ID = "X-B3-TraceId"
 SPAN_ID = "X-B3-SpanId"
 UNKNOWN_ERROR = "Unknown error"
+PRODUCER_BATCH = "producer-batch"   # our own: who published a record, and in which batch
 
 
 def header(key: str, value: Column) -> Column:
@@ -31,6 +32,19 @@ def last(headers: Column, key: str, default: Column | None = None) -> Column:
     return text if default is None else F.coalesce(text, default)
 
 
+def producer_batch(producer: str, batch_id: int) -> Column:
+    """Headers of what a producer publishes in one batch."""
+    return F.array(header(PRODUCER_BATCH, F.lit(f"{producer}:{batch_id}")))
+
+
+def producer_of(headers: Column) -> tuple[Column, Column]:
+    """Producer and batch number of a record; both null when the header is missing or malformed."""
+    text = last(headers, PRODUCER_BATCH)
+    well = text.rlike("^.+:[0-9]{1,18}$")
+    return (F.when(well, F.regexp_extract(text, "^(.+):[0-9]+$", 1)),
+            F.when(well, F.substring_index(text, ":", -1)).try_cast("bigint"))
+
+
 def error_message(headers: Column) -> Column:
     return last(headers, EXCEPTION_MESSAGE, F.lit(UNKNOWN_ERROR))
 

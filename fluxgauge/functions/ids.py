@@ -19,6 +19,28 @@ def random_event_id() -> Column:
     return F.uuid()
 
 
+OFFSET_BITS = 48   # offsets below 2^48, partitions below 2^15
+
+
+def arrival(partition: Column, offset: Column) -> Column:
+    """One arrival number of a record from its partition and offset, unique in its topic.
+
+    Offsets keep their order inside a partition, and so a device's records, which share one. Partitions follow each other,
+    so that a range of arrival numbers holds no more records than it is wide. No partition is partition 0; a number out of
+    range ends the job, as two records would meet.
+    """
+    part = F.coalesce(partition, F.lit(0)).cast("bigint")
+    fits = part.between(0, (1 << 63 - OFFSET_BITS) - 1) & offset.between(0, (1 << OFFSET_BITS) - 1)
+    number = F.shiftleft(part, OFFSET_BITS) + offset
+    return F.when(offset.isNull(), None).when(fits, number).otherwise(
+        F.raise_error(F.concat(F.lit("partition or offset out of range: "), part, F.lit("/"), offset)).cast("bigint"))
+
+
+def arrival_offset(number: Column) -> Column:
+    """The offset in an arrival number."""
+    return number.bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
+
+
 def topic_partition(key: Column, partitions: int) -> Column:
     """Stable partition of a text key; all records of a device share one."""
     return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % partitions).cast("int")

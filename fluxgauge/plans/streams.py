@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
+from fluxgauge.functions import headers, ids, outcome
 from fluxgauge.operators import events, metrics
 from fluxgauge.plans import sql
+from fluxgauge.plans.observability import QUANTILES, SKETCHED
 from fluxgauge.plans.registry import query
 from fluxgauge.session import scratch
 from fluxgauge.sources import readers, views
-from fluxgauge.streaming import flows
+from fluxgauge.streaming import flows, live
 from fluxgauge.streaming.tables import BatchTable
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -22,22 +24,36 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 BATCHES = 5
 
 
-def _arriving(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[None]:
-    """Put the events into a folder in order of arrival, a share at each step."""
-    every = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
+def _share(every: DataFrame) -> Callable[[Column], Column]:
+    """From an arrival number to the step at which it comes."""
     order = views.arrival_seq(F.col("event_id"))
     low, high = every.agg(F.min(order), F.max(order)).first()
-    share = F.lit(0) if low is None else F.floor((order - low) / (high - low + 1) * BATCHES)
+    return lambda number: F.lit(0) if low is None else F.floor((number - low) / (high - low + 1) * BATCHES)
+
+
+def _arriving(spark: SparkSession, sf_dir: str, folder: str, again: int = 0) -> Iterator[None]:
+    """Put the events into a folder in order of arrival, a share at each step, with the ``again`` shares before it."""
+    every = _events(spark, sf_dir)
+    share = _share(every)(views.arrival_seq(F.col("event_id")))
     for step in range(BATCHES):
-        every.where(share == step).write.mode("append").parquet(folder)
+        every.where(share.between(step - again, step)).write.mode("append").parquet(folder)
         yield
 
 
 def _run(spark: SparkSession, sf_dir: str, root: str, shape: Callable[[DataFrame], DataFrame],
-         process: Callable[[DataFrame, int], None]) -> None:
+         process: Callable[[DataFrame, int], None], again: int = 0, watched: live.LiveMetrics | None = None,
+         name: str | None = None) -> None:
     """Start the stream again after each arrival; its checkpoint goes on with the next batch."""
-    for _ in _arriving(spark, sf_dir, f"{root}/input"):
-        flows.run_once(shape(readers.file_stream(spark, f"{root}/input", EVENTS)), process, f"{root}/checkpoint")
+    for _ in _arriving(spark, sf_dir, f"{root}/input", again):
+        stream = shape(readers.file_stream(spark, f"{root}/input", EVENTS))
+        running = flows.start(stream, process, f"{root}/checkpoint", available_now=True, name=name)
+        running.awaitTermination()
+        if watched is not None:
+            watched.settled(running.runId)
 
 
 def _readings(arrived: DataFrame) -> DataFrame:
@@ -107,7 +123,8 @@ SELECT device_id, date, CAST(measurement AS DOUBLE) AS measurement, arrival_seq,
        coalesce(max(date) OVER (PARTITION BY device_id ORDER BY arrival_seq
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > date, false) AS out_of_order FROM good""")
 def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_side(spark, sf_dir, "stream-order").flags.read(spark)
+    flags = _read_side(spark, sf_dir, "stream-order").flags.read(spark)
+    return flags.withColumn("arrival_seq", ids.arrival_offset(F.col("arrival_seq")))
 
 
 @query("stream_dlq_split", f"""WITH {sql.RAW}
@@ -124,6 +141,7 @@ SELECT 'telemetry.out_of_order.total' AS metric, count(*) FILTER (WHERE pm > dat
   SELECT date, max(date) OVER (PARTITION BY device_id ORDER BY arrival_seq
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM good) t
 UNION ALL SELECT 'telemetry.dlq.sent.total', count(*) FROM raw WHERE route = 1
+UNION ALL SELECT 'telemetry.events.repeated.total', 0
 UNION ALL SELECT 'telemetry.received.total', count(*) FROM raw
 UNION ALL SELECT 'telemetry.duplicates.total', count(*) - count(DISTINCT (device_id, date)) FROM raw""")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,3 +163,82 @@ def stream_rate_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _run(spark, sf_dir, root, lambda arrived: arrived.withColumn("ts", F.col("ts").cast("timestamp")), count)
     return table.read_sum(spark, ["event_type", "window_start"], "n").withColumn("per_second", F.col("n") / F.lit(60.0))
+
+
+_SHARES = f"""shares AS (
+  SELECT *, floor((arrival_seq - min(arrival_seq) OVER ()) / (max(arrival_seq) OVER () - min(arrival_seq) OVER () + 1) * {BATCHES}) AS step
+  FROM raw)"""
+
+
+@query("stream_republished", f"""WITH {sql.RAW}, {_SHARES},
+once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step, device_id, date ORDER BY arrival_seq) AS nth
+                 FROM shares WHERE route <> 1) t WHERE nth = 1)
+SELECT 'telemetry.out_of_order.total' AS metric, count(*) FILTER (WHERE pm > date) AS value FROM (
+  SELECT date, max(date) OVER (PARTITION BY device_id ORDER BY arrival_seq
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM once) t
+UNION ALL SELECT 'telemetry.dlq.sent.total', count(*) FROM raw WHERE route = 1
+UNION ALL SELECT 'telemetry.events.repeated.total', CAST(sum(2 * least(3, {BATCHES} - step)) AS BIGINT)
+  - (SELECT count(*) FROM raw WHERE route = 1) - (SELECT count(*) FROM once) FROM shares""")
+def stream_republished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is published twice, and both again with each of the next two batches; no other counter may change.
+    An event id counts once in a batch, so a pair repeated inside one is a repeat as well."""
+    root = scratch(spark, "stream-republished")
+    side = flows.ReadSide(root, now=views.recorded_at)
+    share = _share(_events(spark, sf_dir))
+
+    def published(arrived: DataFrame) -> DataFrame:
+        sent = headers.header(headers.PRODUCER_BATCH, F.concat(F.lit("devices:"), share(F.col("offset")).cast("string")))
+        return _records(arrived).withColumn("headers", headers.append(F.col("headers"), sent)).withColumn(
+            "offset", F.explode(F.array(F.col("offset") * 2, F.col("offset") * 2 + 1)))
+
+    _run(spark, sf_dir, root, published, side.process, again=2)
+    return side.counters.read(spark).groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+@query("stream_live_metrics", f"""WITH {sql.RAW}, {_SHARES},
+n AS (SELECT CAST(count(DISTINCT step) AS BIGINT) AS samples, count(*) AS received FROM shares)
+SELECT 'telemetry.received.total' AS metric, samples, CAST(received AS DOUBLE) AS total, true AS grows FROM n
+UNION ALL SELECT 'stream.rows.read', samples, NULL, true FROM n
+UNION ALL SELECT 'telemetry.duplicates.total', samples,
+  CAST((SELECT count(*) - count(DISTINCT (device_id, date)) FROM raw) AS DOUBLE), true FROM n
+UNION ALL SELECT 'stream.batch.ms', samples, NULL, true FROM n""")
+def stream_live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a running stream as samples with time, made cumulative like any other counter, and its progress.
+
+    ``grows``: no sample is below the one before; of progress, every batch read rows and took time.
+    """
+    root = scratch(spark, "stream-live")
+    topic = BatchTable(f"{root}/topic", schemas.TOPIC_RECORD)
+    side = flows.WriteSide(root, topic.write)
+    watched = live.LiveMetrics(spark, f"{root}/live", ["readings"])
+    spark.streams.addListener(watched)
+    try:
+        _run(spark, sf_dir, root, _readings, side.process, watched=watched, name="readings")
+    finally:
+        spark.streams.removeListener(watched)
+    progress = watched.tables["readings"].read(spark)
+    added = side.counters.read(spark)
+    grown = metrics.cumulative(added, ["metric"], "ts", "value").groupBy("metric").agg(
+        F.count("*").alias("samples"), F.max("value").alias("total"))
+    falls = added.groupBy("metric").agg((F.min("value") >= 0).alias("grows"))
+    batches = progress.where(F.col("metric").isin(live.ROWS, live.BATCH_TIME)).groupBy("metric").agg(
+        F.count("*").alias("samples"), F.lit(None).cast("double").alias("total"), (F.min("value") > 0).alias("grows"))
+    return grown.join(falls, "metric").select("metric", "samples", "total", "grows").unionByName(batches)
+
+
+@query("stream_timer", SKETCHED)
+def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch keeps its sketches of processing times; reading merges them."""
+    root = scratch(spark, "stream-timer")
+    table = BatchTable(f"{root}/sketches", "state STRING, count BIGINT, total DOUBLE, max DOUBLE, sketch BINARY")
+
+    def timed(rows: DataFrame) -> DataFrame:
+        return views.shape_outcomes(rows).select(outcome.breaker_state(F.col("state")).alias("state"), "elapsed_ms")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        table.write(metrics.timer_sketches(batch, ["state"], "elapsed_ms"), batch_id)
+
+    _run(spark, sf_dir, root, timed, keep)
+    approx = metrics.timer_approx(table.read(spark), ["state"], QUANTILES)
+    return metrics.rank_errors(timed(_events(spark, sf_dir)), approx, ["state"], "elapsed_ms", QUANTILES)

@@ -189,7 +189,12 @@ def memory_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publish attempts per device: whether they failed, how long they took, the breaker state."""
-    return table(spark, sf_dir, "events").select(
+    return shape_outcomes(table(spark, sf_dir, "events"))
+
+
+def shape_outcomes(events: DataFrame) -> DataFrame:
+    """The same of ``events``, batch or stream."""
+    return events.select(
         F.col("user_id").alias("device_id"),
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),

@@ -177,6 +177,17 @@ class BatchTable:
     def read_batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return read_batches(spark, self.path, self.schema, batch_id + 1, batch_id).drop("batch_id")
 
+    def last_before(self, spark: SparkSession, batch_id: int) -> int | None:
+        """The last earlier batch whose write was finished."""
+        names = folder_names(spark, self.path, "batch_id")
+        return next((b for b in reversed(names) if b < batch_id and finished(spark, f"{self.path}/batch_id={b}")), None)
+
+    def remove_before(self, spark: SparkSession, batch_id: int) -> None:
+        """Drop batches that a later one replaces."""
+        for old in folder_names(spark, self.path, "batch_id"):
+            if old < batch_id:
+                remove_batch(spark, self.path, old)
+
     def read_sum(self, spark: SparkSession, by: list[str], value: str) -> DataFrame:
         """What all batches added to a key."""
         return self.read(spark).groupBy(*by).agg(F.sum(value).alias(value))

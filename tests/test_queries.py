@@ -1,13 +1,13 @@
 """Every query against its SQL, row by row."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import compare
+from fluxgauge.operators import metrics
 from fluxgauge.plans import catalog
 
-ROWS_ONLY = {"processing_time_approx"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -19,18 +19,26 @@ def test_query_equals_sql(spark, con, name):
     assert compare.difference(spark, con, contract.queries()[name], contract.oracle_sql()[name]) == ""
 
 
-def test_only_sketches_lack_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == ROWS_ONLY
+def test_no_query_lacks_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-def test_approximate_quantiles_are_close(spark):
-    exact = {r["state"]: r for r in contract.queries()["processing_time_stats"](spark, compare.SF_DIR).collect()}
-    rows = contract.queries()["processing_time_approx"](spark, compare.SF_DIR).collect()
-    assert len(rows) == 3
-    for row in rows:
-        for q in ("p50", "p95", "p99"):
-            assert row[q] == pytest.approx(exact[row["state"]][q], rel=0.05)
+def test_rank_check_tells_a_wrong_quantile(spark):
+    values = spark.range(10_000).selectExpr("id % 3 as state", "double(id) as v").unionByName(
+        spark.range(20_000).selectExpr("0 as state", "double(7) as v"))  # one value holds most of a key
+    sketches = metrics.timer_sketches(values.withColumn("part", F.pmod(F.hash("v"), F.lit(9))), ["state", "part"], "v")
+    approx = metrics.timer_approx(sketches, ["state"], (0.5, 0.99))
+    exact = values.groupBy("state").agg(F.count("*"), F.sum("v"), F.max("v"))
+    assert sorted(approx.select("state", "count", "total", "max").collect()) == sorted(exact.collect())
+    checked = metrics.rank_errors(values, approx, ["state"], "v", (0.5, 0.99))
+    assert {(r["state"], r["quantile"]) for r in checked.where("within_bound").collect()} == {
+        (s, q) for s in range(3) for q in (0.5, 0.99)}
+    shifted = approx.withColumn("p99", F.col("p99") * 0.95)
+    wrong = metrics.rank_errors(values, shifted, ["state"], "v", (0.5, 0.99)).where("not within_bound").collect()
+    assert {(r["state"], r["quantile"]) for r in wrong} == {(1, 0.99), (2, 0.99)} | (
+        {(0, 0.99)} if any(r["state"] == 0 for r in wrong) else set())
+    assert metrics.timer_sketches(values.withColumn("v", F.lit(None).cast("double")), ["state"], "v").count() == 0
 
 
 def test_entry(spark):

@@ -1,16 +1,17 @@
 """Streams in several batches: equal to batch results, safe to repeat, nothing lost."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from fluxgauge import schemas
-from fluxgauge.functions import outcome
-from fluxgauge.operators import dedup, events, fallback, projection, validate
+from fluxgauge.functions import headers, ids, outcome
+from fluxgauge.operators import dedup, events, fallback, metrics, projection, series, validate
 from fluxgauge.session import scratch
 from fluxgauge.sources import readers, writers
-from fluxgauge.streaming import bloom, delivery, flows, stateful
+from fluxgauge.streaming import bloom, delivery, flows, live, stateful
 from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
 
 READING = "device_id BIGINT, measurement DECIMAL(38,9), date TIMESTAMP, arrival_seq BIGINT"
@@ -248,7 +249,8 @@ def test_read_side_equals_batch(spark, full_every):
     good = df.dropna().where("arrival_seq % 10 <> 3").withColumn("measurement", F.col("measurement").cast("decimal(10,2)"))
     assert plain(side.projection.current(spark), "device_id", "latest_measurement", "latest_date") == plain(
         projection.latest(good), "device_id", "latest_measurement", "latest_date")
-    assert plain(side.flags.read(spark), "arrival_seq", "out_of_order") == plain(
+    flags = side.flags.read(spark).withColumn("arrival_seq", ids.arrival_offset(F.col("arrival_seq")))  # partitions go first
+    assert plain(flags, "arrival_seq", "out_of_order") == plain(
         projection.with_out_of_order(good), "arrival_seq", "out_of_order")
     dead = df.dropna().where("arrival_seq % 10 = 3").count()
     assert side.dead_letters.read(spark).count() == dead
@@ -336,3 +338,95 @@ def test_stateful_forms(spark):
     latest = memory_rows(spark, stateful.latest(source), "latest_state", "complete")
     assert plain(latest, "device_id", "latest_measurement", "latest_date") == plain(
         projection.latest(df), "device_id", "latest_measurement", "latest_date")
+
+
+def test_equal_offsets_of_two_partitions_do_not_meet(spark):
+    df = spark.createDataFrame([(0, 5), (1, 5), (1, 6), (None, 7), (32767, (1 << 48) - 1)], "partition INT, offset BIGINT")
+    numbered = df.withColumn("arrival", ids.arrival(F.col("partition"), F.col("offset")))
+    rows = numbered.withColumn("back", ids.arrival_offset(F.col("arrival"))).collect()
+    assert len({r.arrival for r in rows}) == len(rows) and all(r.back == r.offset for r in rows)
+    assert rows[1].arrival < rows[2].arrival and rows[3].arrival == 7 and rows[4].arrival == (1 << 63) - 1
+    for partition, offset in ((1 << 15, 0), (0, 1 << 48), (0, -1)):
+        bad = spark.createDataFrame([(partition, offset)], "partition INT, offset BIGINT")
+        with pytest.raises(Exception, match="out of range"):
+            bad.select(ids.arrival(F.col("partition"), F.col("offset"))).collect()
+
+
+def published(spark, records):
+    """(partition, offset, producer, batch, device, day) as topic records."""
+    df = spark.createDataFrame(records, "partition INT, offset BIGINT, producer STRING, batch BIGINT, device BIGINT, day INT")
+    rows = df.withColumns({"deviceId": F.col("device"), "measurement": F.lit(1).cast("decimal(10,2)"),
+                           "date": F.make_timestamp(F.lit(2025), F.lit(1), F.col("day"), F.lit(0), F.lit(0), F.lit(0))})
+    named = events.envelope(rows.withColumnRenamed("device", "device_id"), F.col("date"), keep=("partition", "offset", "producer", "batch"))
+    made = events.topic_records(named, F.col("recordedAt"), keep=("offset", "producer", "batch"))
+    sent = headers.header(headers.PRODUCER_BATCH, F.concat_ws(":", "producer", F.col("batch").cast("string")))
+    parts = named.select("offset", "producer", "batch", F.col("partition").alias("part"))
+    return (made.drop("partition").join(parts, ["offset", "producer", "batch"])
+            .withColumn("headers", F.when(F.col("producer") == "", F.col("headers")).otherwise(F.array(sent)))
+            .select("key", "value", "topic", F.col("part").alias("partition"), "offset", "timestamp", "headers"))
+
+
+def test_batch_published_again_changes_no_counter(spark):
+    side = flows.ReadSide(scratch(spark, "again"), now=now, wait=lambda s: None)
+
+    def counted():
+        return {r.metric: r.n for r in side.counters.read(spark).groupBy("metric").agg(F.sum("value").alias("n")).collect()}
+
+    first = published(spark, [(0, 0, "a:1", 3, 1, 9), (0, 1, "a:1", 3, 2, 5), (1, 2, "a:1", 3, 3, 5)])
+    side.fold(first, 0)
+    # the rest of batch 3 with a repeat, batch 4, a straggler of batch 3, and another producer's batch 0
+    side.fold(published(spark, [(0, 3, "a:1", 3, 2, 5), (0, 4, "a:1", 3, 1, 4), (0, 5, "a:1", 4, 1, 3), (0, 6, "b", 0, 1, 9)]), 1)
+    before = counted()
+    assert before["telemetry.events.repeated.total"] == 1 and before["telemetry.out_of_order.total"] == 2
+    # batch 3 again, whose partition 0 is closed and partition 1 is open; a repeated stream batch counts once
+    again = published(spark, [(0, 7, "a:1", 3, 1, 4), (0, 8, "a:1", 3, 1, 9), (1, 9, "a:1", 3, 3, 5), (0, 10, "a:1", 4, 1, 3)])
+    for _ in range(2):
+        side.fold(again, 2)
+    after = counted()
+    assert after["telemetry.out_of_order.total"] == 2 and after["telemetry.events.repeated.total"] == 5
+    # without a batch number a record always passes
+    side.fold(published(spark, [(0, 11, "", 0, 1, 4)]), 3)
+    assert counted()["telemetry.out_of_order.total"] == 3
+    kept = sorted((r.partition, r.producer, r.producer_batch) for r in side.published.read_batch(
+        spark, side.published.last_before(spark, 3)).collect())
+    assert kept == [(0, "a:1", 4), (0, "b", 0), (1, "a:1", 3)]
+    assert len(writers.folder_names(spark, side.published.path, "batch_id")) <= 2
+
+
+def test_progress_becomes_samples_with_lag():
+    source = {"description": "Kafka", "startOffset": '{"t":{"0":1,"1":1}}', "endOffset": '{"t":{"0":5,"1":7}}',
+              "latestOffset": '{"t":{"0":9,"1":7,"2":4}}', "numInputRows": 10, "inputRowsPerSecond": 1.0, "processedRowsPerSecond": 1.0}
+    plain_text = source | {"endOffset": "FileOffset", "latestOffset": "None"}
+    one_number = source | {"endOffset": '{"logOffset":3}', "latestOffset": '{"logOffset":8}'}
+    progress = SimpleNamespace(
+        name="s", id="i", numInputRows=10, timestamp="2025-01-01T00:00:00.250Z", durationMs={"triggerExecution": 750},
+        sources=[SimpleNamespace(**s) for s in (source, plain_text, one_number)])
+    found = live.samples(progress)
+    assert {str(ts) for _, _, ts, _ in found} == {"2025-01-01 00:00:01+00:00"}
+    assert [(m, v) for m, _, _, v in found] == [
+        (live.ROWS, 10.0), (live.BATCH_TIME, 750.0), (live.LAG, 4.0), (live.LAG, 0.0), (live.LAG, 5.0)]
+    assert found[2][1] == {"stream": "s", "source": "0", "topic": "t", "partition": "0"}
+
+
+def test_live_samples_follow_a_stream_and_rates_read_them(spark):
+    root = scratch(spark, "live")
+    in_files(arrivals(spark, 60), f"{root}/in", 3)
+    side, _ = write_side(spark, root)
+    watched = live.LiveMetrics(spark, f"{root}/live", ["w"])
+    spark.streams.addListener(watched)
+    try:
+        stream = readers.file_stream(spark, f"{root}/in", READING, files_per_trigger=1)
+        running = flows.start(stream, flows.WriteSide(root, side.publish).process, f"{root}/checkpoint", available_now=True, name="w")
+        running.awaitTermination()
+        watched.settled(running.runId)
+    finally:
+        spark.streams.removeListener(watched)
+    rows = watched.tables["w"].read(spark).where(F.col("metric") == live.ROWS)
+    assert [r.value % 20 for r in rows.collect()] == [0, 0, 0]  # every scan of a batch of 20 counts
+    waited = watched.tables["w"].read(spark).where(F.col("metric") == live.BATCH_TIME)
+    assert waited.count() == waited.where("value > 0").count() == 3
+    grown = metrics.cumulative(side.counters.read(spark), ["metric"], "ts", "value")
+    received = [r.value for r in grown.where("metric = 'telemetry.received.total'").orderBy("ts").collect()]
+    assert len(received) == 3 and received == sorted(received)
+    rates = series.counter_rate(grown, ["metric"], 3600).where("metric = 'telemetry.received.total'").collect()
+    assert len(rates) == 2 and max(r.increase for r in rates) == received[-1] - received[0]  # the first sample has none before it
