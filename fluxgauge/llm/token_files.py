@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from array import array
 from functools import lru_cache
@@ -24,6 +25,9 @@ SHARD_BYTES = 32 << 20   # text per shard
 KEYS_PER_PART = 50_000   # keys of one index part: a part is built and read by one task
 GAMMA = 2                # bits per key and level of the index
 CACHED = 3 << 18         # units whose ids a worker remembers, about
+LONGEST = 48             # and only those of so many characters: longer ones are encoded each time they come
+ODD = re.compile(r" (?:\s|\Z)")
+BETWEEN = re.compile(r" (?=\S)")
 MARKS = ",.;:!?"
 MAGIC = b"FGTOKENS"
 HEADER = 16              # magic, then the width of an id in bytes as a 64-bit integer
@@ -34,8 +38,8 @@ HEADER = 16              # magic, then the width of an id in bytes as a 64-bit i
 class Coder:
     """Whole texts to ids with the tokenizers library, which sees every distinct unit between spaces once.
 
-    Between single spaces a text falls into units that the byte-level pre-tokenizer never joins; a text with a special
-    token, or with other white space next to a space, goes to the library whole.
+    A text falls into units that the byte-level pre-tokenizer never joins: at every space before something that is no white
+    space. Other white space stays with the unit before it. A text with a special token goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -63,22 +67,17 @@ class Coder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.units) > CACHED:
             self.units.clear()
-        split = [text.split(" ") for text in texts]
-        new = set().union(*split).difference(self.units)
-        # what starts with white space may not stand alone: it is never learned, and its texts go whole
-        self._learn({p for p in new if p and not p[0].isspace()})
-        firsts = self._ids([pieces[0] for pieces in split])
-        out, whole = [], []
-        for i, (text, pieces) in enumerate(zip(texts, split)):
-            try:
-                if not pieces[0] or any(s in text for s in self.special):
-                    raise KeyError
-                out.append(firsts[i] + b"".join(map(self.units.__getitem__, pieces[1:])))
-            except KeyError:
-                whole.append(i)
-                out.append(b"")
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
+        special = [any(s in text for s in self.special) for text in texts]
+        split = [BETWEEN.split(text) if ODD.search(text) else text.split(" ") for text in texts]
+        firsts = self._ids([text if whole else pieces[0] for text, pieces, whole in zip(texts, split, special)])
+        rest = [() if whole else pieces[1:] for pieces, whole in zip(split, special)]
+        new = set().union(*rest).difference(self.units)
+        self._learn(new)
+        out = [first + b"".join(map(self.units.__getitem__, pieces)) for first, pieces in zip(firsts, rest)]
+        for piece in new:
+            if len(piece) > LONGEST:
+                self.units.pop(piece, None)
+                self.units.pop(piece[:-1], None)  # what was learned for its letters alone
         return out
 
 

@@ -760,3 +760,14 @@ def test_queries_with_sql_agree(spark):
     con = compare.connect(SF)
     for name in ("op3_exact_dedup", "op10_poisson_mix", "op11_repeats", "op12_bloom_search"):
         assert compare.difference(spark, con, queries.QUERIES[name], queries.ORACLES[name], SF) == ""
+
+
+def test_units_with_odd_white_space_equal_the_library():
+    rng = random.Random(7)
+    parts = ["a", "Bc", "7", "é", "漢", ",", ".", "!", " ", " ", "  ", "\n", "\r\n", " ", "　", "\x1c", "'s",
+             "<|endoftext|>", "x" * 60, "y" * 60 + ",", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    code = token_files.Coder(vocabulary())
+    found = [ids for at in range(0, len(texts), 100) for ids in code.encode(texts[at:at + 100])]
+    assert found == code._ids(texts)
+    assert max(map(len, code.units)) <= token_files.LONGEST  # long units are not remembered
