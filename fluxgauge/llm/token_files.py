@@ -26,6 +26,8 @@ KEYS_PER_PART = 50_000   # keys of one index part: a part is built and read by o
 GAMMA = 2                # bits per key and level of the index
 CACHED = 3 << 18         # units whose ids a worker remembers, about
 LONGEST = 48             # and only those of so many characters: longer ones are encoded each time they come
+TOGETHER = 1000          # units that the library sees as one text
+SPACE = "\u0120"         # fixed value: the byte-level form of a space
 ODD = re.compile(r" (?:\s|\Z)")
 BETWEEN = re.compile(r" (?=\S)")
 MARKS = ",.;:!?"
@@ -51,16 +53,38 @@ class Coder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token[0] == SPACE]] = True
         self.units: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, pieces: list[str]) -> list[bytes]:
+        """Ids of ' ' + piece for each piece. Many pieces without a space are encoded as one text: a unit begins at every
+        token that begins with a space, as there is no other."""
+        if any(" " in p for p in pieces):
+            return self._ids([" " + p for p in pieces])
+        out: list[bytes] = []
+        groups = [pieces[at:at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
+        joined = self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, joined):
+            ids = np.array(encoding.ids, self.type)
+            starts = (np.flatnonzero(self.spaced[ids]) * self.type.itemsize).tolist()
+            if len(starts) != len(group):
+                raise ValueError("a unit does not begin with one token that begins with a space")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         """Ids of ' ' + piece. Letters with a mark behind them are two pre-tokens, so the letters are learned alone."""
         marked = {p for p in pieces if p[-1] in MARKS and p[:-1].isalpha()}
         stems = list({p[:-1] for p in marked}.difference(self.units) | (pieces - marked))
-        self.units.update(zip(stems, self._ids([" " + p for p in stems])))
+        odd = [p for p in stems if " " in p]
+        self.units.update(zip(odd, self._units(odd)))
+        plain = [p for p in stems if " " not in p] if odd else stems
+        self.units.update(zip(plain, self._units(plain)))
         mark = dict(zip(MARKS, self._ids(list(MARKS))))
         self.units.update((p, self.units[p[:-1]] + mark[p[-1]]) for p in marked)
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -767,7 +768,7 @@ def test_units_with_odd_white_space_equal_the_library():
     parts = ["a", "Bc", "7", "é", "漢", ",", ".", "!", " ", " ", "  ", "\n", "\r\n", " ", "　", "\x1c", "'s",
              "<|endoftext|>", "x" * 60, "y" * 60 + ",", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)]
-    code = token_files.Coder(vocabulary())
+    code = token_files.Coder(queries.vocabulary())
     found = [ids for at in range(0, len(texts), 100) for ids in code.encode(texts[at:at + 100])]
     assert found == code._ids(texts)
     assert max(map(len, code.units)) <= token_files.LONGEST  # long units are not remembered
