@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxgauge.llm.common import id_remainder, text_batches
+from fluxgauge.llm.common import id_remainder, stored, text_batches
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16      # hashed n-grams
@@ -151,7 +151,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """
     text_batches(docs.sparkSession)
     known = docs.where(learnable())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # stored, so that the join knows how few rows these are and does not shuffle the texts
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     idf = inverse_frequencies(docs)
     drawn = known.select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("draw")).join(
         sizes.withColumnRenamed("lang", "of_lang"), F.col("lang") == F.col("of_lang")).where(
