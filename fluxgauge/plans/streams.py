@@ -18,6 +18,9 @@ from fluxgauge.sources import readers, views
 from fluxgauge.streaming import flows, live
 from fluxgauge.streaming.tables import BatchTable
 
+# Arrivals in a block of the read side, whose offsets are arrival numbers.
+BLOCK = views.ARRIVAL_UNIT << 20
+
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -36,11 +39,13 @@ def _share(every: DataFrame) -> Callable[[Column], Column]:
 
 
 def _arriving(spark: SparkSession, sf_dir: str, folder: str, again: int = 0) -> Iterator[None]:
-    """Put the events into a folder in order of arrival, a share at each step, with the ``again`` shares before it."""
+    """Put the events into a folder in order of arrival, a share at each step, with the ``again`` shares before it.
+
+    Dealt anew, as a table in order of time has a share in few of its parts, and a stream reads a small file in one task."""
     every = _events(spark, sf_dir)
     share = _share(every)(views.arrival_seq(F.col("event_id")))
     for step in range(BATCHES):
-        every.where(share.between(step - again, step)).write.mode("append").parquet(folder)
+        every.where(share.between(step - again, step)).repartition("event_id").write.mode("append").parquet(folder)
         yield
 
 
@@ -83,7 +88,7 @@ def _write_side(spark: SparkSession, sf_dir: str, name: str, publish=None) -> fl
 
 def _read_side(spark: SparkSession, sf_dir: str, name: str) -> flows.ReadSide:
     root = scratch(spark, name)
-    side = flows.ReadSide(root, now=views.recorded_at)
+    side = flows.ReadSide(root, now=views.recorded_at, block_width=BLOCK)
     _run(spark, sf_dir, root, _records, side.process)
     return side
 
@@ -184,7 +189,7 @@ def stream_republished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record is published twice, and both again with each of the next two batches; no other counter may change.
     An event id counts once in a batch, so a pair repeated inside one is a repeat as well."""
     root = scratch(spark, "stream-republished")
-    side = flows.ReadSide(root, now=views.recorded_at)
+    side = flows.ReadSide(root, now=views.recorded_at, block_width=BLOCK)
     share = _share(_events(spark, sf_dir))
 
     def published(arrived: DataFrame) -> DataFrame:

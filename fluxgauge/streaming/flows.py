@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fluxgauge import schemas
 from fluxgauge.functions import codec, headers, ids
-from fluxgauge.operators import dead_letter, dedup, events, fallback, metrics, projection, validate
+from fluxgauge.operators import blocks, dead_letter, dedup, events, fallback, metrics, projection, validate
 from fluxgauge.streaming import repeats
 from fluxgauge.streaming.delivery import Sink, with_fallback, with_retries
 from fluxgauge.streaming.tables import AuditTable, BatchTable, ProjectionTable
@@ -106,6 +106,7 @@ class ReadSide:
     root: str
     now: Callable[[], Column] = batch_time
     wait: Callable[[float], None] = time.sleep
+    block_width: int = blocks.ARRIVALS_PER_BLOCK   # in offsets; wider if the topic's offsets have gaps
     projection: ProjectionTable = field(init=False)
     dead_letters: BatchTable = field(init=False)
     flags: BatchTable = field(init=False)
@@ -172,7 +173,7 @@ class ReadSide:
 
         arrived = staged.where(F.col("broken").isNull()).select("device_id", "date", "measurement", "arrival_seq")
         late = Observation()
-        flagged = projection.with_out_of_order(arrived, self.projection.read(spark, batch_id)).drop("stored_date")
+        flagged = projection.with_out_of_order(arrived, self.projection.read(spark, batch_id), self.block_width).drop("stored_date")
         self.flags.write(flagged.observe(late, F.count_if("out_of_order").alias("n")), batch_id)
         self.projection.write(projection.latest(arrived), batch_id, self.now())
         _write_counters(self.counters, batch, {

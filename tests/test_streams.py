@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fluxgauge import schemas
 from fluxgauge.functions import headers, ids, outcome
 from fluxgauge.operators import dedup, events, fallback, metrics, projection, series, validate
+from fluxgauge.plans import streams as plans
 from fluxgauge.session import scratch
 from fluxgauge.sources import readers, writers
 from fluxgauge.streaming import bloom, delivery, flows, live, stateful
@@ -56,6 +57,20 @@ def run(spark, root, process, schema, source):
     flows.run_once(stream, process, f"{root}/checkpoint")
 
 
+def test_arriving_events_are_dealt_evenly(spark, tmp_path):
+    """A table in order of time has an arriving share in few of its files."""
+    spark.range(8000).selectExpr(
+        "id AS event_id", "CAST(timestamp_seconds(id) AS TIMESTAMP_NTZ) AS ts", "id % 9 AS user_id", "'click' AS event_type",
+        "CAST(1 AS DOUBLE) AS value", "'{}' AS props").repartitionByRange(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        next(plans._arriving(spark, str(tmp_path), f"{tmp_path}/input"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    rows = [r["count"] for r in spark.read.parquet(f"{tmp_path}/input").groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) > 1000 and max(rows) < sum(rows) * 0.6
+
+
 def test_write_side_equals_batch(spark):
     root = scratch(spark, "write")
     df = arrivals(spark)
