@@ -276,6 +276,12 @@ def test_step_lookup_equals_fold(spark, step, staleness):
     assert got == expected
 
 
+def test_step_lookup_spreads_over_steps_after_its_last_shuffle(spark):
+    steps = series.at_steps(samples_of(spark, history(9)), ["device"], F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(9000)), 60, 3600)
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Generate explode" not in plan[plan.index("Exchange"):]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.integers(0, 5000), min_size=1, max_size=60), bucket=st.sampled_from([1.0, 7.0, 10_000.0]))
 def test_timer_quantiles_equal_interpolation(spark, values, bucket):
