@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgauge.llm.common import stored
+from fluxgauge.operators import blocks
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000        # labelled candidates the trees are fitted on, about
-PRECISION = 0.99       # the threshold's precision on the held-out fifth of the sample
+PRECISION = 0.99       # the threshold's precision on the held-out fifth of the candidates
+BINS = 256             # split points of a feature; most features have fewer values
 TREES, DEPTH = 12, 3
 CONTEXT = 24           # characters kept on either side of a candidate
 
@@ -110,24 +111,33 @@ def described(rows: DataFrame) -> DataFrame:
     return named.withColumn("rule", rule).withColumns(features)
 
 
+def _threshold(checked: DataFrame) -> float | None:
+    """The least probability (``p``) from which on labels are right at PRECISION; ``weight`` counts a row's candidates.
+
+    Equal probabilities are accepted together. Running totals are taken in blocks of a ten-thousandth.
+    """
+    each = checked.groupBy(F.lit(0).alias("all"), "p").agg(
+        F.sum(F.col("weight") * F.col("label")).alias("right"), F.sum("weight").alias("total"))
+    so_far = blocks.running(each, ["all"], [-F.col("p")], F.floor((1 - F.col("p")) * 10_000), {
+        "accepted_right": ("sum", F.col("right")), "accepted": ("sum", F.col("total"))})
+    return so_far.where(F.col("accepted_right") >= PRECISION * F.col("accepted")).agg(F.min("p")).first()[0]
+
+
 def _fit(labelled: DataFrame, names: list[str]):
-    """Trees and threshold from a bounded sample; None where one class is missing or precision isn't reached."""
-    share = SAMPLE / max(1, labelled.count())  # the documented bound of the fit, drawn by a hash
-    sample = stored(labelled.where(F.pmod("draw", F.lit(1_000_003)) < F.lit(1_000_003.0) * share), "pii-sample")
-    known = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Trees and threshold from all labelled candidates; None where one class is missing or precision isn't reached.
+
+    Candidates with equal features and label are one row, whose weight is their number.
+    """
+    held = F.pmod(F.shiftright("draw", 20), F.lit(5)) == 0
+    counted = stored(labelled.groupBy(*names, "label", held.alias("held")).agg(F.count("*").cast("double").alias("weight")), "pii-counted")
+    known = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     if min(known.get(0.0, 0), known.get(1.0, 0)) < 5:
         return None
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    held = F.pmod(F.shiftright("draw", 20), F.lit(5)) == 0
-    rows = assembler.transform(sample.coalesce(1))
-    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(rows.where(~held))
-    checked = model.transform(rows.where(held)).select(vector_to_array("probability")[1].alias("p"), "label").collect()
-    right = total = 0
-    threshold = None
-    for p, label in sorted(checked, reverse=True):
-        right, total = right + label, total + 1
-        if right >= PRECISION * total:
-            threshold = p
+    rows = assembler.transform(counted)
+    model = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=1).fit(
+        rows.where(~F.col("held")))
+    threshold = _threshold(model.transform(rows.where("held")).select(vector_to_array("probability")[1].alias("p"), "label", "weight"))
     return None if threshold is None else (assembler, model, threshold)
 
 
@@ -137,7 +147,7 @@ def find(docs: DataFrame) -> DataFrame:
     ``base`` has what the base patterns and their rules accept, leftmost and without overlap in each kind; ``spans`` has
     these and what the trees add. Wider proposals overlap them; one is added if its calibrated probability reaches the
     threshold and no accepted or earlier proposed span overlaps it. The trees learn the rules' verdicts from format and
-    context, on a sample of about SAMPLE candidates; with fewer than five examples of a class, nothing is added. A null text is empty.
+    context, on all base candidates; with fewer than five examples of a class, nothing is added. A null text is empty.
     Every row gets an answer, repeated rows and rows without doc_id too; an empty table gives no rows. Other columns are
     not read. No text is shuffled, only candidates.
     """

@@ -395,6 +395,24 @@ def test_keep_identified_keeps_columns_of_any_name(odd, none):
     assert language.keep_identified(none).count() == 0
 
 
+def test_personal_data_learns_from_every_candidate(spark):
+    """Ten candidates of a class among 25,000 are learned from, wherever their hashes lie."""
+    rows = spark.range(25_000).select(
+        F.lit(0.0).alias("label"), F.lit(0.0).alias("f_a"), (F.col("id") % 7).cast("double").alias("f_b"), (F.col("id") * 1_000_003).alias("draw"))
+    few = spark.createDataFrame([(1.0, 1.0, 0.0, n * 2_000_000 * 1_000_003 + 1_000_002) for n in range(10)],
+                                "label double, f_a double, f_b double, draw long")
+    assembler, model, threshold = personal_data._fit(rows.unionByName(few), ["f_a", "f_b"])
+    asked = assembler.transform(spark.createDataFrame([(1.0, 0.0), (0.0, 3.0)], "f_a double, f_b double"))
+    assert [r["probability"][1] >= threshold for r in model.transform(asked).collect()] == [True, False]
+
+
+def test_personal_data_threshold_counts_equal_probabilities_together(spark):
+    rows = [(0.9, 1.0, 199.0), (0.8, 1.0, 1.0), (0.8, 0.0, 1.0), (0.7, 0.0, 5.0)]
+    assert personal_data._threshold(spark.createDataFrame(rows, "p double, label double, weight double")) == 0.8
+    rows[2] = (0.8, 0.0, 3.0)
+    assert personal_data._threshold(spark.createDataFrame(rows, "p double, label double, weight double")) == 0.9
+
+
 def test_personal_data_survives_long_runs(spark):
     """Two megabytes of one unit each: no pattern needs a stack as deep as its match is long, or time by its square."""
     units = [".a", "a.", "@a", "a@a.", "1.", "1 ", "4111 ", "+1 ", "+1(", "(at) a", " dot", "[dot] a", "mail a (at) b (dot) c ", "555-", "0049 "]
