@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxgauge.llm.common import arrow_rows, id_remainder, stored, text_batches
+from fluxgauge.llm.common import arrow_rows, id_remainder, shuffles_dropped, stored, text_batches
+from fluxgauge.session import scratch
 
 HELD = 7                 # documents whose crc32(doc_id) mod 7 is 2 are not learned from
 CLUSTERED = 1_000        # most frequent words, exchanged one at a time before the tasks exchange all words
@@ -26,10 +31,16 @@ FLUSH = 250_000          # distinct words a worker counts before it hands them o
 SHAPES = 32              # classes where all other words start, and where unseen words stay, by their form
 SWEEPS = 8               # passes of the first exchange
 SPREAD = 3               # greatest number of passes over all words
-PAIRED = 1 << 20         # pairs a worker sorts and counts at once
-BLOCK = 1 << 14          # class contexts a worker weighs at once
-RARE = 1 << 62           # ids from here are hashes of words that workers do not hold
+PAIRED = 1 << 22         # words, or counts of neighbours, a worker sorts and adds up at once
+BLOCK = 1 << 21          # class contexts times classes a worker weighs at once
+GATHERED = 1 << 19       # counts added up at once where their words meet
+WORDS = 10_000           # words a worker gets at once
+HANDED = 20_000          # rows a worker hands on at once
+BUCKET = 2_000_000       # running words for each bucket of the tables by word
+RARE = 1 << 62           # ids from here are those of words that workers do not hold: a shape and a hash
+HASHED = (1 << 57) - 1   # bits of the hash
 PRIOR = 50.0             # weight of the unconditional class distribution in a transition
+KEEN = 0.5               # share of an empty class's gain at which a class in use is taken instead
 DELTA = 0.5              # added to every word's count within its class
 SCHEMA_COUNTS = "word string, shape int, n long"
 
@@ -71,32 +82,6 @@ def count_words(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n")), "word-counts")
 
 
-def count_pairs(docs: DataFrame, clustered: dict[bytes, int]) -> np.ndarray:
-    """How often unit b follows unit a. Units: clustered words, shapes, and the end, which also stands before a text."""
-    size = len(clustered) + SHAPES + 1
-    shared = docs.sparkSession.sparkContext.broadcast(clustered)
-
-    def count(batches):
-        ids, total = shared.value, np.zeros(size * size, np.int64)
-        for batch in batches:
-            seen: list[int] = [size - 1]
-            for text in batch.column("text").to_pylist():
-                for w in words(text or ""):
-                    unit = ids.get(w)
-                    seen.append(unit if unit is not None else len(ids) + shape(w))
-                seen.append(size - 1)
-            units = np.array(seen, np.int64)
-            total += np.bincount(units[:-1] * size + units[1:], minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-    summed = docs.where(id_remainder(HELD) != 2).select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(
-        F.sum("n").alias("n")).toPandas()  # at most size * size rows
-    out = np.zeros(size * size)
-    out[summed["pair"].to_numpy(np.int64)] = summed["n"].to_numpy()
-    return out.reshape(size, size)
-
-
 def _entropy(x):
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -152,146 +137,217 @@ def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, sweeps: in
 
 
 def _rare_id(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42) & (RARE - 1) | RARE
+    return xxhash.xxh64_intdigest(word, 42) & HASHED | shape(word) << 57 | RARE
 
 
-def _rare_ids(word: str) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(RARE - 1)).bitwiseOR(F.lit(RARE))
+def _rare_ids(word: str, shape: str) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(HASHED)).bitwiseOR(F.shiftleft(F.col(shape).cast("long"), 57)).bitwiseOR(F.lit(RARE))
 
 
-def _summed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Add up n of equal (first, second); now and then equal ones stay apart, so sums are made again after the shuffle."""
-    order = np.argsort(first * np.int64(-7046029254386353131) + second * np.int64(-4417276706812531889))
-    first, second, n = first[order], second[order], n[order]
-    starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(n) else order
-    return first[starts], second[starts], np.add.reduceat(n, starts) if len(n) else n
+def _shapes(ids: np.ndarray) -> np.ndarray:
+    return np.abs(ids) >> 57 & (SHAPES - 1)
 
 
-def word_pairs(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """a, b and n: how often word b follows word a in the texts that may be learned from, for all words.
+def _sums(word: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Add up n of equal (word, key), in their order. Keys of numbered words are from -1 to below 1 << 20."""
+    small, rest = np.flatnonzero(word < RARE), np.flatnonzero(word >= RARE)
+    order = np.r_[small[np.argsort(word[small] << 20 | key[small] + 1)], rest[np.lexsort((key[rest], word[rest]))]]
+    word, key, n = word[order], key[order], n[order]
+    starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (key[1:] != key[:-1])]) if len(n) else order
+    return word[starts], key[starts], np.add.reduceat(n, starts) if len(n) else n
 
-    Words in ``ids`` have their number there, the end, which also stands before a text, has the next one, and all other
-    words have a hash from RARE on.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
 
-    def count(batches):
-        get, end = shared.value.get, len(shared.value)
-        seen: list[int] = [end]
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = np.sort(values)
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else values
+    return values[starts], np.diff(np.r_[starts, len(values)])
 
-        def flush():
-            units = np.array(seen, np.int64)
-            del seen[:-1]
-            a, b, n = _summed(units[:-1], units[1:], np.ones(len(units) - 1, np.int64))
-            return pa.RecordBatch.from_pydict({"a": a, "b": b, "n": n})
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for w in words(text or ""):
-                    unit = get(w)
-                    seen.append(unit if unit is not None else _rare_id(w))
-                seen.append(end)
-                if len(seen) > PAIRED:
-                    yield flush()
-        yield flush()
+def _starts(word: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
 
-    return stored(docs.where(id_remainder(HELD) != 2).select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(
-        F.sum("n").alias("n")), "word-pairs")
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, HANDED) for at in range(0, len(batch), HANDED))
 
-def class_contexts(pairs: DataFrame, hot: np.ndarray, rare: DataFrame, total: int) -> DataFrame:
-    """word, own (its class) and the arrays code and n, one row per word: its neighbours counted by their classes.
 
-    Code j is class j behind the word, total + 1 + j class j before it, and code total the word behind itself. ``hot``
-    has the classes of the numbered words, ``rare`` (id, class) those of all others, which meet their pairs in a join.
-    """
-    shared = pairs.sparkSession.sparkContext.broadcast(hot)
+def _whole_words(batches: Iterator[pa.RecordBatch], flat: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """word, key and n, added up, a few whole words at a time; flat makes them of a batch, whose words are sorted."""
+    kept, rows = [], 0
+    for batch in batches:
+        now = flat(batch)
+        if not len(now[0]):
+            continue
+        kept.append(now)
+        rows += len(now[0])
+        if rows < GATHERED:
+            continue
+        now = [np.concatenate(c) for c in zip(*kept)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last word may go on
+        if cut:
+            yield _sums(*(c[:cut] for c in now))
+            kept = [[c[cut:] for c in now]]
+        else:
+            kept = [_sums(*now)]
+        rows = 0
+    if kept:
+        yield _sums(*(np.concatenate(c) for c in zip(*kept)))
 
-    def side(word: str, other: str, first: int) -> DataFrame:
-        own = F.col(word).alias("word")
-        rest = [F.col(other).alias("other"), F.lit(first).cast("long").alias("first"), F.col("n")]
-        held = pairs.where(F.col(other) < RARE).select(own, *rest, F.lit(-1).cast("int").alias("class"))
-        return held.union(pairs.where(F.col(other) >= RARE).join(rare, F.col(other) == F.col("id")).select(own, *rest, "class"))
 
-    def count(batches):
-        classes, kept, rows = shared.value, [], 0
+def _lists(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    """The place in the batch of every entry of its lists, and the entries of each named column; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(names[0])), 0).to_numpy(zero_copy_only=False)
+    return [np.repeat(np.arange(len(batch)), sizes), *(batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names)]
 
-        def flush():
-            word, code, n = _summed(*(np.concatenate(c) for c in zip(*kept)))
-            kept.clear()
-            return pa.RecordBatch.from_pydict({"word": word, "code": code, "n": n})
 
+def bucketed(df: DataFrame, buckets: int, table: str) -> DataFrame:
+    """The rows of ``df`` from a table in buckets by word: tables of as many buckets are joined by word without a shuffle."""
+    df.write.bucketBy(buckets, "word").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def word_neighbours(docs: DataFrame, ids: dict[bytes, int], buckets: int, table: str) -> DataFrame:
+    """word and the arrays key and n, one row per word: its neighbours in the texts that may be learned from.
+
+    Words in ``ids`` have their number there, the end, which also stands before a text, has the next one, and all other
+    words have an id from RARE on, a hash and the shape. Number i behind the word has key 2 * i, before it 2 * i + 1;
+    other words have their id as key, negative before the word. To a numbered word, which may have any number of other
+    words beside it, these are the shapes alone, numbered behind the end. A word behind itself counts once, as behind.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def rows_of(units, size):
+        a, b = units[:-1], units[1:]
+        both, parts = (a < size) & (b < size), []
+        for side, word, other in ((0, a[both], b[both]), (1, b[both], a[both])):
+            pair, n = _counted((word * (2 * size) + 2 * other + side)[(word != other) | (side == 0)])
+            parts.append((*np.divmod(pair, 2 * size), n))
+        a, b = a[~both], b[~both]
+        word, other, side = np.r_[a, b], np.r_[b, a], np.repeat([0, 1], len(a))
+        far = np.where(word < size, 2 * (size + _shapes(other)) + side, np.where(side == 1, -other, other))
+        key = np.where(other < size, 2 * other + side, far)
+        once = (side == 0) | (word != other)
+        parts.append(_sums(word[once], key[once], np.ones(int(once.sum()), np.int64)))
+        word, key, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(word, kind="stable")  # three sorted runs
+        word, key, n = word[order], key[order], n[order]
+        return _keyed(word, key, n)
+
+    def count(batches):
+        ids = shared.value
+        get, end, none = ids.get, len(ids), repeat(-1)
+        seen, rows = [np.array([end], np.int64)], 0
         for batch in batches:
-            word, other, first, n, own = (batch.column(c).to_numpy() for c in ("word", "other", "first", "n", "class"))
-            at = np.where(other < RARE, classes[np.minimum(other, len(classes) - 1)], own)
-            code = np.where(word == other, total, first + at)
-            loop = (word == other) & (first > 0)  # a word behind itself counts once
-            kept.append((word[~loop], code[~loop].astype(np.int64), n[~loop]))
-            rows += len(batch)
+            tokens: list = []
+            for text in batch.column("text").to_pylist():
+                tokens += words(text or "")
+                tokens.append(b"")  # no word is empty
+            found = np.fromiter(map(get, tokens, none), np.int64, len(tokens))
+            for i in np.flatnonzero(found < 0):
+                found[i] = _rare_id(tokens[i]) if tokens[i] else end
+            seen.append(found)
+            rows += len(found)
             if rows > PAIRED:
-                yield flush()
-                rows = 0
-        if kept:
-            yield flush()
+                units, rows = np.concatenate(seen), 0
+                seen = [units[-1:]]
+                yield from _pieces(rows_of(units, end + 1))
+        yield from _pieces(rows_of(np.concatenate(seen), end + 1))
 
-    found = side("a", "b", 0).union(side("b", "a", total + 1)).mapInArrow(count, "word long, code long, n long")
-    homes = rare.select(F.col("id").alias("word"), F.lit(-1).cast("long").alias("code"), F.col("class").cast("long").alias("n"))
-    dealt = found.union(homes).repartition("word").sortWithinPartitions("word", "code")
+    def flat(batch):
+        at, key, n = _lists(batch, ("key", "n"))
+        return [batch.column("word").to_numpy()[at], key, n]
 
-    def owned(batches):
-        classes = shared.value
+    def merge(batches):
+        for word, key, n in _whole_words(batches, flat):
+            yield from _pieces(_keyed(word, key, n))
 
-        def rows_of(word, code, n):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            own = np.where(word[starts] < RARE, classes[np.minimum(word[starts], len(classes) - 1)], n[starts])
-            real = code >= 0
-            ends = np.r_[0, np.cumsum(np.add.reduceat(real.astype(np.int32), starts))].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c)) for c in (code[real].astype(np.int32), n[real])]
-            return pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(own.astype(np.int32)), *lists], ["word", "own", "code", "n"])
+    schema = "word long, key array<long>, n array<long>"
+    found = docs.where(id_remainder(HELD) != 2).select("text").mapInArrow(count, schema)
+    return bucketed(found.repartition(buckets, "word").sortWithinPartitions("word").mapInArrow(merge, schema), buckets, table)
+
+
+def _keyed(word: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    starts = _starts(word)
+    ends = np.r_[starts, len(word)].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int64))) for c in (key, n)]
+    return pa.RecordBatch.from_arrays([pa.array(word[starts]), *lists], ["word", "key", "n"])
+
+
+def unit_pairs(neighbours: DataFrame, unit: np.ndarray, first: int) -> np.ndarray:
+    """How often unit b follows unit a. ``unit`` has the units of the numbered words, the end and the shapes, those of
+    other words are their shapes', from ``first`` on."""
+    shared, size = neighbours.sparkSession.sparkContext.broadcast(unit), int(unit.max()) + 1
 
-        kept: list = []
+    def count(batches):
+        units, total = shared.value, np.zeros(size * size)
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("word", "code", "n")]
-            if not len(batch):
-                continue
-            kept.append(now)
-            if now[0][-1] != kept[0][0][0]:  # the last word may go on
-                now = [np.concatenate(c) for c in zip(*kept)]
-                cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
-                yield rows_of(*(c[:cut] for c in now))
-                kept = [[c[cut:] for c in now]]
-        if kept:
-            yield rows_of(*(np.concatenate(c) for c in zip(*kept)))
+            word = batch.column("word").to_numpy()
+            at, key, n = _lists(batch, ("key", "n"))
+            behind = np.where(np.abs(key) >= RARE, key > 0, key & 1 == 0)
+            at, key, n = at[behind], key[behind], n[behind]
+            a = np.where(word >= RARE, first + _shapes(word), units[np.minimum(word, len(units) - 1)])
+            b = np.where(key >= RARE, first + _shapes(key), units[np.minimum(key >> 1, len(units) - 1)])
+            total += np.bincount(a[at] * size + b, n, size * size)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(total[cells].astype(np.int64), pa.int64())})
+
+    with arrow_rows(neighbours.sparkSession, WORDS):
+        return _table(neighbours.mapInArrow(count, "cell long, n long"), size)
+
+
+def _table(cells: DataFrame, size: int) -> np.ndarray:
+    """Sums of n by cell, size * size of them at most."""
+    summed = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size * size)
+    out[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy()
+    return out.reshape(size, size)
 
-    with arrow_rows(pairs.sparkSession, 10_000):
-        return stored(dealt.mapInArrow(owned, "word long, own int, code array<int>, n array<long>"), "class-contexts")
 
+def with_classes(neighbours: DataFrame, state: DataFrame | None) -> DataFrame:
+    """The neighbours of every word beside what ``moved`` has told it: own, code and told. Both are in buckets by word."""
+    if state is None:
+        return neighbours
+    return neighbours.join(state.withColumnRenamed("n", "told").hint("shuffle_hash"), "word", "left")
 
-def _flat(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """starts, own, code and n of a batch of contexts; own for every row of code."""
-    lists = batch.column("code")
-    sizes = np.diff(lists.offsets.to_numpy())
-    own = np.repeat(batch.column("own").to_numpy(), sizes)
-    return [np.cumsum(sizes) - sizes, own, lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy()]
 
+def _contexts(batch: pa.RecordBatch, classes: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+    """own of every word in a batch of ``with_classes``, and place, code and n of its neighbours, not added up.
 
-def class_table(contexts: DataFrame, total: int) -> np.ndarray:
+    Code j is class j behind the word, total + 1 + j class j before it, and code total the word behind itself.
+    """
+    word, size = batch.column("word").to_numpy(), len(classes) - SHAPES
+    at, key, n = _lists(batch, ("key", "n"))
+    own = np.where(word >= RARE, classes[size + _shapes(word)], classes[np.minimum(word, size - 1)])
+    rare = np.abs(key) >= RARE
+    number = np.where(rare, size + _shapes(key), key >> 1)
+    before = np.where(rare, key < 0, key & 1 == 1)
+    loop = np.where(rare, key, number) == word[at]
+    code = np.where(loop, total, classes[number] + before * (total + 1))
+    if "own" not in batch.schema.names:
+        return own, at, code, n
+    now = batch.column("own").fill_null(-1).to_numpy(zero_copy_only=False)
+    own = np.where((word >= RARE) & (now >= 0), now, own)
+    here = loop | (number < size)  # the other words have told their classes
+    from_, told, times = _lists(batch, ("code", "told"))
+    return own, np.r_[at[here], from_], np.r_[code[here], told], np.r_[n[here], times]
+
+
+def class_table(rows: DataFrame, classes: np.ndarray, total: int) -> np.ndarray:
     """How often class b follows class a, of all words; total * total numbers."""
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
+
     def count(batches):
-        table = np.zeros(total * total, np.int64)
+        table = np.zeros(total * total)
         for batch in batches:
-            own, code, n = (c.astype(np.int64) for c in _flat(batch)[1:])
+            own, at, code, n = _contexts(batch, shared.value, total)
             behind = code <= total
-            at = own * total + np.where(code == total, own, code)
-            np.add.at(table, at[behind], n[behind])
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(table[at], pa.int64())})
-
-    with arrow_rows(contexts.sparkSession, 2_000):
-        summed = contexts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(total * total)
-    out[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy()
-    return out.reshape(total, total)
+            own, code = own[at[behind]], code[behind]
+            table += np.bincount(own * total + np.where(code == total, own, code), n[behind], total * total)
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(table[cells].astype(np.int64), pa.int64())})
+
+    with arrow_rows(rows.sparkSession, WORDS):
+        return _table(rows.mapInArrow(count, "cell long, n long"), total)
 
 
 def _xlogx(x):
@@ -305,67 +361,154 @@ def likelihood(between: np.ndarray) -> float:
 def best_classes(starts: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best class of every word while all others stay, and the gain in likelihood over its own class, for every class.
 
-    Word i has the rows from starts[i] on of its class contexts. The last class is the end's; no word can move there.
+    Word i has the rows from starts[i] on of its class contexts, added up. The last class is the end's; no word can move
+    there. What rows of one code and n gain is worked out once, and for the own class, which the word leaves, apart. Of
+    equally good classes, which are empty ones as a rule, the class that a word is beside most often names one: words that
+    choose at the same time meet in it if their contexts are alike.
     """
     total, size = len(between), len(starts)
     word = np.repeat(np.arange(size), np.diff(np.r_[starts, len(code)]))
     mine, every = own[starts], np.arange(size)
-    loops = np.zeros(size)
-    np.add.at(loops, word[code == total], n[code == total])
-    word, code, n = word[code != total], code[code != total], n[code != total].astype(float)
+    again = code == total
+    loops = np.bincount(word[again], n[again], size)
+    word, code, n = word[~again], code[~again].astype(np.int64), n[~again].astype(np.int64)
     before = code > total
     j, home = np.where(before, code - total - 1, code), mine[word]
-    sides = np.zeros((2, size, total))  # classes behind the words, and before them
-    np.add.at(sides, (before.astype(int), word, j), n)
 
-    cells = np.concatenate([between.T, between])[before * total + j]
-    plain = np.concatenate([_xlogx(between.T), _xlogx(between)])[before * total + j]
+    gain, own_gain = np.zeros((size, total)), np.zeros(size)
+    if len(word):
+        most = int(n.max()) + 1
+        kinds, kind = np.unique(code * most + n, return_inverse=True)
+        of, times = np.divmod(kinds, most)
+        cells = np.concatenate([between.T, between[:1], between])[of]  # code total does not occur
+        table = _xlogx(cells + times[:, None]) - np.concatenate([_xlogx(between.T), between[:1], _xlogx(between)])[of]
+        with_rows = _starts(word)
+        gain[word[with_rows]] = np.add.reduceat(table[kind], with_rows, axis=0)
     # the word taken out of its own class
-    rows = np.arange(len(j))
-    cells[rows, home] -= n
-    inner = np.flatnonzero(j == home)
-    cells[inner] -= sides[1 - before[inner].astype(int), word[inner]]
-    cells[inner, home[inner]] -= loops[word[inner]]
-    plain[rows, home] = _xlogx(cells[rows, home])
-    plain[inner] = _xlogx(cells[inner])
-    gain = np.zeros((size, total))
-    with_rows, first = np.unique(word, return_index=True)
-    if len(first):
-        gain[with_rows] = np.add.reduceat(_xlogx(cells + n[:, None]) - plain, first, axis=0)
-    out, into = sides
-    corner = np.repeat(between.diagonal()[None, :], size, axis=0)
-    corner[every, mine] -= out[every, mine] + into[every, mine] + loops
-    gain += _xlogx(corner + out + into + loops[:, None]) - _xlogx(corner + out) - _xlogx(corner + into) + _xlogx(corner)
-    for axis, side in ((1, out), (0, into)):
-        margin, share = np.repeat(between.sum(axis=axis)[None, :], size, axis=0), side.sum(axis=1) + loops
-        margin[every, mine] -= share
-        gain -= _xlogx(margin + share[:, None]) - _xlogx(margin)
-    gain -= gain[every, mine][:, None]
+    inner, sides = j == home, np.zeros((2, size))
+    sides[before[inner].astype(int), word[inner]] = n[inner]
+    cells = np.where(before, between[j, home], between[home, j]) - n
+    cells[inner] -= sides[1 - before[inner].astype(int), word[inner]] + loops[word[inner]]
+    own_gain += np.bincount(word, _xlogx(cells + n) - _xlogx(cells), size)
+    for side, cells in ((1, between), (0, between.T)):  # its neighbours met it there too
+        met = sides[1 - side, word]
+        part = np.flatnonzero((before == side) & (j != home) & (met > 0))
+        cell, met, less = cells[j[part], home[part]], met[part], n[part]
+        gain[word[part], j[part]] += _xlogx(cell - less + met) - _xlogx(cell - less) - _xlogx(cell + met) + _xlogx(cell)
+
+    # the corner: classes both behind and before the word, and all classes if it stands behind itself
+    def corner(cell, out, into, self_):
+        return _xlogx(cell + out + into + self_) - _xlogx(cell + out) - _xlogx(cell + into) + _xlogx(cell)
+
+    diagonal = between.diagonal()
+    _, x, y = np.intersect1d((word * total + j)[~before], (word * total + j)[before], assume_unique=True, return_indices=True)
+    x, y = np.flatnonzero(~before)[x], np.flatnonzero(before)[y]
+    plain = loops[word[x]] == 0
+    x, y = x[plain], y[plain]
+    gain[word[x], j[x]] += corner(diagonal[j[x]], n[x], n[y], 0)
+    looped = np.flatnonzero(loops)
+    if len(looped):
+        place = np.full(size, -1)
+        place[looped] = np.arange(len(looped))
+        beside, held = np.zeros((2, len(looped), total)), place[word] >= 0
+        beside[before[held].astype(int), place[word[held]], j[held]] = n[held]
+        gain[looped] += corner(diagonal[None, :], *beside, loops[looped, None])
+    own_gain += corner(diagonal[mine] - sides.sum(axis=0) - loops, *sides, loops)
+
+    # the margins
+    for axis, side in ((1, ~before), (0, before)):
+        margin, share = between.sum(axis=axis), np.bincount(word[side], n[side], size) + loops
+        shares, at = np.unique(share, return_inverse=True)
+        gain -= (_xlogx(margin[None, :] + shares[:, None]) - _xlogx(margin)[None, :])[at]
+        own_gain -= _xlogx(margin[mine]) - _xlogx(margin[mine] - share)
+    gain[every, mine] = own_gain
+    gain -= own_gain[:, None]
     best = gain[:, :-1].argmax(axis=1)
-    return np.where(gain[every, best] > 1e-6, best, mine), gain
+    top = gain[every, best]
+    used = np.flatnonzero(between[:, :-1].any(axis=1))
+    if len(used):  # an empty class gains less than it seems, as others choose it at the same time
+        held = used[gain[:, used].argmax(axis=1)]
+        best = np.where(gain[every, held] >= KEEN * top, held, best)
+        top = gain[every, best]
+    equal = (gain[:, :-1] >= (top - 1e-7)[:, None]) & ~np.isin(best, used)[:, None]
+    many = np.flatnonzero((equal.sum(axis=1) > 1) & (top > 1e-6))
+    if len(many):
+        near, at = np.unique(word * total + j, return_inverse=True)
+        of, near = np.divmod(near, total)
+        order = np.lexsort((near, -np.bincount(at, n), of))
+        firsts = order[_starts(of[order])]
+        chief = np.zeros(size, np.int64)  # the class a word is beside most often, the first of such
+        chief[of[firsts]] = near[firsts]
+        choice, free = equal[many], max(1, total - 1 - SHAPES)
+        choice[choice[:, :free].any(axis=1), free:] = False  # rather than a shape's class
+        ranks = choice.cumsum(axis=1)
+        best[many] = (choice & (ranks == chief[many, None] % ranks[:, -1:] + 1)).argmax(axis=1)
+    return np.where(top > 1e-6, best, mine), gain
+
+
+def moved(rows: DataFrame, classes: np.ndarray, between: np.ndarray, turn: int, turns: int, buckets: int, table: str) -> DataFrame:
+    """word, own and the arrays code and n: the class of every word but the end, the best one for the words whose turn
+    it is, and the contexts that a word has from those neighbours which are not numbered, by their new classes."""
+    spark, total = rows.sparkSession, len(between)
+    shared = spark.sparkContext.broadcast((classes, between))
 
+    def choose(batches):
+        classes, between = shared.value
+        size, kept, n_kept = len(classes) - SHAPES, [], 0
 
-def moved(contexts: DataFrame, between: np.ndarray, end: int, turn: int, turns: int) -> DataFrame:
-    """id and class of every word but the end: the best class for the words whose turn it is, else its own."""
-    shared = contexts.sparkSession.sparkContext.broadcast(between)
+        def told():
+            word, code, n = _sums(*(np.concatenate(c) for c in zip(*kept)))
+            kept.clear()
+            return _pieces(pa.RecordBatch.from_pydict({"word": word, "code": code.astype(np.int32), "n": n}))
 
-    def choose(batches):
-        table = shared.value
         for batch in batches:
-            starts, own, code, n = _flat(batch)
-            ids, mine = batch.column("word").to_numpy(), batch.column("own").to_numpy()
-            to, spans, at = mine.copy(), np.r_[starts, len(code)], 0
-            turns_now = ((ids * np.int64(-7046029254386353131)) >> np.int64(40) & np.int64(0xFFFF)) % turns == turn
-            while at < len(starts):
-                until = max(at + 1, int(np.searchsorted(spans, spans[at] + BLOCK, side="right")) - 1)
-                part = slice(spans[at], spans[until])
-                to[at:until] = best_classes(starts[at:until] - spans[at], own[part], code[part], n[part], table)[0]
-                at = until
-            to = np.where(turns_now, to, mine)[ids != end]
-            yield pa.RecordBatch.from_pydict({"id": ids[ids != end], "class": to.astype(np.int32)})
-
-    with arrow_rows(contexts.sparkSession, 2_000):
-        return stored(contexts.mapInArrow(choose, "id long, class int"), "word-moves")
+            word = batch.column("word").to_numpy()
+            own, at, code, n = _contexts(batch, classes, total)
+            turns_now = (((word * np.int64(-7046029254386353131)) >> np.int64(40) & np.int64(0xFFFF)) % turns == turn) & (word != size - 1)
+            now = turns_now[at]
+            at, code = at[now], code[now]
+            place = at * (2 * total + 1) + code
+            order = np.argsort(place)
+            place, n = place[order], n[now][order]
+            firsts = _starts(place)
+            at, code = np.divmod(place[firsts], 2 * total + 1)
+            n = np.add.reduceat(n, firsts) if len(n) else n
+            starts = _starts(at)
+            of, spans, to, i = at[starts], np.r_[starts, len(at)], own.copy(), 0
+            while i < len(starts):
+                until = max(i + 1, int(np.searchsorted(spans, spans[i] + BLOCK // total, side="right")) - 1)
+                part = slice(spans[i], spans[until])
+                to[of[i:until]] = best_classes(starts[i:until] - spans[i], own[at[part]], code[part], n[part], between)[0]
+                i = until
+            moving = word != size - 1
+            kept.append((word[moving], np.full(int(moving.sum()), -1), to[moving].astype(np.int64)))
+            at, key, n = _lists(batch, ("key", "n"))
+            tells = (word[at] >= RARE) & (key != word[at])
+            at, key, n = at[tells], key[tells], n[tells]
+            rare = np.abs(key) >= RARE
+            before = np.where(rare, key < 0, key & 1 == 1)
+            kept.append((np.where(rare, np.abs(key), key >> 1), to[at] + np.where(before, 0, total + 1), n))
+            n_kept += len(word) + len(n)
+            if n_kept > PAIRED:
+                yield from told()
+                n_kept = 0
+        if kept:
+            yield from told()
+
+    def flat(batch):
+        return [batch.column("word").to_numpy(), batch.column("code").to_numpy().astype(np.int64), batch.column("n").to_numpy()]
+
+    def pack(batches):
+        for word, code, n in _whole_words(batches, flat):
+            starts, real = _starts(word), code >= 0
+            own = np.where(real[starts], -1, n[starts])
+            ends = np.r_[0, np.cumsum(np.add.reduceat(real.astype(np.int64), starts))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c)) for c in (code[real].astype(np.int32), n[real])]
+            yield from _pieces(pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(own.astype(np.int32)), *lists], ["word", "own", "code", "n"]))
+
+    with arrow_rows(spark, WORDS):
+        dealt = rows.mapInArrow(choose, "word long, code int, n long").repartition(buckets, "word").sortWithinPartitions("word")
+        return bucketed(dealt.mapInArrow(pack, "word long, own int, code array<int>, n array<long>"), buckets, table)
 
 
 @dataclass
@@ -401,29 +544,30 @@ def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int, int]], Column]:
     return sorted(((r["word"].encode("utf-8"), r["shape"], r["n"]) for r in rows), key=lambda r: (-r[2], r[0])), picked
 
 
-def exchange_all(pairs: DataFrame, hot: np.ndarray, rare: DataFrame, total: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """Move all words, SPREAD times at most, and return the classes of the numbered words and the end, (id, class) of
-    the others, and the class table.
+def exchange_all(neighbours: DataFrame, classes: np.ndarray, between: np.ndarray, buckets: int, folder: str) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """Move all words, SPREAD times at most, and return the classes of the numbered words, the end and the shapes, a
+    table with the class of every word as own (None: all others have their shapes'), and the class table.
 
     In a pass, tasks choose for every second word its best class while all others stay; the next pass takes the other
-    words. Only the class table and the numbered words' classes pass through the driver. A pass after which the
-    likelihood of the class bigrams is less than before it is taken back, and ends the exchange.
+    words. The words' neighbours are counted once and stay where they are; what goes to other tasks is the classes of
+    words that are not numbered, added up by neighbour and class. Only the class table and the numbered words' classes
+    pass through the driver. A pass after which the likelihood of the class bigrams is less than before it is taken
+    back; two of them, one after the other, end the exchange.
     """
-    end = len(hot) - 1
-    contexts = class_contexts(pairs, hot, rare, total)
-    between = class_table(contexts, total)
+    state, failed = None, 0
     for turn in range(SPREAD):
-        moves = moved(contexts, between, end, turn % 2, 2)
-        held = moves.where(F.col("id") < RARE).toPandas()  # at most LOOKED_UP rows
-        then = hot.copy()
-        then[held["id"].to_numpy(np.int64)] = held["class"].to_numpy()
-        others = moves.where(F.col("id") >= RARE)
-        contexts = class_contexts(pairs, then, others, total)
-        after = class_table(contexts, total)
+        told = moved(with_classes(neighbours, state), classes, between, turn % 2, 2, buckets, f"{folder}.told_{turn}")
+        held = told.where((F.col("word") < RARE) & (F.col("own") >= 0)).select("word", "own").toPandas()  # at most LOOKED_UP rows
+        then = classes.copy()
+        then[held["word"].to_numpy(np.int64)] = held["own"].to_numpy()
+        after = class_table(with_classes(neighbours, told), then, len(between))
         if likelihood(after) < likelihood(between):
-            break
-        hot, rare, between = then, others, after
-    return hot, rare, between
+            failed += 1
+            if failed == 2:  # neither half of the words moves any more
+                break
+            continue
+        classes, state, between, failed = then, told, after, 0
+    return classes, state, between
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -431,29 +575,44 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     the model does not hold.
 
     The CLUSTERED most frequent words are exchanged on the driver, with all others in the classes of their shapes; from
-    there tasks exchange all words, by the counts of all pairs of words. Words whose 62-bit hashes agree share a class.
+    there tasks exchange all words, by the counts of all pairs of words. Words of one shape whose 57-bit hashes agree share
+    a class.
     """
-    text_batches(docs.sparkSession)
-    counts = count_words(docs)
+    spark = docs.sparkSession
+    text_batches(spark)
+    with shuffles_dropped(spark):
+        counts = count_words(docs)
     n_docs = docs.where(id_remainder(HELD) != 2).count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent, picked = _frequent(counts)
-    seeds = {w: i for i, (w, _, _) in enumerate(frequent[:CLUSTERED])}
+    n_seeds = len(frequent[:CLUSTERED])
     wanted = max(CLASSES, math.ceil(v ** (1 / 3)))
-    of = exchange(count_pairs(docs, seeds), len(seeds), wanted)
-
-    classes = wanted + SHAPES + 1
-    hot = np.array([of[i] if i < len(seeds) else wanted + s for i, (_, s, _) in enumerate(frequent)] + [classes - 1], np.int64)
-    pairs = word_pairs(docs, {w: i for i, (w, _, _) in enumerate(frequent)})
-    others = counts.where(~picked).withColumn("id", _rare_ids("word"))
-    start = stored(others.groupBy("id").agg((F.min("shape") + wanted).cast("int").alias("class")), "word-starts")
-    hot, rare, between = exchange_all(pairs, hot, start, classes)
+    classes, buckets = wanted + SHAPES + 1, 1 + n // BUCKET
+    shapes, shaped = np.arange(SHAPES), np.array([s for _, s, _ in frequent[n_seeds:]], np.int64)
+    unit = np.r_[np.arange(n_seeds), n_seeds + shaped, n_seeds + SHAPES, n_seeds + shapes]  # numbered words, the end, shapes
+    folder = f"class_lm_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {folder} LOCATION '{scratch(spark, 'llm-classes')}'")
+    try:
+        with shuffles_dropped(spark):
+            neighbours = word_neighbours(docs, {w: i for i, (w, _, _) in enumerate(frequent)}, buckets, f"{folder}.neighbours")
+            pairs = unit_pairs(neighbours, unit, n_seeds)
+            of = np.r_[exchange(pairs, n_seeds, wanted)[:n_seeds], wanted + np.arange(SHAPES + 1)]
+            member = np.eye(classes)[of]
+            hot, state, between = exchange_all(neighbours, of[unit], member.T @ pairs @ member, buckets, folder)
+            others = counts.where(~picked).select("word", "shape", "n")
+            if state is None:
+                others = others.withColumn("class", (F.col("shape") + wanted).cast("int"))
+            else:
+                rare = state.where(F.col("word") >= RARE).select(F.col("word").alias("id"), F.col("own").alias("class"))
+                others = others.withColumn("id", _rare_ids("word", "shape")).join(rare, "id").drop("id")
+            # the class of every word that the model does not hold
+            counted = stored(others.union(counts.where(picked).select("word", "shape", "n", F.lit(None).cast("int").alias("class"))), "word-classes")
+    finally:
+        spark.sql(f"DROP DATABASE {folder} CASCADE")
     share = (between.sum(axis=0) + 1) / (between.sum() + classes)
     follow = (between + PRIOR * share[None, :]) / (between.sum(axis=1, keepdims=True) + PRIOR)
 
     # counts and distinct words of every class; unseen words are one more of each shape
-    counted = stored(others.join(rare, "id").select("word", "shape", "n", "class").union(
-        counts.where(picked).select("word", "shape", "n", F.lit(None).cast("int").alias("class"))), "word-classes")
     tokens, kinds = np.zeros(classes), np.zeros(classes)
     for (_, _, c), k in zip(frequent, hot):
         tokens[k] += c

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fluxgauge.llm import bpe, class_lm, embeddings, exact_dedup, language, mixing, personal_data, queries, repeats, search, sharding, simhash, token_files, whitening
+from fluxgauge.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,6 +312,15 @@ def test_every_word_may_leave_its_shape(spark, monkeypatch):
         assert abs(held[r["doc_id"]]["score"] - want) < 1e-3
 
 
+def test_class_training_leaves_only_counts_and_classes(docs):
+    folder = shared_dir(docs.sparkSession)
+    before = set(os.listdir(folder))
+    class_lm.train(docs)[1].collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"llm-word-counts", "llm-word-classes"}
+    assert not [d for d in docs.sparkSession.catalog.listDatabases() if d.name.startswith("class_lm")]
+
+
 # ---------------------------------------------------------------- 7 simhash
 
 def plain_simhash(text, words):
