@@ -446,9 +446,9 @@ def best_classes(starts: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.nd
     return np.where(top > 1e-6, best, mine), gain
 
 
-def moved(rows: DataFrame, classes: np.ndarray, between: np.ndarray, turn: int, turns: int, buckets: int, table: str) -> DataFrame:
-    """word, own and the arrays code and n: the class of every word but the end, the best one for the words whose turn
-    it is, and the contexts that a word has from those neighbours which are not numbered, by their new classes."""
+def moved(rows: DataFrame, classes: np.ndarray, between: np.ndarray, turn: int, turns: int, first: int, buckets: int, table: str) -> DataFrame:
+    """word, own and the arrays code and n: the class of every word but the end, the best one for the words from number
+    ``first`` on whose turn it is, and the contexts that a word has from those neighbours which are not numbered, by their new classes."""
     spark, total = rows.sparkSession, len(between)
     shared = spark.sparkContext.broadcast((classes, between))
 
@@ -464,7 +464,7 @@ def moved(rows: DataFrame, classes: np.ndarray, between: np.ndarray, turn: int,
         for batch in batches:
             word = batch.column("word").to_numpy()
             own, at, code, n = _contexts(batch, classes, total)
-            turns_now = (((word * np.int64(-7046029254386353131)) >> np.int64(40) & np.int64(0xFFFF)) % turns == turn) & (word != size - 1)
+            turns_now = (((word * np.int64(-7046029254386353131)) >> np.int64(40) & np.int64(0xFFFF)) % turns == turn) & (word >= first) & (word != size - 1)
             now = turns_now[at]
             at, code = at[now], code[now]
             place = at * (2 * total + 1) + code
@@ -544,10 +544,11 @@ def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int, int]], Column]:
     return sorted(((r["word"].encode("utf-8"), r["shape"], r["n"]) for r in rows), key=lambda r: (-r[2], r[0])), picked
 
 
-def exchange_all(neighbours: DataFrame, classes: np.ndarray, between: np.ndarray, buckets: int, folder: str) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+def exchange_all(neighbours: DataFrame, classes: np.ndarray, between: np.ndarray, first: int, buckets: int, folder: str) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
     """Move all words, SPREAD times at most, and return the classes of the numbered words, the end and the shapes, a
     table with the class of every word as own (None: all others have their shapes'), and the class table.
 
+    The ``first`` words, exchanged one at a time before, stay: so common ones, moved at the same time, lower the likelihood.
     In a pass, tasks choose for every second word its best class while all others stay; the next pass takes the other
     words. The words' neighbours are counted once and stay where they are; what goes to other tasks is the classes of
     words that are not numbered, added up by neighbour and class. Only the class table and the numbered words' classes
@@ -556,7 +557,7 @@ def exchange_all(neighbours: DataFrame, classes: np.ndarray, between: np.ndarray
     """
     state, failed = None, 0
     for turn in range(SPREAD):
-        told = moved(with_classes(neighbours, state), classes, between, turn % 2, 2, buckets, f"{folder}.told_{turn}")
+        told = moved(with_classes(neighbours, state), classes, between, turn % 2, 2, first, buckets, f"{folder}.told_{turn}")
         held = told.where((F.col("word") < RARE) & (F.col("own") >= 0)).select("word", "own").toPandas()  # at most LOOKED_UP rows
         then = classes.copy()
         then[held["word"].to_numpy(np.int64)] = held["own"].to_numpy()
@@ -598,7 +599,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             pairs = unit_pairs(neighbours, unit, n_seeds)
             of = np.r_[exchange(pairs, n_seeds, wanted)[:n_seeds], wanted + np.arange(SHAPES + 1)]
             member = np.eye(classes)[of]
-            hot, state, between = exchange_all(neighbours, of[unit], member.T @ pairs @ member, buckets, folder)
+            hot, state, between = exchange_all(neighbours, of[unit], member.T @ pairs @ member, n_seeds, buckets, folder)
             others = counts.where(~picked).select("word", "shape", "n")
             if state is None:
                 others = others.withColumn("class", (F.col("shape") + wanted).cast("int"))
