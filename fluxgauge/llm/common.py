@@ -21,6 +21,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join in which neither side may be broadcast.
+
+    Spark sizes a stored table by its compressed files and takes an exploded row for one, so it may send millions of rows
+    through the driver. A measured shuffle without an explode after it needs no such mark.
+    """
+    return side.hint("merge")
+
+
 class TermHashes(dict):
     """Term to its XXH64; a bounded number of short terms is kept."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxgauge.llm.common import stored, text_batches
+from fluxgauge.llm.common import merged, stored, text_batches
 from fluxgauge.llm.components import components
 
 WORDS = 4
@@ -101,7 +101,7 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     cells = _cells(prints, distance)
     shared = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("greatest")).where("n > 1")
-    members = stored(cells.join(shared, "cell"), "simhash-cells")
+    members = stored(cells.join(merged(shared), "cell"), "simhash-cells")
     near = lambda a, b: (_differ(embedded(F.col(a)), embedded(F.col(b))) <= distance) & (_differ(F.col(a), F.col(b)) <= distance)
     to_least = members.where((F.col("fp") != F.col("least")) & near("fp", "least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
     to_greatest = members.where((F.col("fp") != F.col("greatest")) & near("fp", "greatest")).select(
@@ -109,7 +109,7 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     first = stored(components(to_least.union(to_greatest).distinct(), "simhash-first"), "simhash-groups")
 
     # three members have all been compared with each other
-    grouped = members.where("n > 3").select("cell", "fp").join(first, F.col("fp") == F.col("node"), "left").select(
+    grouped = members.where("n > 3").select("cell", "fp").join(merged(first), F.col("fp") == F.col("node"), "left").select(
         "cell", "fp", F.coalesce("root", "fp").alias("root"))
     by_root = grouped.groupBy("cell", "root").agg(F.count("*").alias("size"))
     mixed = by_root.groupBy("cell").agg(F.max_by("root", "size").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
@@ -120,7 +120,8 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
     second = components(crossing, "simhash-second")
     nodes = first.union(second.select("node", F.col("node").alias("root"))).distinct()
-    return nodes.alias("n").join(second.select(F.col("node").alias("of"), F.col("root").alias("final")), F.col("n.root") == F.col("of"), "left").select(
+    moved = second.select(F.col("node").alias("of"), F.col("root").alias("final"))
+    return nodes.alias("n").join(merged(moved), F.col("n.root") == F.col("of"), "left").select(
         F.col("n.node").alias("node"), F.coalesce("final", "n.root").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
@@ -132,7 +133,7 @@ def _grouped(docs: DataFrame, words: int, distance: int) -> DataFrame:
     rooted = prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     answer = rooted.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return marks.join(answer, F.col("fp") == F.col("of_fp")).select("doc_id", "mark", "fp", "component_id")
+    return marks.join(merged(answer), F.col("fp") == F.col("of_fp")).select("doc_id", "mark", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:

@@ -753,6 +753,33 @@ def test_whitening_awkward(spark):
     assert whitening.fit(none) == {} and whitening.whiten(none, {}).count() == 0 and whitening.identity_error(none, {}) == 0.0
 
 
+# ---------------------------------------------------------------- joins that Spark sizes too low
+
+def joined_by(df):
+    return next(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line)
+
+
+@pytest.fixture
+def narrow(spark, tmp_path):
+    """A small file, which may hold, or explode into, far more rows than the driver has room for."""
+    text = F.concat_ws(" ", *[F.xxhash64(F.col("id") % 50, F.lit(i)).cast("string") for i in range(6)])
+    spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/docs")
+    return spark.read.parquet(f"{tmp_path}/docs")
+
+
+def test_fingerprints_and_cells_are_not_sent_through_the_driver(narrow, monkeypatch):
+    joins = {}
+
+    def seen(df, name, keep=simhash.stored):
+        joins[name] = joined_by(df) if name == "simhash-cells" else None
+        return keep(df, name)
+
+    monkeypatch.setattr(simhash, "stored", seen)
+    found = simhash._grouped(narrow, 4, 4)
+    assert "SortMergeJoin [cell" in joins["simhash-cells"] and "SortMergeJoin [fp" in joined_by(found)
+    assert found.where("doc_id = component_id").count() == 50
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_by_plain_python(spark):
