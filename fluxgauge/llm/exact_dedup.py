@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgauge.llm.common import stored
+from fluxgauge.llm.common import merged, stored
 
 RUNS = 64
 FAN_IN = 8
@@ -54,7 +54,7 @@ def report(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame
     while width > 1:
         root, width = _merge(root, fan_in), -(-width // fan_in)
     answer = leaves.select(*IDENTITY, "run").join(root.drop("run"), list(IDENTITY))
-    return rows.join(answer, [*IDENTITY, "run"]).select(
+    return rows.join(merged(answer), [*IDENTITY, "run"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

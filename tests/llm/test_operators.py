@@ -780,6 +780,11 @@ def test_fingerprints_and_cells_are_not_sent_through_the_driver(narrow, monkeypa
     assert found.where("doc_id = component_id").count() == 50
 
 
+def test_digests_are_not_sent_through_the_driver(narrow):
+    found = exact_dedup.report(narrow)
+    assert "SortMergeJoin [digest" in joined_by(found) and found.where("kept").count() == 50
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_by_plain_python(spark):
