@@ -18,8 +18,8 @@ from fluxgauge.sources import readers, views
 from fluxgauge.streaming import flows, live
 from fluxgauge.streaming.tables import BatchTable
 
-# Arrivals in a block of the read side, whose offsets are arrival numbers.
-BLOCK = views.ARRIVAL_UNIT << 20
+# Arrivals in a block of the read side, in offsets.
+BLOCK = views.OFFSETS << 20
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -75,7 +75,7 @@ def _records(arrived: DataFrame) -> DataFrame:
     broken = F.concat(F.encode(F.lit("#"), "UTF-8"), F.col("value"))
     return records.select(
         "key", F.when(F.col("route") == views.FALLBACK, broken).otherwise(F.col("value")).alias("value"),
-        "topic", "partition", F.col("arrival_seq").alias("offset"), "timestamp", "headers")
+        "topic", "partition", views.offset(F.col("arrival_seq")).alias("offset"), "timestamp", "headers")
 
 
 def _write_side(spark: SparkSession, sf_dir: str, name: str, publish=None) -> flows.WriteSide:
@@ -129,7 +129,7 @@ SELECT device_id, date, CAST(measurement AS DOUBLE) AS measurement, arrival_seq,
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > date, false) AS out_of_order FROM good""")
 def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = _read_side(spark, sf_dir, "stream-order").flags.read(spark)
-    return flags.withColumn("arrival_seq", ids.arrival_offset(F.col("arrival_seq")))
+    return flags.withColumn("arrival_seq", views.arrival_at(ids.arrival_offset(F.col("arrival_seq"))))
 
 
 @query("stream_dlq_split", f"""WITH {sql.RAW}
@@ -137,7 +137,7 @@ SELECT CAST(device_id AS VARCHAR) AS key, 'telemetry.recorded.dlq' AS topic, {sq
        arrival_seq AS offset, CAST(6 AS BIGINT) AS header_count FROM raw WHERE route = 1""")
 def stream_dlq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     dead = _read_side(spark, sf_dir, "stream-dead").dead_letters.read(spark)
-    return dead.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",
+    return dead.select(F.col("key").cast("string").alias("key"), "topic", "partition", views.arrival_at(F.col("offset")).alias("offset"),
                        F.size("headers").alias("header_count"))
 
 
@@ -193,7 +193,7 @@ def stream_republished(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = _share(_events(spark, sf_dir))
 
     def published(arrived: DataFrame) -> DataFrame:
-        sent = headers.header(headers.PRODUCER_BATCH, F.concat(F.lit("devices:"), share(F.col("offset")).cast("string")))
+        sent = headers.header(headers.PRODUCER_BATCH, F.concat(F.lit("devices:"), share(views.arrival_at(F.col("offset"))).cast("string")))
         return _records(arrived).withColumn("headers", headers.append(F.col("headers"), sent)).withColumn(
             "offset", F.explode(F.array(F.col("offset") * 2, F.col("offset") * 2 + 1)))
 

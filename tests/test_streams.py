@@ -1,14 +1,19 @@
 """Streams in several batches: equal to batch results, safe to repeat, nothing lost."""
 
+import datetime
 import random
 from types import SimpleNamespace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import compare
 from fluxgauge import schemas
 from fluxgauge.functions import headers, ids, outcome
 from fluxgauge.operators import dedup, events, fallback, metrics, projection, series, validate
+from fluxgauge.plans import catalog
 from fluxgauge.plans import streams as plans
 from fluxgauge.session import scratch
 from fluxgauge.sources import readers, writers
@@ -408,6 +413,27 @@ def test_batch_published_again_changes_no_counter(spark):
     assert len(writers.folder_names(spark, side.published.path, "batch_id")) <= 2
 
 
+@pytest.mark.parametrize("name", ["stream_republished", "stream_out_of_order", "stream_dlq_split"])
+def test_offsets_of_many_events_fit(spark, tmp_path, name):
+    """Arrival numbers of 36 million events, with gaps of ten million, are beyond 2^48."""
+    at = [36_000_000 + i for i in range(300)]
+    pq.write_table(pa.table({
+        "event_id": at, "ts": [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=7 * i - i * i % 90) for i in range(300)],
+        "user_id": [i % 4 for i in at], "event_type": [("click", "error", "view", "signup", "view")[i % 5] for i in at],
+        "value": [i % 13 / 4 for i in at], "props": ['{"k": 1}'] * 300}), f"{tmp_path}/events.parquet")
+    assert compare.difference(spark, compare.connect(tmp_path), catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path)) == ""
+
+
+def test_offsets_are_arrival_numbers_without_gaps(spark):
+    number = plans.views.arrival_seq(F.col("id"))
+    for first in (0, 36_000_000, 10**11):
+        rows = spark.range(first, first + 1000).select(number.alias("n"), plans.views.offset(number).alias("at")).collect()
+        assert [r["n"] for r in sorted(rows, key=lambda r: r["at"])] == sorted(r["n"] for r in rows)
+        assert 0 <= min(r["at"] for r in rows) and max(r["at"] for r in rows) < 1 << 47 and len({r["at"] for r in rows}) == 1000
+        back = spark.createDataFrame([(r["n"], r["at"]) for r in rows], "n long, at long").select("n", plans.views.arrival_at(F.col("at")).alias("b"))
+        assert all(r["n"] == r["b"] for r in back.collect())
+
+
 def test_progress_becomes_samples_with_lag():
     source = {"description": "Kafka", "startOffset": '{"t":{"0":1,"1":1}}', "endOffset": '{"t":{"0":5,"1":7}}',
               "latestOffset": '{"t":{"0":9,"1":7,"2":4}}', "numInputRows": 10, "inputRowsPerSecond": 1.0, "processedRowsPerSecond": 1.0}
