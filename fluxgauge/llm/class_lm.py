@@ -425,7 +425,7 @@ def best_classes(starts: np.ndarray, own: np.ndarray, code: np.ndarray, n: np.nd
     gain -= own_gain[:, None]
     best = gain[:, :-1].argmax(axis=1)
     top = gain[every, best]
-    used = np.flatnonzero(between[:, :-1].any(axis=1))
+    used = np.flatnonzero(between[:-1].any(axis=1))
     if len(used):  # an empty class gains less than it seems, as others choose it at the same time
         held = used[gain[:, used].argmax(axis=1)]
         best = np.where(gain[every, held] >= KEEN * top, held, best)

@@ -285,6 +285,13 @@ def test_gains_are_those_of_the_likelihood():
             assert abs(class_lm.likelihood(table(np.r_[of[:w], c, of[w + 1:]])) - now - gain[w, c]) < 1e-6
 
 
+def test_no_word_takes_the_class_of_the_end():
+    """Words that stand at the start of texts' sentences have the end's neighbours."""
+    between = np.array([[2, 1, 1, 1], [5, 3, 1, 1], [1, 4, 2, 60], [60, 1, 1, 0]], float)
+    best, gain = class_lm.best_classes(np.array([0]), np.array([1]), np.array([0, 5 + 2]), np.array([4, 4]), between)
+    assert gain[0].argmax() == 3 and best[0] < 3
+
+
 def test_every_word_may_leave_its_shape(spark, monkeypatch):
     """Words of one length and alphabet in two kinds of context, most of them beyond those that workers look up."""
     monkeypatch.setattr(class_lm, "CLUSTERED", 8)
